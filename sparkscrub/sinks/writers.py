@@ -61,8 +61,9 @@ def write_parquet(df: DataFrame, path: str, compression: str = "snappy", mode: s
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Header, no row index, quotes doubled as the reader expects them."""
-    flat(df).write.mode(mode).options(header=True, escape='"').csv(path)
+    """Header, no row index, spaces kept, quotes doubled as the reader expects them."""
+    options = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    flat(df).write.mode(mode).options(**options).csv(path)
 
 
 def write_json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
