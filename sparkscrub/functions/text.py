@@ -7,32 +7,38 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# (?U) makes \s cover every Unicode white space, NBSP included.
-_EDGE_SPACE = r"(?U)^\s+|\s+$"
-_SPACE_RUN = r"(?U)\s+"
+# Every character that counts as white space, NBSP and the separators included.
+SPACES = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+_SPACE = r"\x09-\x0d\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_VISIBLE = f"[^{_SPACE}]"
 
 CASES = ("lower", "upper", "title", "capitalize")
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, _EDGE_SPACE, "")
+    """Both ends without white space. Looks at the ends only, where a regex reads all."""
+    return F.btrim(c, F.lit(SPACES))
 
 
 def collapse_spaces(c: Column) -> Column:
-    return F.regexp_replace(c, _SPACE_RUN, " ")
+    """Every run of white space as one space. Single plain spaces are not touched at all."""
+    return F.regexp_replace(c, f"[{_SPACE}]{{2,}}|[{_SPACE}&&[^ ]]", " ")
 
 
 def drop_spaces(c: Column) -> Column:
-    return F.regexp_replace(c, _SPACE_RUN, "")
+    return F.regexp_replace(c, f"[{_SPACE}]+", "")
 
 
 def is_blank(c: Column) -> Column:
     """True where the text has no visible character; null stays null."""
-    return ~c.rlike(r"(?U)\S")
+    return ~c.rlike(_VISIBLE)
 
 
 def blank_to_null(c: Column) -> Column:
-    return F.when(c.rlike(r"(?U)\S"), c)
+    return F.when(c.rlike(_VISIBLE), c)
 
 
 def capitalize(c: Column) -> Column:
@@ -45,6 +51,11 @@ def title_case(c: Column) -> Column:
     return F.array_join(F.transform(runs, capitalize), "")
 
 
+def is_title_case(c: Column) -> Column:
+    """The same as ``c == title_case(c)``, answered at the first letter that breaks the rule."""
+    return ~c.rlike(r"(?<!\p{L})\p{Ll}|\p{L}\p{Lu}")
+
+
 def apply_case(c: Column, case: str | None) -> Column:
     if case is None:
         return c

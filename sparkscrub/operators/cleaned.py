@@ -23,8 +23,10 @@ class Cleaned:
     value: Column
     changed: Column
     """True where the cell counts as changed; null counts as false."""
+    rejected: Column | None = None
+    """True where the value is not accepted; null counts as false."""
     reason: Column | None = None
-    """Why the cell is rejected, null where it is accepted."""
+    """Why, for a rejected cell. It says nothing about the others."""
     shown: Column | None = None
     """The cleaned text a reject report shows, if it is not the value itself."""
 
@@ -52,7 +54,7 @@ def count_changes(df: DataFrame, cleaners: Mapping[str, Cleaner]) -> DataFrame:
     sums = [F.count(F.lit(1)).alias("rows")]
     for i, c in enumerate(bound.values()):
         sums.append(F.count_if(c.changed).alias(f"changed_{i}"))
-        rejected = F.lit(0).cast("bigint") if c.reason is None else F.count_if(c.reason.isNotNull())
+        rejected = F.lit(0).cast("bigint") if c.rejected is None else F.count_if(c.rejected)
         sums.append(rejected.alias(f"rejected_{i}"))
     rows = [
         F.struct(
@@ -70,14 +72,14 @@ def rejects(df: DataFrame, column: str, cleaner: Cleaner, index: str = ROW_INDEX
     """Every rejected cell of a column, with its row index. Nothing is capped."""
     require_index(df, index)
     c = bind(df, {column: cleaner})[column]
-    reason = F.lit(None).cast("string") if c.reason is None else c.reason
     shown = c.value if c.shown is None else c.shown
-    return df.select(
+    # Filter first: the reason is then only worked out for what is rejected.
+    return df.filter(F.lit(False) if c.rejected is None else c.rejected).select(
         col(index).alias("row_index"),
         col(column).cast("string").alias("original"),
         shown.cast("string").alias("cleaned"),
-        reason.alias("reason"),
-    ).filter(F.col("reason").isNotNull())
+        (F.lit(None).cast("string") if c.reason is None else c.reason).alias("reason"),
+    )
 
 
 def first_rejects(

@@ -43,10 +43,10 @@ def contact_cleaner(
             longer = f"^(?=.{{11}}){cc}(.{{0,5}})(.*)$"
             new = F.regexp_replace(new, longer, f"+{country_code} $1 $2")
         length = F.length(digits)
-        odd = (length > 0) & ~length.between(MIN_DIGITS, MAX_DIGITS)
-        reason = F.when(odd, F.concat(F.lit("Unusual digit length ("), length.cast("string"), F.lit(")")))
-        if strict:
-            reason = F.coalesce(reason, F.when(length == 0, F.lit("empty")))
-        return Cleaned(new, differs(old, new), reason, shown=digits)
+        odd = ~length.between(MIN_DIGITS, MAX_DIGITS)
+        rejected = odd if strict else odd & (length > 0)
+        why = F.concat(F.lit("Unusual digit length ("), length.cast("string"), F.lit(")"))
+        why = F.when(length == 0, F.lit("empty")).otherwise(why)
+        return Cleaned(new, differs(old, new), rejected, why, shown=digits)
 
     return cleaner

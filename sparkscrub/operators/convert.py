@@ -74,11 +74,10 @@ def type_converter(
         else:
             return Cleaned(c, F.lit(False))
 
-        reason = F.when(present & new.isNull(), F.lit(why))
         value = new
         if fill_unconvertible is not None and target in ("Integer", "Float"):
             value = F.coalesce(new, F.lit(fill_unconvertible).cast("bigint" if target == "Integer" else "double"))
-        return Cleaned(value, present & new.isNotNull(), reason, shown=c.cast("string"))
+        return Cleaned(value, present & new.isNotNull(), present & new.isNull(), F.lit(why), shown=c.cast("string"))
 
     return cleaner
 

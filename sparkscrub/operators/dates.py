@@ -26,15 +26,16 @@ def date_cleaner(
     def cleaner(c: Column, dt: T.DataType) -> Cleaned:
         if isinstance(dt, (T.DateType, T.TimestampType, T.TimestampNTZType)):
             parsed, old = c, c.cast("string")
-            reason = None
+            rejected = None
         else:
             old = text.strip(c.cast("string"))
             parsed = dates.parse_date(old, input_format, day_first)
-            reason = F.when(~dates.is_null_word(old) & parsed.isNull(), F.lit(UNPARSEABLE))
+            rejected = ~dates.is_null_word(old) & parsed.isNull()
         written = dates.write_date(parsed, output_format)
         if as_date:
-            return Cleaned(parsed.cast("date"), written != old, reason, shown=old)
-        kept = F.when(~dates.is_null_word(old), old)
-        return Cleaned(F.coalesce(written, kept), written != old, reason, shown=old)
+            value = parsed.cast("date")
+        else:
+            value = F.coalesce(written, F.when(~dates.is_null_word(old), old))
+        return Cleaned(value, written != old, rejected, F.lit(UNPARSEABLE), shown=old)
 
     return cleaner

@@ -70,8 +70,7 @@ def email_cleaner(
             .when(~text.after_last(new, "@").contains("."), F.lit(NO_EXTENSION))
             .otherwise(F.lit(BAD_SYNTAX))
         )
-        reason = F.when(~passed & ~new.rlike(VALID_EMAIL), why)
-        return Cleaned(new, old != new, reason)
+        return Cleaned(new, old != new, ~passed & ~new.rlike(VALID_EMAIL), why)
 
     return cleaner
 

@@ -54,7 +54,7 @@ def _metrics(raw: Column) -> dict[str, Column]:
         "phone_share": share(F.length(F.regexp_replace(t, "[^0-9]+", "")) >= 7),
         "phone_noise": some(t.rlike(r"[^\d+]")),
         "name_special": some(raw.rlike(r"(?U)[^a-zA-Z\s]")),
-        "name_case": some((F.length(t) > 1) & (t != text.title_case(t))),
+        "name_case": some((F.length(t) > 1) & ~text.is_title_case(t)),
         "number_share": share(parse_double(drop_currency(t)).isNotNull()),
         "any_dot": some(t.contains(".")),
     }

@@ -29,13 +29,9 @@ def storable(df: DataFrame) -> DataFrame:
 
 def flat(df: DataFrame) -> DataFrame:
     """Nested values as JSON text, for formats that only know plain cells."""
-    return df.select(
-        [
-            (F.to_json(col(f.name)) if is_nested(f.dataType) else col(f.name)).alias(f.name)
-            for f in df.schema
-            if f.name != ROW_INDEX
-        ]
-    )
+    plain = storable(df)
+    cells = [(F.to_json(col(f.name)) if is_nested(f.dataType) else col(f.name)).alias(f.name) for f in plain.schema]
+    return plain.select(cells)
 
 
 def json_safe(df: DataFrame) -> DataFrame:

@@ -25,9 +25,16 @@ NA_TOKENS = (
 _WHOLE = r"^\s*[+-]?\d+\s*$"
 _TRUTH = ("True", "TRUE", "true", "False", "FALSE", "false")
 _BAD = "_bad_row"
+# cp1252 differs from ISO-8859-1, which Spark can read, in these characters only.
+_LATIN = "".join(chr(i) for i in range(0x80, 0xA0))
+_WESTERN = bytes(range(0x80, 0xA0)).decode("cp1252", errors="replace")
 _BOM = "﻿"
 
 
+def _to_western(c: Column) -> Column:
+    return F.translate(c, _LATIN, _WESTERN)
+
+
 def _count(c: Column, mark: str) -> Column:
     return F.length(c) - F.length(F.replace(c, F.lit(mark), F.lit("")))
 
@@ -73,8 +80,10 @@ def sniff(lines: DataFrame, heads: DataFrame | None = None) -> DataFrame:
     )
     heads = (lines if heads is None else heads).filter(F.length("line") > 0)
     starts = heads.groupBy("file").agg(F.min("place").alias("place"))
+    old = _to_western(F.decode(F.col("line").cast("binary"), "ISO-8859-1"))
+    header = F.when(F.is_valid_utf8("line"), F.col("line")).otherwise(old)
     headers = heads.join(starts, ["file", "place"]).select(
-        "file", F.regexp_replace("line", f"^{_BOM}|\\r$", "").alias("header")
+        "file", F.regexp_replace(header, f"^{_BOM}|\\r$", "").alias("header")
     )
     return per_file.join(headers, "file").select(
         "file",
@@ -146,10 +155,12 @@ def _read_group(
     names = header_names(spark, header, delimiter)
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, _BAD]])
     reader = spark.read.schema(schema).options(
-        header=True, sep=delimiter, encoding=encoding, quote='"', escape='"', multiLine=multi_line,
+        header=True, sep=delimiter, encoding="ISO-8859-1" if encoding == "cp1252" else encoding, quote='"', escape='"', multiLine=multi_line,
         mode="PERMISSIVE", columnNameOfCorruptRecord=_BAD, columnPruning=False, enforceSchema=True,
     )
     raw = with_file_index(reader.csv(files), text_place(), all_files)
+    if encoding == "cp1252":
+        raw = raw.withColumns({n: _to_western(col(n)) for n in names})
     fields = _count(_unquoted(col(_BAD)), delimiter) + 1
     # The reader refuses a query that needs the bad-row column alone, such as a count; the
     # second, always true condition makes every query need a data column too.

@@ -17,31 +17,37 @@ KEYS = ["doc_id", "page", "table"]
 PREVIEW_ROWS = 5
 
 
-def clean_header(cells: Column) -> Column:
-    """Header cells trimmed, breaks as spaces; empty ones ``Column_i``, repeats ``name_1``."""
-    plain = F.transform(
-        cells,
-        lambda h, i: F.coalesce(
-            F.nullif(text.strip(F.regexp_replace(h, r"[\r\n]", " ")), F.lit("")),
-            F.concat(F.lit("Column_"), (i + 1).cast("string")),
-        ),
+def plain_header(cells: Column) -> Column:
+    """Header cells trimmed, line breaks as spaces; empty ones are ``Column_i``."""
+    tidy = F.transform(cells, lambda h: text.strip(F.translate(h, "\r\n", "  ")))
+    return F.transform(
+        tidy, lambda h, i: F.when(F.length(h) > 0, h).otherwise(F.concat(F.lit("Column_"), (i + 1).cast("string")))
     )
-    earlier = lambda names, h, i: F.size(F.filter(F.slice(names, F.lit(1), i), lambda x: x == h))
-    numbered = lambda h, k: F.when(k == 0, h).otherwise(F.concat(h, F.lit("_"), k.cast("string")))
-    return F.transform(plain, lambda h, i: numbered(h, earlier(plain, h, i)))
+
+
+def distinct_header(names: Column) -> Column:
+    """Repeated names get a number: ``Price``, ``Price_1``, ``Price_2``."""
+
+    def numbered(h: Column, i: Column) -> Column:
+        earlier = F.size(F.filter(F.slice(names, F.lit(1), i), lambda x: x == h))
+        return F.when(earlier == 0, h).otherwise(F.concat(h, F.lit("_"), earlier.cast("string")))
+
+    return F.transform(names, numbered)
 
 
 def clean_cells(cells: Column, width: Column) -> Column:
     """Cells with spaces collapsed and blanks null, padded or cut to ``width``."""
-    tidy = F.transform(cells, lambda c: F.nullif(text.collapse_spaces(text.strip(c)), F.lit("")))
-    return F.transform(F.sequence(F.lit(1), width), lambda i: F.try_element_at(tidy, i))
+    tidy = F.transform(cells, lambda c: text.collapse_spaces(text.strip(text.blank_to_null(c))))
+    padding = F.array_repeat(F.lit(None).cast("string"), F.greatest(width - F.size(cells), F.lit(0)))
+    return F.slice(F.concat(tidy, padding), F.lit(1), width)
 
 
 def headers(grid: DataFrame) -> DataFrame:
     """One row per extracted table: its first row number and clean column names."""
     first = grid.groupBy(*KEYS).agg(F.min("row_no").alias("row_no"))
     top = grid.join(first, [*KEYS, "row_no"])
-    return top.select(*KEYS, F.col("row_no").alias("header_no"), clean_header(F.col("cells")).alias("names"))
+    plain = top.select(*KEYS, F.col("row_no").alias("header_no"), plain_header(F.col("cells")).alias("plain"))
+    return plain.select(*KEYS, "header_no", distinct_header(F.col("plain")).alias("names"))
 
 
 def data_rows(grid: DataFrame) -> DataFrame:

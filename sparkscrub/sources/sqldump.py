@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkscrub.functions.columns import ROW_INDEX, col
+from sparkscrub.functions.text import strip
 from sparkscrub.operators.running import running_total
 from sparkscrub.session import written_table
 from sparkscrub.sources.rowid import text_place
@@ -67,7 +68,7 @@ def dump_rows(fragments: DataFrame) -> DataFrame:
 
     def items_of(body: Column) -> Column:
         raw = F.regexp_extract_all(body, F.lit(_ITEM), F.lit(1))
-        return F.transform(raw, lambda x: _literal(F.trim(F.regexp_replace(x, r"^\s+|\s+$", ""))))
+        return F.transform(F.transform(raw, strip), _literal)
 
     width = F.size(F.regexp_extract_all(F.col("tuples")[0], F.lit(_ITEM), F.lit(1)))
     given = F.transform(F.split("listed", ","), lambda x: F.regexp_replace(x, r"^[\s`\"']+|[\s`\"']+$", ""))
@@ -158,8 +159,11 @@ class Dump:
 
 
 def parse_dump(fragments: DataFrame) -> Dump:
-    """A dump from its pieces between semicolons: (file, place, text)."""
-    return Dump(dump_rows(fragments), fragments)
+    """A dump from its pieces between semicolons: (file, place, text).
+
+    The text is parsed once: its tuples are written to the shared folder and read from there.
+    """
+    return Dump(written_table(dump_rows(fragments), "dump-rows"), fragments)
 
 
 def read_sql_dump(spark: SparkSession, paths: str | list[str]) -> Dump:

@@ -164,4 +164,4 @@ def test_table_names(spark):
         [(["Column_1", "x", "A telling name that is long (really)"],), (["Column_1"],), ([],)], "n array<string>"
     )
     got = names.select(grids.table_name(F.lit(2), F.lit(3), F.col("n")).alias("t")).collect()
-    assert [r["t"] for r in got] == ["Page 2 - Table 3 (A telling name th)", "Page 2 - Table 3", "Page 2 - Table 3"]
+    assert [r["t"] for r in got] == ["Page 2 - Table 3 (A telling name tha)", "Page 2 - Table 3", "Page 2 - Table 3"]
