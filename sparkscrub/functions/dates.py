@@ -81,13 +81,14 @@ def _to_24_hours(s: Column) -> Column:
     clock = r"^(.*?)(\d{1,2})(:[0-9:.]*)\s*([ap])m$"
     hour = F.regexp_extract(s, clock, 2).try_cast("int") % 12 + F.when(s.endswith("pm"), 12).otherwise(0)
     rebuilt = F.concat(F.regexp_extract(s, clock, 1), hour.cast("string"), F.regexp_extract(s, clock, 3))
-    return F.when(s.rlike(clock), rebuilt).otherwise(s)
+    return F.when(s.endswith("m") & s.rlike(clock), rebuilt).otherwise(s)
 
 
 def _number_months(s: Column) -> Column:
+    numbered = s
     for i, name in enumerate(_MONTHS, start=1):
-        s = F.replace(s, F.lit(name), F.lit(f"#{i}#"))
-    return s
+        numbered = F.replace(numbered, F.lit(name), F.lit(f"#{i}#"))
+    return F.when(s.rlike("[a-z]{3}"), numbered).otherwise(s)
 
 
 def parse_free_date(c: Column, day_first: bool = True) -> Column:

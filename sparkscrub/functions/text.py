@@ -7,13 +7,14 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Every character that counts as white space, NBSP and the separators included.
+# Every character with the Unicode white space property, NBSP included.
 SPACES = (
-    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
     "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
-_SPACE = r"\x09-\x0d\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_VISIBLE = f"[^{_SPACE}]"
+# (?U) makes \s and \S follow the same property; plain \s misses NBSP.
+_SPACE_RUN = r"(?U)\s+"
+_VISIBLE = r"(?U)\S"
 
 CASES = ("lower", "upper", "title", "capitalize")
 
@@ -24,12 +25,11 @@ def strip(c: Column) -> Column:
 
 
 def collapse_spaces(c: Column) -> Column:
-    """Every run of white space as one space. Single plain spaces are not touched at all."""
-    return F.regexp_replace(c, f"[{_SPACE}]{{2,}}|[{_SPACE}&&[^ ]]", " ")
+    return F.regexp_replace(c, _SPACE_RUN, " ")
 
 
 def drop_spaces(c: Column) -> Column:
-    return F.regexp_replace(c, f"[{_SPACE}]+", "")
+    return F.regexp_replace(c, _SPACE_RUN, "")
 
 
 def is_blank(c: Column) -> Column:
@@ -37,8 +37,9 @@ def is_blank(c: Column) -> Column:
     return ~c.rlike(_VISIBLE)
 
 
-def blank_to_null(c: Column) -> Column:
-    return F.when(c.rlike(_VISIBLE), c)
+def blank_to_null(c: Column, value: Column | None = None) -> Column:
+    """Null where ``c`` is blank, else ``value`` (``c`` itself by default)."""
+    return F.when(c.rlike(_VISIBLE), c if value is None else value)
 
 
 def capitalize(c: Column) -> Column:

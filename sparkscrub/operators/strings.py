@@ -44,7 +44,9 @@ def string_cleaner(
         if custom_regex_replace and custom_regex_replace[0]:
             new = F.regexp_replace(new, *custom_regex_replace)
         if empty_to_null:
-            new = text.blank_to_null(new)
+            # Only dropping or replacing characters can blank a text that was not blank before.
+            asked = new if remove_special_chars or custom_regex_replace else old
+            new = text.blank_to_null(asked, new)
         return Cleaned(new, differs(old, new))
 
     return cleaner

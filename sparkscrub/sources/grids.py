@@ -37,7 +37,7 @@ def distinct_header(names: Column) -> Column:
 
 def clean_cells(cells: Column, width: Column) -> Column:
     """Cells with spaces collapsed and blanks null, padded or cut to ``width``."""
-    tidy = F.transform(cells, lambda c: text.collapse_spaces(text.strip(text.blank_to_null(c))))
+    tidy = F.transform(cells, lambda c: text.blank_to_null(c, text.collapse_spaces(text.strip(c))))
     padding = F.array_repeat(F.lit(None).cast("string"), F.greatest(width - F.size(cells), F.lit(0)))
     return F.slice(F.concat(tidy, padding), F.lit(1), width)
 
