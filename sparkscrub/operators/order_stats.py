@@ -71,8 +71,9 @@ def _long_median(values: DataFrame, n: int, small: int) -> float:
     return (low + high) / 2
 
 
-def nth_value(values: DataFrame, n: int, k: int, small: int = SMALL) -> float:
-    """The ``k``-th smallest (from 0) of the ``n`` non-null numbers in column ``v``."""
+def nth_value(values: DataFrame, n: int, k: int, small: int | None = None) -> float:
+    """The ``k``-th smallest (from 0) of the ``n`` non-null numbers (or times) in column ``v``."""
+    small = SMALL if small is None else small
     v = F.col("v")
     lo = hi = None
     below, inside = 0, n

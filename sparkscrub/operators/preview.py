@@ -10,10 +10,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkscrub.functions.columns import ROW_INDEX, col, data_columns, dtype, is_missing, nan_to_null, require_index
+from sparkscrub.functions.columns import (
+    ROW_INDEX, col, data_columns, dtype, is_missing, is_numeric, nan_to_null, require_index,
+)
 from sparkscrub.functions.text import iso_text
+from sparkscrub.operators.order_stats import nth_value
 
 PAGE_SIZE = 50
+DEEP = 100_000
+"""From this row on, a page is found by its first key instead of by skipping rows."""
 
 
 def matches(df: DataFrame, query: str, regex: bool = False, index: str = ROW_INDEX) -> Column:
@@ -81,26 +86,59 @@ def preview(
     """One page of the filtered, sorted table. The page is clamped to the pages there are.
 
     The rows come from a top-k. For pages in the second half the order is turned round, so
-    the top-k runs from the nearer end.
+    the top-k runs from the nearer end; far from both ends the sort key of the page's first
+    row is found first, and the top-k starts there.
     """
     require_index(df, index)
     hit = matches(df, search_query, regex, index) if search_query else F.lit(True)
     total, found = df.agg(F.count(F.lit(1)), F.count_if(hit)).first()
     pages = max(1, -(-found // page_size))
     page = max(1, min(page, pages))
-    order = _order(df, sort_col, sort_dir.lower() == "asc", index)
+    ascending = sort_dir.lower() == "asc"
+    order = _order(df, sort_col, ascending, index)
     start = (page - 1) * page_size
     size = min(page_size, found - start)
     part = df.filter(hit)
-    if start <= found // 2:
+    if DEEP < start < found - DEEP and _has_ranks(df, sort_col):
+        rows = part.filter(_at_or_after(part, sort_col, ascending, index, start)).orderBy(*order).limit(size)
+    elif start <= found // 2:
         rows = part.orderBy(*order).offset(start).limit(page_size)
     else:
-        tail = part.orderBy(*_reversed(df, sort_col, sort_dir.lower() == "asc", index)).offset(found - start - size)
+        tail = part.orderBy(*_reversed(df, sort_col, ascending, index)).offset(found - start - size)
         rows = tail.limit(size).orderBy(*order)
     types = {n: dtype(df, n).simpleString() for n in df.columns if n != index}
     return Page(page_rows(rows, index), found, total, pages, page, page_size, types)
 
 
+def _has_ranks(df: DataFrame, sort_col: str | None) -> bool:
+    """Whether the sort key can be searched by rank: numbers, dates and times can."""
+    if sort_col is None or sort_col not in df.columns:
+        return True
+    dt = dtype(df, sort_col)
+    return is_numeric(dt) or isinstance(dt, (T.DateType, T.TimestampType, T.TimestampNTZType))
+
+
+def _at_or_after(part: DataFrame, sort_col: str | None, ascending: bool, index: str, start: int) -> Column:
+    """The rows from sorted position ``start`` on, as a condition on sort key and index."""
+    place = col(index)
+
+    def place_at(rows: DataFrame, n: int, k: int) -> Column:
+        return place >= nth_value(rows.select(place.alias("v")), n, k)
+
+    if sort_col is None or sort_col not in part.columns:
+        return place_at(part, part.count(), start)
+    key = nan_to_null(col(sort_col), dtype(part, sort_col))
+    rows, present = part.agg(F.count(F.lit(1)), F.count(key)).first()
+    if start >= present:
+        return key.isNull() & place_at(part.filter(key.isNull()), rows - present, start - present)
+    first = F.lit(
+        nth_value(part.select(key.alias("v")).filter("v IS NOT NULL"), present, start if ascending else present - 1 - start)
+    )
+    beyond, ahead = (key > first, key < first) if ascending else (key < first, key > first)
+    before, ties = part.agg(F.count_if(ahead), F.count_if(key == first)).first()
+    return beyond | key.isNull() | ((key == first) & place_at(part.filter(key == first), ties, start - before))
+
+
 def _reversed(df: DataFrame, sort_col: str | None, ascending: bool, index: str) -> list[Column]:
     if sort_col is None or sort_col not in df.columns:
         return [col(index).desc()]

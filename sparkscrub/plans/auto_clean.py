@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 
@@ -19,9 +20,15 @@ from sparkscrub.session import written_table
 class AutoClean:
     data: DataFrame
     recipe: Recipe
-    audit: DataFrame
     before: Profile
     after: Profile
+    frames: list[DataFrame]
+    """The raw table and the cleaned one with the change flags of its steps."""
+
+    @cached_property
+    def audit(self) -> DataFrame:
+        """One row per step; counted when first asked for."""
+        return audit_rows(self.recipe.steps, self.frames)
 
 
 def quick_fix(column: str, detected_type: str, action: str | None) -> Step:
@@ -108,4 +115,4 @@ def auto_clean(
         frames[-1] = data
     result = strip_flags(data)
     after = profile_dataset(result, index=index, mode=mode)
-    return AutoClean(result, recipe, audit_rows(recipe.steps, frames), before, after)
+    return AutoClean(result, recipe, before, after, frames)

@@ -69,12 +69,13 @@ def table_name(page: Column, table: Column, names: Column) -> Column:
 
 def inspect_grids(grid: DataFrame, preview_rows: int = PREVIEW_ROWS) -> DataFrame:
     """One row per table that has data: id, name, sizes, names, first rows, document totals."""
-    rows = data_rows(grid)
-    counted = rows.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("rows"))
+    counted = grid.groupBy(*KEYS).agg((F.count(F.lit(1)) - 1).alias("rows")).filter("rows > 0")
     nth = F.row_number().over(Window.partitionBy(*KEYS).orderBy("row_no"))
-    first = rows.withColumn("nth", nth).filter(F.col("nth") <= preview_rows)
-    shown = first.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("nth", "cells"))).alias("top"))
-    tables = headers(grid).join(counted, KEYS).join(shown, KEYS)
+    first = grid.select(*KEYS, "row_no", "cells").withColumn("nth", nth).filter(F.col("nth") <= preview_rows + 1)
+    top = first.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("nth", "cells"))).getField("cells").alias("top"))
+    plain = counted.join(top, KEYS).withColumn("plain", plain_header(F.col("top")[0]))
+    tables = plain.withColumn("names", distinct_header(F.col("plain")))
+    shown = F.transform(F.slice("top", 2, preview_rows), lambda r: clean_cells(r, F.size("names")))
     document = tables.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("total_tables"), (F.min("names") == F.max("names")).alias("columns_match")
     )
@@ -89,7 +90,7 @@ def inspect_grids(grid: DataFrame, preview_rows: int = PREVIEW_ROWS) -> DataFram
         "rows",
         F.size("names").alias("columns"),
         F.col("names").alias("column_names"),
-        F.transform("top", lambda t: t["cells"]).alias("preview"),
+        shown.alias("preview"),
         "total_tables",
         "columns_match",
     )

@@ -50,6 +50,17 @@ def read_table(spark: SparkSession, path: str, table: str | None = None, row_ind
     return df if row_index else df.drop(ROW_INDEX)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for an input that comes in fewer pieces than there are cores.
+
+    A file of one row group cannot be split by the scan, so the work on its rows would run
+    in one task. An input with enough pieces is left alone: no shuffle at scale. Call it on
+    a table straight from a reader, and only where the work per row is heavy.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def list_files(spark: SparkSession, directory: str) -> list[str]:
     """Every file below a directory. Only the listing is read, no content."""
     listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(directory)

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkscrub.sources.readers import spread
+
 PEOPLE = {
     "customer_id": "c_custkey",
     "name": """CASE c_custkey % 5
@@ -86,7 +88,7 @@ def _select(exprs: dict[str, str]) -> list[str]:
 
 
 def people(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "customer").selectExpr("c_custkey AS _row_index", *_select(PEOPLE))
+    return spread(table(spark, sf, "customer")).selectExpr("c_custkey AS _row_index", *_select(PEOPLE))
 
 
 PEOPLE_SQL = f"people AS (SELECT c_custkey AS _row_index, {', '.join(_select(PEOPLE))} FROM customer)"
@@ -111,7 +113,7 @@ def order_dates(spark: SparkSession, sf: str) -> DataFrame:
     for k, (pattern, _) in ORDER_DATES.items():
         text = text.when(kind == k, F.date_format("o_orderdate", pattern))
     text = text.when(kind == 4, "not a date")
-    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("_row_index"), text.alias("placed"))
+    return spread(table(spark, sf, "orders")).select(F.col("o_orderkey").alias("_row_index"), text.alias("placed"))
 
 
 ORDER_DATES_SQL = (
@@ -138,7 +140,7 @@ VISITS_SQL = "visits AS (SELECT event_id AS _row_index, user_id, event_type FROM
 
 
 def texts(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").selectExpr("doc_id AS _row_index", "text", "lang", "source", "n_chars")
+    return spread(table(spark, sf, "documents")).selectExpr("doc_id AS _row_index", "text", "lang", "source", "n_chars")
 
 
 TEXTS_SQL = "texts AS (SELECT doc_id AS _row_index, text, lang, source, n_chars FROM documents)"
@@ -146,7 +148,7 @@ TEXTS_SQL = "texts AS (SELECT doc_id AS _row_index, text, lang, source, n_chars
 
 def grid(spark: SparkSession, sf: str) -> DataFrame:
     """Orders as extracted table cells: a document per customer, a page per year, header rows included."""
-    orders = table(spark, sf, "orders")
+    orders = spread(table(spark, sf, "orders"))
     keys = [F.col("o_custkey").alias("doc_id"), F.year("o_orderdate").alias("page"), F.lit(1).alias("table")]
     head = F.array(*[F.lit(h) for h in ("Order\nKey", "Status (code) ", "Price", "", "Price")])
     heads = orders.select(*keys).distinct().select("*", F.lit(0).cast("bigint").alias("row_no"), head.alias("cells"))

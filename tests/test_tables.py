@@ -238,6 +238,41 @@ def test_pages_cover_the_table(spark, direction):
     assert (none.total_pages, none.current_page, none.rows.count()) == (1, 1, 0)
 
 
+@pytest.mark.parametrize("sort_col", [None, "k", "d"])
+@pytest.mark.parametrize("direction", ["asc", "desc"])
+def test_deep_pages(spark, monkeypatch, direction, sort_col):
+    """Pages far from both ends are found by their first key, through ties and missing keys."""
+    from sparkscrub.operators import order_stats, preview
+
+    monkeypatch.setattr(preview, "DEEP", 5)
+    monkeypatch.setattr(order_stats, "SMALL", 8)
+    def key(i):
+        return None if i % 7 == 0 else i % 3
+
+    rows = [(i, key(i), None if key(i) is None else f"2020-01-0{key(i) + 1}") for i in range(200)]
+    df = spark.createDataFrame(rows, "_row_index bigint, k int, d string").withColumn("d", F.col("d").cast("date"))
+    sign = 1 if direction == "asc" else -1
+    want = sorted(range(200), key=lambda i: (key(i) is None, sign * (key(i) or 0), i) if sort_col else i)
+    got = []
+    for p in range(1, 6):
+        page = ss.preview(df.repartition(3), page=p, page_size=40, sort_col=sort_col, sort_dir=direction).rows
+        got += [r["_row_index"] for r in page.collect()]
+    assert got == want
+
+
+def test_first_values_beyond_the_first_rows(spark):
+    from sparkscrub.operators.type_profile import first_values
+
+    df = spark.range(1000).select(
+        (F.col("id") * 3).alias("_row_index"), F.lit("x").alias("a"),
+        F.when(F.col("id") % 50 == 49, F.col("id").cast("string")).alias("b"), F.lit(None).cast("string").alias("c"),
+    ).repartition(4)
+    got = first_values(df, ["a", "b", "c"], n=10, near=60).orderBy("position", "row_index").collect()
+    assert [r["row_index"] for r in got if r["position"] == 0] == [i * 3 for i in range(10)]
+    assert [r["value"] for r in got if r["position"] == 1] == [str(49 + 50 * i) for i in range(10)]
+    assert [r for r in got if r["position"] == 2] == []
+
+
 def test_page_shows_plain_cells(spark):
     df = spark.sql("SELECT 0L AS _row_index, timestamp_ntz'2020-01-02 03:04:05' AS t, double('nan') AS d, date'2020-01-02' AS u")
     row = ss.preview(df).rows.first()
