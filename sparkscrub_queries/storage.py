@@ -14,7 +14,7 @@ from sparkscrub.sources.sqldump import parse_dump
 from sparkscrub.streaming.clean_stream import write_clean_stream
 from sparkscrub_queries import sql as q
 from sparkscrub_queries.inputs import (
-    PEOPLE, PEOPLE_SQL, dump_pieces, grid, people, table,
+    CROWD_SQL, PEOPLE, PEOPLE_SQL, crowd, dump_pieces, grid, people, table,
 )
 
 # ---- files --------------------------------------------------------------------------------
@@ -171,6 +171,27 @@ def table_overview(spark, sf):
     return ss.tables_overview(tables, actions={"part": 3}, active="customer")
 
 
+def workbook_overview(spark, sf):
+    """Steps on two tables, one of them undone, and the first table still as it was left."""
+    book = ss.Workbook({"crowd": crowd(spark, sf), "parts": table(spark, sf, "part")})
+    book = book.add("dedupe").add("clean_emails", "email").switch("parts").add("clean_strings", "p_name")
+    return book.undo().switch("crowd").overview()
+
+
+_WORKBOOK = q.with_(
+    CROWD_SQL,
+    f"""SELECT 'crowd' AS name, COUNT(*) AS rows, 9 AS columns, true AS is_active, true AS is_cleaned,
+    2 AS actions_count FROM (SELECT DISTINCT {', '.join(PEOPLE)} FROM crowd)
+    UNION ALL SELECT 'parts', COUNT(*), 6, false, false, 0 FROM part""",
+)
+
+
+def table_names(spark, sf):
+    """The name of every extracted table, made from its page, number and first column."""
+    heads = grids.headers(grid(spark, sf))
+    return heads.select(*grids.KEYS, grids.table_name(F.col("page"), F.col("table"), F.col("names")).alias("name"))
+
+
 # ---- extracted grids ----------------------------------------------------------------------
 
 
@@ -357,6 +378,12 @@ QUERIES = {
         """SELECT 'customer' AS name, COUNT(*) AS rows, 5 AS columns, true AS is_active, false AS is_cleaned,
         0 AS actions_count FROM customer UNION ALL SELECT 'part', COUNT(*), 6, false, true, 3 FROM part""",
     ),
+    "workbook_overview": (workbook_overview, _WORKBOOK),
+    "table_names": (
+        table_names,
+        """SELECT DISTINCT o_custkey AS doc_id, CAST(year(o_orderdate) AS INT) AS page, 1 AS "table",
+        'Page ' || year(o_orderdate) || ' - Table 1 (Order Key)' AS name FROM orders""",
+    ),
     "grid_to_table": (grid_to_table, _GRID_ROWS),
     "grid_inspect": (grid_inspect, _GRID_INSPECT),
     "grid_export": (grid_export, _GRID_EXPORT),

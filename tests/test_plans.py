@@ -128,3 +128,15 @@ def test_shared_folder_is_read_from_the_session(spark):
         assert shared_dir(spark) == named
     assert fresh_path(spark, "x").startswith(shared_dir(spark))
     assert cut_lineage(spark.range(3).withColumn("v", F.lit(1))).count() == 3
+
+
+def test_workbook(spark, table, tmp_path):
+    book = ss.Workbook({"a": table("v string", [(" x",), (" x",)]), "b": table("v string", [("y ",)])})
+    book = book.add("dedupe").add("clean_strings", "v").switch("b").add("clean_strings", "v").add("fill", "v", value="?")
+    assert book.current("a").select("v").collect()[0]["v"] == "x"
+    assert [len(b.recipes["b"].steps) for b in (book, book.undo(), book.reset())] == [2, 1, 0]
+    rows = {r["name"]: (r["rows"], r["is_active"], r["actions_count"]) for r in book.overview().collect()}
+    assert rows == {"a": (1, False, 2), "b": (1, True, 2)}
+    assert book.audit("a").count() == 2
+    paths = book.write(str(tmp_path / "w"))
+    assert spark.read.parquet(paths["b"]).first()["v"] == "y"
