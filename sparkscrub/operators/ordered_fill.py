@@ -42,8 +42,12 @@ def ordered_fill(
     index: str = ROW_INDEX,
     bucket_bits: int = BUCKET_BITS,
     block_bits: int = BLOCK_BITS,
+    own: bool = True,
 ) -> DataFrame:
-    """Fill missing cells from the nearest value above (or below); the table's edge stays null."""
+    """Fill missing cells from the nearest value above (or below); the table's edge stays null.
+
+    Without ``own`` a cell's own value does not count: every cell gets the nearest other one.
+    """
     require_index(df, index)
     names = data_columns(df, columns)
     position = col(index).cast("bigint")
@@ -59,7 +63,9 @@ def ordered_fill(
     buckets = df.groupBy(bucket.alias("bucket")).agg(*[last_of(n).alias(k) for n, k in zip(names, carried)])
     entering = _entering(buckets, carried, block_bits).withColumnRenamed("bucket", "_bucket")
 
-    up_to_here = Window.partitionBy("_bucket").orderBy("_position").rowsBetween(Window.unboundedPreceding, 0)
+    up_to_here = Window.partitionBy("_bucket").orderBy("_position").rowsBetween(
+        Window.unboundedPreceding, 0 if own else -1
+    )
     placed = df.withColumns({"_bucket": bucket, "_position": position})
     filled = placed.withColumns(
         {n: F.last(nan_to_null(col(n), dtype(df, n)), ignorenulls=True).over(up_to_here) for n in names}

@@ -1,8 +1,9 @@
 """SQL dump text: the rows of its INSERT statements as tables.
 
-The text is split at every ``;`` by the reader, so a dump of any size is read in parallel
-and the unit of work is one statement. A ``;`` inside a quoted value cuts a statement in
-two; where that happens the pieces are joined again by counting quotes along the file.
+The text is read line by line, so one statement may fill a file of any size and is still
+read in parallel. Lines are joined only where a quoted value, a parenthesis or a statement
+head runs over several lines: quotes and parentheses are counted along the file for that.
+The head that a tuple belongs to is carried down from the line it stands on.
 """
 
 from __future__ import annotations
@@ -12,72 +13,144 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkscrub.functions.columns import ROW_INDEX, col
+from sparkscrub.functions.columns import ROW_INDEX
 from sparkscrub.functions.text import strip
-from sparkscrub.operators.running import running_total
+from sparkscrub.operators.ordered_fill import ordered_fill
+from sparkscrub.operators.running import dense_index, running_total
 from sparkscrub.session import written_table
-from sparkscrub.sources.rowid import text_place
+from sparkscrub.sources.rowid import PLACE_BITS, text_place
 
 _NAME = r"[`\"']?([a-zA-Z0-9_]+)[`\"']?"
-_INSERT = r"(?is)INSERT\s+INTO\s+" + _NAME + r"\s*(?:\(([^)]+)\))?\s*VALUES\s*(\(.*)$"
-_CREATE = r"(?i)CREATE\s+TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?" + _NAME
 _QUOTED = r"'[^']*+(?:''[^']*+)*+'|\"[^\"]*+(?:\"\"[^\"]*+)*+\""
-_TUPLE = rf"\(((?:{_QUOTED}|[^()'\"]++|\([^()]*+\))*+)\)"
+_HEAD = r"INSERT\s+INTO\s+" + _NAME + r"\s*(?:\(([^()]*)\))?\s*VALUES"
+_TUPLE = rf"\((?:{_QUOTED}|[^()'\"]++|\([^()]*+\))*+\)"
 _ITEM = rf"((?:{_QUOTED}|[^,'\"(]++|\([^()]*+\))++)"
-_COMMENT_LINE = r"(?m)^\s*--.*$"
+# Quoted text outside tuples is a token too, so that nothing inside it is taken for one.
+_TOKEN = rf"(?is)({_HEAD.replace('([a', '(?:[a').replace('([^()]*)', '(?:[^()]*)')}|{_TUPLE}|;|{_QUOTED})"
+_CREATE = r"(?i)CREATE\s+TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?" + _NAME
+_COMMENT = r"^\s*(?:--|#)"
 
+# A head without its VALUES opens a piece; a line that only brings the VALUES closes it.
+_OPEN_HEAD = r"(?is)INSERT\s+INTO\s+(?!.*\bVALUES\b)"
+_LATE_VALUES = r"(?is)^(?!.*INSERT\s+INTO).*(?:^\s*(?:\([^()]*\))?\s*VALUES\b|\bVALUES\s*$)"
 
-def _inside_quotes(fragment: Column) -> Column:
-    """1 where the fragment opens or closes a quote it does not close or open."""
-    plain = F.regexp_replace(fragment, _COMMENT_LINE, "")
-    return (F.length(plain) - F.length(F.replace(plain, F.lit("'"), F.lit("")))) % 2
 
+def _occurrences(c: Column, mark: str) -> Column:
+    return F.length(c) - F.length(F.replace(c, F.lit(mark), F.lit("")))
 
-def statements(fragments: DataFrame) -> DataFrame:
-    """Whole statements (file, place, text) from the pieces between semicolons.
 
-    One look tells whether any piece ends inside a quote. If none does, the pieces are the
-    statements and no row moves.
+def _joined(pieces: DataFrame, state: DataFrame | None) -> DataFrame:
+    """Join consecutive pieces of a file up to each one that ``closes`` (file, place, closes).
+
+    Where nothing is ever open there is no state: the pieces are returned and no row moves.
     """
-    marked = fragments.withColumn("odd", _inside_quotes(F.col("text")).cast("bigint"))
-    if marked.filter("odd = 1").isEmpty():
-        return fragments
-    counted = running_total(marked, F.col("odd"), "before", position="place", keys=["file"])
-    closed = (F.col("before") + F.col("odd")) % 2 == 0
-    ends = counted.select("file", "place", "text", closed.cast("bigint").alias("ends"))
-    ends = written_table(ends, "dump-pieces")
-    numbered = running_total(ends, F.col("ends"), "statement", position="place", keys=["file"])
-    pieces = F.array_sort(F.collect_list(F.struct("place", "text")))
-    return numbered.groupBy("file", "statement").agg(F.min("place").alias("place"), pieces.alias("pieces")).select(
-        "file", "place", F.array_join(F.col("pieces.text"), ";").alias("text")
+    if state is None:
+        return pieces
+    numbered = running_total(written_table(state, "dump-state"), F.col("closes"), "unit", "place", ["file"])
+    lines = F.array_sort(F.collect_list(F.struct("place", "text")))
+    whole = pieces.join(numbered.drop("closes"), ["file", "place"]).groupBy("file", "unit").agg(
+        F.min("place").alias("place"), lines.alias("lines")
     )
+    text = F.array_join(F.col("lines").getField("text"), "\n")
+    return written_table(whole.select("file", "place", text.alias("text")), "dump-units")
 
 
-def dump_rows(fragments: DataFrame) -> DataFrame:
-    """One row per inserted tuple: (table_name, file, place, nth, names, items).
+def _closes(still_open: Column) -> Column:
+    return F.when(still_open, 0).otherwise(1).cast("bigint").alias("closes")
+
+
+def _quote_state(lines: DataFrame) -> DataFrame | None:
+    """Which lines end outside quotes.
+
+    A line with an odd number of quotes turns inside to outside and back. One that has or
+    looks like a comment always ends outside: outside the odd quote stands in the comment,
+    inside it closes the quoted text. So the count starts anew behind such a line.
+    """
+    odd = (_occurrences(F.col("text"), "'") % 2).cast("bigint")
+    comment = F.col("text").rlike(_COMMENT) | F.regexp_replace("text", _QUOTED, "").rlike("^[^']*--")
+    marked = lines.select("file", "place", odd.alias("odd"), comment.alias("comment"))
+    if marked.filter("odd = 1").isEmpty():
+        return None
+    keys = ["file"]
+    if not marked.filter("odd = 1 AND comment").isEmpty():
+        resets = (F.col("odd") * F.col("comment").cast("bigint")).cast("bigint")
+        marked = written_table(running_total(marked, resets, "part", "place", keys), "dump-quotes")
+        keys = ["file", "part"]
+    turns = F.when(~F.col("comment"), F.col("odd")).otherwise(0)
+    counted = running_total(marked, turns, "before", "place", keys)
+    inside = (F.col("before") + turns) % 2 == 1
+    return counted.select("file", "place", _closes(inside & ~(F.col("comment") & (F.col("odd") == 1))))
+
+
+def _depth_state(pieces: DataFrame) -> DataFrame | None:
+    """Which pieces end outside parentheses and with their statement's head complete."""
+    plain = F.regexp_replace("text", _QUOTED, "")
+    depth = _occurrences(plain, "(") - _occurrences(plain, ")")
+    depth += plain.rlike(_OPEN_HEAD).cast("int") - plain.rlike(_LATE_VALUES).cast("int")
+    change = F.when(F.col("text").rlike(_COMMENT), 0).otherwise(depth).cast("bigint")
+    marked = pieces.select("file", "place", change.alias("change"))
+    if marked.filter("change <> 0").isEmpty():
+        return None
+    counted = running_total(marked, F.col("change"), "before", "place", ["file"])
+    return counted.select("file", "place", _closes(F.col("before") + F.col("change") > 0))
+
+
+def units(lines: DataFrame) -> DataFrame:
+    """Lines (file, place, text), joined so that no quote, tuple or head is cut."""
+    quoted = _joined(lines, _quote_state(lines))
+    return _joined(quoted, _depth_state(quoted))
+
+
+def dump_rows(lines: DataFrame) -> DataFrame:
+    """One row per inserted tuple: (table_name, row index, names, items).
 
     ``items`` are (kind, value) with kind int, float, text or null.
     """
-    found = statements(fragments).filter(F.col("text").rlike(r"(?i)INSERT\s+INTO")).select(
-        "file",
-        "place",
-        F.regexp_extract("text", _INSERT, 1).alias("table_name"),
-        F.regexp_extract("text", _INSERT, 2).alias("listed"),
-        F.regexp_extract_all(F.regexp_extract("text", _INSERT, 3), F.lit(_TUPLE), F.lit(1)).alias("tuples"),
-    ).filter("table_name <> ''")
-
-    def items_of(body: Column) -> Column:
-        raw = F.regexp_extract_all(body, F.lit(_ITEM), F.lit(1))
-        return F.transform(F.transform(raw, strip), _literal)
-
-    width = F.size(F.regexp_extract_all(F.col("tuples")[0], F.lit(_ITEM), F.lit(1)))
+    whole = units(lines).filter(~F.col("text").rlike(_COMMENT))
+    files = [r[0] for r in whole.select("file").distinct().orderBy("file").collect()]
+    ranks = lines.sparkSession.createDataFrame(list(enumerate(files)), "rank bigint, file string")
+    tokens = F.filter(
+        F.regexp_extract_all("text", F.lit(_TOKEN), F.lit(1)), lambda t: ~F.left(t, F.lit(1)).isin("'", '"')
+    )
+    parsed = whole.join(ranks, "file").select(
+        (F.shiftleft("rank", PLACE_BITS) + F.col("place")).alias("at"), tokens.alias("tokens")
+    )
+    marks = F.filter(
+        F.transform("tokens", lambda t, i: F.struct(i.alias("i"), t.alias("mark"))),
+        lambda m: ~m["mark"].startswith("("),
+    )
+    rank = F.shiftright("at", PLACE_BITS)
+    last = F.try_element_at("marks", F.lit(-1)).getField("mark")
+    parsed = parsed.withColumn("marks", marks).withColumns(
+        # The file's rank goes along, so that a head is not carried into the next file.
+        {"out": F.concat(rank.cast("string"), F.lit(":"), last), "n": F.size("tokens")}
+    )
+    parsed = written_table(parsed.filter("n > 0"), "dump-tokens")
+    slim = parsed.select("at", "out", "n")
+    carried = ordered_fill(slim, ["out"], index="at", own=False).select("at", F.col("out").alias("above"))
+    starts = running_total(slim.select("at", "n"), F.col("n"), "start", "at").select("at", "start")
+    placed = parsed.drop("out", "n").join(carried, "at").join(starts, "at")
+    same_file = F.substring_index("above", ":", 1) == rank.cast("string")
+    above = F.when(same_file, F.regexp_replace("above", "^[0-9]+:", ""))
+    one = placed.select("marks", "start", above.alias("above"), F.posexplode("tokens").alias("pos", "token"))
+    before = F.try_element_at(F.filter("marks", lambda m: m["i"] < F.col("pos")), F.lit(-1)).getField("mark")
+    headed = one.filter(F.col("token").startswith("(")).select(
+        (F.col("start") + F.col("pos")).alias(ROW_INDEX), F.coalesce(before, "above").alias("head"), "token"
+    )
+    rows = headed.filter("head <> ';'").select(
+        ROW_INDEX,
+        F.regexp_extract("head", "(?is)" + _HEAD, 1).alias("table_name"),
+        F.regexp_extract("head", "(?is)" + _HEAD, 2).alias("listed"),
+        F.regexp_extract_all(F.expr("substring(token, 2, length(token) - 2)"), F.lit(_ITEM), F.lit(1)).alias("raw"),
+    )
     given = F.transform(F.split("listed", ","), lambda x: F.regexp_replace(x, r"^[\s`\"']+|[\s`\"']+$", ""))
-    numbered = F.transform(F.sequence(F.lit(1), width), lambda i: F.concat(F.lit("column_"), i.cast("string")))
-    named = found.filter(F.size("tuples") > 0).withColumn(
-        "names", F.when(F.col("listed") == "", numbered).otherwise(given)
+    numbered = F.transform(F.sequence(F.lit(1), F.size("raw")), lambda i: F.concat(F.lit("column_"), i.cast("string")))
+    return rows.select(
+        ROW_INDEX,
+        "table_name",
+        F.when(F.col("listed") == "", numbered).otherwise(given).alias("names"),
+        F.transform(F.transform("raw", strip), _literal).alias("items"),
     )
-    exploded = named.select("file", "place", "table_name", "names", F.posexplode("tuples").alias("nth", "body"))
-    return exploded.select("table_name", "file", "place", "nth", "names", items_of(F.col("body")).alias("items"))
 
 
 def _literal(x: Column) -> Column:
@@ -102,19 +175,22 @@ def _literal(x: Column) -> Column:
 @dataclass(frozen=True)
 class Dump:
     rows: DataFrame
-    fragments: DataFrame
+    lines: DataFrame
 
     def tables(self) -> list[str]:
         """Table names in order of first appearance; from CREATE TABLE if nothing is inserted."""
-        first = self.rows.groupBy("table_name").agg(F.min(F.struct("file", "place")).alias("at"))
+        first = self.rows.groupBy("table_name").agg(F.min(ROW_INDEX).alias("at"))
         names = [r[0] for r in first.orderBy("at").collect()]
         if names:
             return names
         created = F.explode(F.regexp_extract_all("text", F.lit(_CREATE), F.lit(1))).alias("table_name")
-        return [r[0] for r in self.fragments.select(created).distinct().orderBy("table_name").collect()]
+        return [r[0] for r in self.lines.select(created).distinct().orderBy("table_name").collect()]
 
     def pick(self, table: str | None) -> str:
+        """The named table, or the first one."""
         names = self.tables()
+        if not names:
+            raise ValueError("the dump holds no table")
         return table if table in names else names[0]
 
     def table(self, name: str) -> DataFrame:
@@ -124,50 +200,38 @@ class Dump:
         """
         rows = self.rows.filter(F.col("table_name") == name)
         cell = F.arrays_zip("names", F.slice("items", 1, F.size("names")).alias("items"))
+        kind = F.coalesce(F.col("cell.items.kind"), F.lit("null"))
         seen = (
-            rows.select("file", "place", F.posexplode(cell).alias("i", "cell"))
+            rows.select(F.posexplode(cell).alias("i", "cell"))
             .groupBy(F.col("cell.names").alias("column"))
             .agg(
                 F.min("i").alias("i"),
-                F.bool_and(F.coalesce(F.col("cell.items.kind"), F.lit("null")).isin("int", "null")).alias("whole"),
-                F.bool_and(F.coalesce(F.col("cell.items.kind"), F.lit("null")).isin("int", "float", "null")).alias("number"),
+                F.bool_and(kind.isin("int", "null")).alias("whole"),
+                F.bool_and(kind.isin("int", "float", "null")).alias("number"),
                 F.bool_or(F.col("cell.items.value").isNotNull()).alias("any"),
             )
             .orderBy("i", "column")
             .collect()
         )
-        sized = rows.groupBy("file", "place").agg(F.count(F.lit(1)).alias("n"))
-        files = [r[0] for r in rows.select("file").distinct().orderBy("file").collect()]
-        starts = sized
-        if len(files) > 1:
-            ranks = rows.sparkSession.createDataFrame(list(enumerate(files)), "rank bigint, file string")
-            starts = starts.join(ranks, "file")
-        else:
-            starts = starts.withColumn("rank", F.lit(0).cast("bigint"))
-        starts = starts.withColumn("at", F.shiftleft("rank", 40) + F.col("place"))
-        starts = running_total(starts, F.col("n"), "start", position="at").select("file", "place", "start")
-        placed = rows.join(starts, ["file", "place"])
 
         def value(r) -> Column:
             spot = F.array_position("names", F.lit(r["column"]))
             text = F.when(spot > 0, F.try_element_at("items", F.greatest(spot, F.lit(1)).cast("int"))).getField("value")
-            kind = "bigint" if r["any"] and r["whole"] else "double" if r["any"] and r["number"] else "string"
-            return text.cast(kind).alias(r["column"])
+            to = "bigint" if r["any"] and r["whole"] else "double" if r["any"] and r["number"] else "string"
+            return (text if to == "string" else text.try_cast(to)).alias(r["column"])
 
-        index = (F.col("start") + F.col("nth")).cast("bigint").alias(ROW_INDEX)
-        return placed.select(index, *[value(r) for r in seen])
+        return dense_index(rows.select(ROW_INDEX, *[value(r) for r in seen]))
 
 
-def parse_dump(fragments: DataFrame) -> Dump:
-    """A dump from its pieces between semicolons: (file, place, text).
+def parse_dump(lines: DataFrame) -> Dump:
+    """A dump from its lines (file, place, text).
 
     The text is parsed once: its tuples are written to the shared folder and read from there.
     """
-    return Dump(written_table(dump_rows(fragments), "dump-rows"), fragments)
+    return Dump(written_table(dump_rows(lines), "dump-rows"), lines)
 
 
 def read_sql_dump(spark: SparkSession, paths: str | list[str]) -> Dump:
-    raw = spark.read.option("lineSep", ";").text(paths)
-    return parse_dump(
-        raw.select(F.col("_metadata.file_path").alias("file"), text_place().alias("place"), F.col("value").alias("text"))
-    )
+    raw = spark.read.text(paths)
+    file = F.col("_metadata.file_path").alias("file")
+    return parse_dump(raw.select(file, text_place().alias("place"), F.col("value").alias("text")))

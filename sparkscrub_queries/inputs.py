@@ -166,24 +166,25 @@ def grid(spark: SparkSession, sf: str) -> DataFrame:
     return heads.unionByName(body)
 
 
-def dump_pieces(spark: SparkSession, sf: str) -> DataFrame:
-    """Customers as the text of a SQL dump, in the pieces a reader makes at each semicolon.
+def dump_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers as the lines of a SQL dump (file, place, text).
 
-    Each statement holds two tuples, the second of them short. Some names hold a quote and a
-    semicolon.
+    Each statement holds two tuples on lines of their own, the second of them short. Some
+    names hold a quote, a semicolon and a line break; some heads fill two lines.
     """
     key = F.col("c_custkey").cast("string")
-    name = F.when(F.col("c_custkey") % 7 == 0, F.concat(F.lit("O''Neil; "), "c_name")).otherwise(F.col("c_name"))
+    name = F.when(F.col("c_custkey") % 7 == 0, F.concat(F.lit("O''Neil;\n-- "), "c_name")).otherwise(F.col("c_name"))
     segment = F.when(F.col("c_custkey") % 5 == 0, F.lit("NULL")).otherwise(
         F.concat(F.lit("'"), "c_mktsegment", F.lit("'"))
     )
-    values = F.concat(
-        F.lit("("), key, F.lit(", '"), name, F.lit("', "), segment, F.lit(", "),
-        F.col("c_nationkey").cast("string"), F.lit(".5), (-"), key, F.lit(", 'twin, of ("), key, F.lit(")')"),
+    gap = F.when(F.col("c_custkey") % 3 == 0, F.lit("\n")).otherwise(F.lit(" "))
+    statement = F.concat(
+        F.lit("INSERT INTO `people` (id, name, segment, score)"), gap, F.lit("VALUES\n("), key, F.lit(", '"), name,
+        F.lit("', "), segment, F.lit(", "), F.col("c_nationkey").cast("string"), F.lit(".5),\n(-"), key,
+        F.lit(", 'twin, of ("), key, F.lit(")');"),
     )
-    statement = F.concat(F.lit("\nINSERT INTO `people` (id, name, segment, score) VALUES "), values)
-    whole = table(spark, sf, "customer").select("c_custkey", F.posexplode(F.split(statement, ";")))
-    return whole.select(
-        F.lit("dump.sql").alias("file"), (F.col("c_custkey") * 4 + F.col("pos")).alias("place"),
+    lines = table(spark, sf, "customer").select("c_custkey", F.posexplode(F.split(statement, "\n")))
+    return lines.select(
+        F.lit("dump.sql").alias("file"), (F.col("c_custkey") * 8 + F.col("pos")).alias("place"),
         F.col("col").alias("text"),
     )

@@ -14,7 +14,7 @@ from sparkscrub.sources.sqldump import parse_dump
 from sparkscrub.streaming.clean_stream import write_clean_stream
 from sparkscrub_queries import sql as q
 from sparkscrub_queries.inputs import (
-    CROWD_SQL, PEOPLE, PEOPLE_SQL, crowd, dump_pieces, grid, people, table,
+    CROWD_SQL, PEOPLE, PEOPLE_SQL, crowd, dump_lines, grid, people, table,
 )
 
 # ---- files --------------------------------------------------------------------------------
@@ -257,11 +257,11 @@ _GRID_EXPORT = q.with_(
 
 
 def sql_dump_load(spark, sf):
-    return parse_dump(dump_pieces(spark, sf)).table("people")
+    return parse_dump(dump_lines(spark, sf)).table("people")
 
 
 _DUMP = """SELECT CAST(2 * (row_number() OVER (ORDER BY c_custkey) - 1) AS BIGINT) AS _row_index, c_custkey AS id,
-    CASE WHEN c_custkey % 7 = 0 THEN 'O''Neil; ' || c_name ELSE c_name END AS name,
+    CASE WHEN c_custkey % 7 = 0 THEN 'O''Neil;' || chr(10) || '-- ' || c_name ELSE c_name END AS name,
     CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_mktsegment END AS segment,
     CAST(c_nationkey AS DOUBLE) + 0.5 AS score FROM customer
     UNION ALL SELECT CAST(2 * (row_number() OVER (ORDER BY c_custkey) - 1) + 1 AS BIGINT), -c_custkey,

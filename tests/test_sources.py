@@ -119,6 +119,19 @@ INSERT INTO `people` (id, name, score) VALUES
 INSERT INTO other VALUES (10, 'x'), (11, NULL);
 insert into people (name, id) values ('late', 4);
 INSERT INTO people (id, name, score) VALUES (5);
+INSERT INTO people
+    (id, name, score)
+VALUES
+    (
+        6,
+        'two
+-- lines; (of it''s', 0.5
+    ),
+    (7, '', -1); -- that's it
+INSERT INTO people (name) VALUES ('x
+-- y''s');
+-- isn't
+INSERT INTO other VALUES (12, 'INSERT INTO people VALUES (0);')
 """
 
 
@@ -128,9 +141,25 @@ def test_sql_dump(spark, tmp_path):
     people = dump.table("people")
     assert people.dtypes[1:] == [("id", "bigint"), ("name", "string"), ("score", "double")]
     want = [(1, "  O'Neil; Ann ", 1.5), (2, "a, b (c)", None), (3, "dq, 'x'", 2.0), (4, "late", None), (5, None, None)]
+    want += [(6, "two\n-- lines; (of it's", 0.5), (7, "", -1.0), (None, "x\n-- y's", None)]
     assert rows(people) == want
-    assert rows(dump.table("other")) == [(10, "x"), (11, None)]
-    assert rows(ss.read_table(spark, str(tmp_path / "d.sql"), "other")) == [(10, "x"), (11, None)]
+    other = [(10, "x"), (11, None), (12, "INSERT INTO people VALUES (0);")]
+    assert rows(dump.table("other")) == other
+    assert rows(ss.read_table(spark, str(tmp_path / "d.sql"), "other")) == other
+
+
+def test_one_statement_over_many_blocks(spark, tmp_path):
+    body = ",\n".join(f"({i}, 'name {i}; it''s')" for i in range(900))
+    put(tmp_path / "d" / "a.sql", f"INSERT INTO t (a, b) VALUES\n{body};\n")
+    put(tmp_path / "d" / "b.sql", "(1, 'no head');\nINSERT INTO t VALUES (900, 'x');\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+        table = read_sql_dump(spark, str(tmp_path / "d")).table("t")
+        got = [(r["_row_index"], r["a"]) for r in table.orderBy("_row_index").collect()]
+        assert got[:900] == [(i, i) for i in range(900)] and len(got) == 901
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
 def test_sql_dump_without_rows(spark, tmp_path):
