@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Characters taken off an amount before it is read.
 _CURRENCY = "[₹$,€£ ]"
 # Spark's own cast also takes "1.5f" and "1d", hence the guard.
 _NUMBER = r"^\s*[+-]?(?:(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?|(?i:inf(?:inity)?))\s*$"

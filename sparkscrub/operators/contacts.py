@@ -10,6 +10,7 @@ from pyspark.sql.types import DataType
 
 from sparkscrub.operators.cleaned import Cleaned, Cleaner, differs
 
+# Output styles, and the lengths that pass.
 STYLES = ("digits_only", "hyphenated", "international")
 MIN_DIGITS, MAX_DIGITS = 7, 15
 

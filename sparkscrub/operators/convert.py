@@ -12,6 +12,7 @@ from sparkscrub.functions import dates, numbers, text
 from sparkscrub.functions.columns import ROW_INDEX, col, is_float, is_numeric, is_text, require_index
 from sparkscrub.operators.cleaned import Cleaned, Cleaner
 
+# Reject reasons and target types.
 NOT_NUMERIC = "Non-numeric characters present"
 NOT_A_DATE = "Invalid or unparseable date format"
 NOT_BOOLEAN = "Cannot be evaluated as true/false"

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from sparkscrub.functions import dates, text
 from sparkscrub.operators.cleaned import Cleaned, Cleaner
 
+# Reject reason.
 UNPARSEABLE = "Could not parse date with specified rules"
 
 

@@ -31,6 +31,7 @@ DOMAIN_FIXES = {
 VALID_EMAIL = r"^[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+$"
 NULL_WORDS = ("nan", "null", "none", "n/a")
 
+# Reject reasons.
 NO_AT = "Missing '@' symbol"
 NO_EXTENSION = "Missing domain extension (e.g. .com)"
 BAD_SYNTAX = "Invalid email characters/syntax"

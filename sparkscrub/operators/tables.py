@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sparkscrub.functions.columns import ROW_INDEX
 
+# Names that stand for all tables together.
 COMBINED = "All Tables (Combined)"
 DISJOINT = "All Tables (Union / Disjointed)"
 _ALL = (COMBINED, DISJOINT, "all", "combined")

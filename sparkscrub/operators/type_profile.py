@@ -33,6 +33,7 @@ NAME_WORDS = {
 # Marks of a misspelt mail domain.
 TYPO_MARKS = ("@gmai.", "@gamil.", "@gmial.", "@yaho.", "@hotmial.")
 
+# The look of a date in digits.
 _DATE_SHAPE = r"^\d{1,4}[-/\.]\d{1,2}[-/\.]\d{1,4}$"
 
 

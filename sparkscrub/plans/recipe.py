@@ -27,6 +27,7 @@ from sparkscrub.operators.nulls import blanks_to_null, drop_null_rows, fill_clea
 from sparkscrub.operators.ordered_fill import ordered_fill
 from sparkscrub.operators.strings import all_text, empty_to_null_cleaner, string_cleaner
 
+# The counters of an audit.
 COUNTERS = (
     "duplicate_rows_removed",
     "null_values_handled",
