@@ -76,15 +76,18 @@ def _sketched_counts(df: DataFrame, names: list[str]) -> DataFrame:
 
 
 def analyze_nulls(
-    df: DataFrame, approx_distinct: bool = False, one_scan: bool = False, index: str = ROW_INDEX
+    df: DataFrame, approx_distinct: bool = False, one_scan: bool | None = None, index: str = ROW_INDEX
 ) -> DataFrame:
     """One row per column: missing, blank, distinct and repeated values, percentage, status.
 
-    Exact by default, column by column: right for columnar sources and written tables.
-    ``one_scan`` groups all cells in a single pass, for inputs that are costly to compute
-    again. ``approx_distinct`` estimates distinct values and shuffles nothing.
-    A blank counts as missing and still as a distinct value.
+    Exact by default. Columnar files are grouped column by column, so that each column is
+    read once and keeps its type; from other files, which would be parsed once per column,
+    all cells are grouped in a single pass. ``one_scan`` decides otherwise, as it should
+    where the input is costly to compute again. ``approx_distinct`` estimates distinct values
+    and shuffles nothing. A blank counts as missing and still as a distinct value.
     """
+    if one_scan is None:
+        one_scan = not all(f.lower().endswith((".parquet", ".orc")) for f in df.inputFiles())
     names = [n for n in data_columns(df) if n != index]
     count = _sketched_counts if approx_distinct else _value_counts_one_scan if one_scan else _value_counts_per_column
     counted = count(df, names)

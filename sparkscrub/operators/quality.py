@@ -81,7 +81,7 @@ def profile_dataset(
     mode: str = "sample",
     word_match: bool = False,
     approx_distinct: bool = False,
-    one_scan: bool = False,
+    one_scan: bool | None = None,
 ) -> Profile:
     """All profile parts, each lazy: ask only for the part you need."""
     columns = analyze_nulls(df, approx_distinct=approx_distinct, one_scan=one_scan, index=index)

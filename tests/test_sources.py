@@ -53,6 +53,15 @@ def test_bad_rows_are_set_aside_and_short_rows_kept(spark, tmp_path):
     assert (read.data.count(), read.data.select("a").count(), read.bad_rows.count()) == (3, 3, 1)
 
 
+def test_text_files_are_profiled_in_one_scan(spark, tmp_path):
+    df = ss.read_delimited(spark, put(tmp_path / "x.csv", "a,b,c\n1,x,\n2,x,N/A\n2,,y\n")).data
+    profile = ss.analyze_nulls(df)
+    plan = profile._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan csv") == 1
+    got = {r["column"]: (r["null_count"], r["unique_values"], r["duplicate_values"]) for r in profile.collect()}
+    assert got == {"a": (0, 2, 1), "b": (1, 1, 1), "c": (2, 1, 0)}
+
+
 def test_quoted_line_breaks(spark, tmp_path):
     path = put(tmp_path / "x.csv", 'a,b\n1,"two\nlines"\n2,"say ""hi"""\n')
     assert rows(ss.read_delimited(spark, path).data) == [(1, "two\nlines"), (2, 'say "hi"')]
