@@ -146,10 +146,11 @@ def texts(spark: SparkSession, sf: str) -> DataFrame:
 TEXTS_SQL = "texts AS (SELECT doc_id AS _row_index, text, lang, source, n_chars FROM documents)"
 
 
-def grid(spark: SparkSession, sf: str) -> DataFrame:
-    """Orders as extracted table cells: a document per customer, a page per year, header rows included."""
+def grid(spark: SparkSession, sf: str, doc: str = "o_custkey") -> DataFrame:
+    """Orders as extracted table cells: a document per customer (or all in one, by ``doc``), a
+    page per year, header rows included."""
     orders = spread(table(spark, sf, "orders"))
-    keys = [F.col("o_custkey").alias("doc_id"), F.year("o_orderdate").alias("page"), F.lit(1).alias("table")]
+    keys = [F.expr(doc).alias("doc_id"), F.year("o_orderdate").alias("page"), F.lit(1).alias("table")]
     head = F.array(*[F.lit(h) for h in ("Order\nKey", "Status (code) ", "Price", "", "Price")])
     heads = orders.select(*keys).distinct().select("*", F.lit(0).cast("bigint").alias("row_no"), head.alias("cells"))
     price = F.col("o_totalprice").cast("bigint").cast("string")
