@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparkscrub.llm import line_dedup, packing, quality_rules, secret_scan, sharding, url_filter
+from sparkscrub.llm import (
+    kmeans_tree, line_dedup, near_dup, packing, quality_rules, secret_scan, sharding, subword_sampling, toxicity, url_filter,
+)
 from sparkscrub.llm.common import load
 from sparkscrub.llm.sql import SQL
 
@@ -54,12 +56,39 @@ def secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.find_secrets(load(spark, sf_dir, "documents")))
 
 
+def toxic_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document."""
+    return toxicity.classify(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
+def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group of every document, and whether it stays."""
+    return near_dup.near_duplicates(load(spark, sf_dir, "documents"))
+
+
+def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five nearest of every vector whose id is divisible by 50."""
+    vectors = load(spark, sf_dir, "embeddings")
+    found = kmeans_tree.nearest(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
+    return found.select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+
+
+def sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two sampled segmentations of every document: pieces, hash of the ids, log-probability, log inclusion."""
+    samples = subword_sampling.sample_segmentations(load(spark, sf_dir, "documents"), k=2)
+    return samples.select("doc_id", "sample", F.size("ids").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), "log_prob", "log_inclusion")
+
+
 _RUNS = {
     "op1_url_templates": url_filters,
     "op2_host_rules": host_rules,
     "op3_best_fit_packing": best_fit,
     "op4_hypergeometric_shards": uniform_shards,
     "op5_line_windows": repeated_lines,
+    "op6_compression_toxicity": toxic_texts,
     "op7_trigram_secrets": secrets,
+    "op8_lsh_forest": near_duplicates,
+    "op9_kmeans_tree": nearest_vectors,
+    "op10_gumbel_segmentations": sampled_pieces,
 }
 QUERIES = {name: (run, SQL.get(name)) for name, run in _RUNS.items()}

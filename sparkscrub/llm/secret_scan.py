@@ -214,7 +214,7 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str =
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text", mask: str = "[SECRET]") -> DataFrame:
     """The same rows and columns with every span found replaced by ``mask``; overlapping spans are one."""
     queries = [trigram_query(r.pattern) for r in rules]
-    at = docs.columns.index(text_col)
+    names, at = docs.columns, docs.columns.index(text_col)
 
     def batch(*columns):
         texts = columns[at]
@@ -226,7 +226,7 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "te
                     pieces += [text[done:a], mask]
                 done = max(done, b)
             out.append(text if not spans else "".join(pieces) + text[done:])
-        return {f.name: out if i == at else c for i, (f, c) in enumerate(zip(docs.schema, columns))}
+        return dict(zip(names, [*columns[:at], out, *columns[at + 1:]]))
 
     return arrow_map(docs, docs.schema, batch)
 
