@@ -10,7 +10,8 @@ their sets have a Jaccard similarity of 0.75 or more; the components of the link
    share the first ``START`` values of a slice are a region of that order: its longest common prefix
    is the region's depth. Regions of more than ``REGION_ROWS`` nodes are divided by further values,
    each as deep as it needs, and at the full depth by the node's hash. The parts of a divided region
-   share ``ANCHORS`` nodes, which connect them. Two texts at 0.75 share no region with probability
+   share ``ANCHORS`` nodes, which connect them: those nearest to what most of the region are copies of,
+   and some by hash. Two texts at 0.75 share no region with probability
    (1 - 0.75^3)^20 = 2e-5.
 3. Within a region the candidates are a maximum spanning forest of the estimated similarities (at
    least ``LEAST_ESTIMATE``, four deviations below 0.75): at most one pair per node, and none in
@@ -35,16 +36,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from sparkscrub.llm.common import WORD, shared
 
 TREES, DEPTH, START = 20, 6, 3
 HASHES = TREES * DEPTH
 REGION_ROWS = 2048
-ANCHORS = 32
+ANCHORS, ANCHOR_SAMPLE = 32, 512
 LEAST_ESTIMATE = 0.60
 SHINGLE = 5
 #: Untried pairs of a node that the first repeat of step 3 gives; the second gives all.
@@ -154,15 +156,39 @@ def forest_regions(nodes: DataFrame) -> DataFrame:
         crowd = keyed.select("node", "tree", "region").join(large, "region").join(nodes.select("node", "signature"), "node")
         rows = shared(crowd.select("node", "signature", "tree", F.col("region").alias("parent"),
                                    F.ceil(F.col("n") / REGION_ROWS).alias("parts")), "forest-crowd")
-        # a few nodes of each crowded region, picked per part of the table and then overall
-        picked = rows.groupBy("parent", F.pmod(F.xxhash64("node"), F.lit(ANCHORS)).alias("slot")).agg(F.min("node").alias("node"))
-        parents = shared(picked.select("parent", "node"), "forest-anchors")
+        parents = shared(_anchors(rows), "forest-anchors")
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
     return shared(out.distinct() if len(done) > 1 else out, "forest-regions")
 
 
+def _anchors(rows: DataFrame) -> DataFrame:
+    """(parent, node): a few nodes of each crowded region. Half of them are by hash; half are those that agree
+    most with the region's commonest signature, which is that of the text most others are copies of."""
+    slot = F.pmod(F.xxhash64("node"), F.lit(ANCHOR_SAMPLE))
+    sample = shared(rows.groupBy("parent", slot.alias("slot")).agg(F.min(F.struct("node", "signature")).alias("s"))
+                    .select("parent", "slot", "s.node", "s.signature"), "forest-sample")
+
+    def commonest(pdf: pd.DataFrame) -> pd.DataFrame:
+        values = np.frombuffer(b"".join(pdf.signature), "<u2").reshape(-1, HASHES)
+        mode = np.array([np.bincount(values[:, i]).argmax() for i in range(HASHES)], "<u2")
+        return pd.DataFrame({"parent": pdf.parent[:1], "mode": [mode.tobytes()]})
+
+    def agreement(batches):
+        for batch in batches:
+            own, mode = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u2").reshape(-1, HASHES) for i in (2, 3))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((own == mode).mean(axis=1))],
+                                             names=["parent", "node", "agreement"])
+
+    modes = shared(sample.groupBy("parent").applyInPandas(commonest, "parent long, mode binary"), "forest-modes")
+    scored = rows.join(modes, "parent").select("parent", "node", "signature", "mode").mapInArrow(agreement, "parent long, node binary, agreement double")
+    rank = F.row_number().over(Window.partitionBy("parent").orderBy(F.desc("agreement"), "node"))
+    best = scored.withColumn("rank", rank).where(F.col("rank") <= ANCHORS // 2).select("parent", "node")
+    few = sample.where(F.col("slot") < ANCHORS // 2 + ANCHORS % 2).select("parent", "node")
+    return best.unionByName(few).distinct()
+
+
 def _region_groups(batches) -> Iterator[tuple]:
     """(nodes, signatures, sizes, components) of each region of a partition sorted by region."""
     parts: list[pa.RecordBatch] = []
