@@ -23,7 +23,7 @@ from sparkscrub.operators.type_profile import detect_column_types
 from sparkscrub.plans.auto_clean import AutoClean, auto_clean, quick_fix
 from sparkscrub.plans.recipe import Recipe, Step, audit_summary
 from sparkscrub.plans.workbook import Workbook
-from sparkscrub.session import build_session
+from sparkscrub.session import build_session, release
 from sparkscrub.sources.delimited import read_delimited
 from sparkscrub.sources.readers import file_info, format_of, read_parquet, read_table, read_table_set
 from sparkscrub.sources.sqldump import read_sql_dump

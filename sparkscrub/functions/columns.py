@@ -69,10 +69,12 @@ def nan_to_null(c: Column, dt: T.DataType) -> Column:
 
 
 def group_key(c: Column, dt: T.DataType) -> Column:
-    """A form of ``c`` that can be grouped: NaN counts as null, nested values as JSON text."""
+    """A form of ``c`` that can be grouped: NaN counts as null, -0.0 as 0.0, nested values as JSON text."""
     if isinstance(dt, T.VariantType) or is_nested(dt):
         return F.to_json(c)
-    return nan_to_null(c, dt)
+    if is_float(dt):
+        return F.when(c == 0, F.lit(0.0).cast(dt)).when(~F.isnan(c), c)
+    return c
 
 
 def require_index(df: DataFrame, index: str) -> str:

@@ -49,6 +49,11 @@ STRFTIME_CODES = {
 NULL_WORDS = ("nan", "nat", "null", "none")
 
 _MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
+# A month's name stands alone: short, whole, or "sept".
+_MONTH_WORD = (
+    r"(?<![a-z])(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?"
+    r"|sep(?:t(?:ember)?)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)(?![a-z])"
+)
 
 # A shape that fits turns the text into MARK + "year-month-day clock"; the mark tells
 # rewritten texts from texts that no shape fitted.
@@ -58,8 +63,8 @@ _CLOCK = (
     r"(?:(?:t|\s+|,\s*)(\d{1,2}:\d{1,2}(?::\d{1,2}(?:\.\d{1,9})?)?)"
     r"\s*(?:z|utc|gmt|[+-]\d{2}:?\d{2})?)?$"
 )
-_DAY_NAME = r"(?:(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*\.?,?\s+)?"
-_MONTH = r"#(\d{1,2})#[a-z]*\.?"
+_DAY_NAME = r"(?:(?:(?:mon|fri|sun)(?:day)?|tue(?:s(?:day)?)?|wed(?:nesday)?|thu(?:r(?:s(?:day)?)?)?|sat(?:urday)?)\.?,?\s+)?"
+_MONTH = r"#(\d{1,2})#\.?"
 _DAY = r"(\d{1,2})(?:st|nd|rd|th)?"
 _YEAR = r"(\d{4}|\d{2})"
 
@@ -85,10 +90,11 @@ def _to_24_hours(s: Column) -> Column:
 
 
 def _number_months(s: Column) -> Column:
-    numbered = s
-    for i, name in enumerate(_MONTHS, start=1):
-        numbered = F.replace(numbered, F.lit(name), F.lit(f"#{i}#"))
-    return F.when(s.rlike("[a-z]{3}"), numbered).otherwise(s)
+    """The first month word becomes ``#5#``; letters that are left fit no shape."""
+    word = F.regexp_extract(s, _MONTH_WORD, 1)
+    number = F.array_position(F.array(*[F.lit(m) for m in _MONTHS]), F.left(word, F.lit(3)))
+    numbered = F.regexp_replace(s, F.concat(F.lit("(?<![a-z])"), word, F.lit("(?![a-z])")), F.concat(F.lit("#"), number.cast("string"), F.lit("#")))
+    return F.when(s.rlike(_MONTH_WORD), numbered).otherwise(s)
 
 
 def parse_free_date(c: Column, day_first: bool = True) -> Column:

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkscrub.functions import text
 from sparkscrub.functions.columns import ROW_INDEX, col, data_columns, dtype, group_key, is_missing, is_text
@@ -38,11 +39,17 @@ def _value_counts_per_column(df: DataFrame, names: list[str]) -> DataFrame:
 
 
 def _value_counts_one_scan(df: DataFrame, names: list[str]) -> DataFrame:
-    """The same counts from one scan: cells as (position, text) pairs, grouped together."""
-    cells = [
-        F.struct(F.lit(i).alias("position"), group_key(col(n), dtype(df, n)).cast("string").alias("v"))
-        for i, n in enumerate(names)
-    ]
+    """The same counts from one scan: cells as (position, text) pairs, grouped together.
+
+    Texts of two values differ where the values do: floats are written in full, times as microseconds."""
+    def cell(n: str) -> Column:
+        dt = dtype(df, n)
+        key = group_key(col(n), dt)
+        if isinstance(dt, T.TimestampType):
+            key = F.unix_micros(key)
+        return F.hex(key) if isinstance(dt, T.BinaryType) else key.cast("string")
+
+    cells = [F.struct(F.lit(i).alias("position"), cell(n).alias("v")) for i, n in enumerate(names)]
     textual = [i for i, n in enumerate(names) if is_text(dtype(df, n))]
     groups = df.select(F.inline(F.array(*cells))).groupBy("position", "v").agg(F.count(F.lit(1)).alias("n"))
     blank = F.col("position").isin(textual) & text.is_blank(F.col("v")) if textual else F.lit(False)
@@ -76,18 +83,15 @@ def _sketched_counts(df: DataFrame, names: list[str]) -> DataFrame:
 
 
 def analyze_nulls(
-    df: DataFrame, approx_distinct: bool = False, one_scan: bool | None = None, index: str = ROW_INDEX
+    df: DataFrame, approx_distinct: bool = False, one_scan: bool = False, index: str = ROW_INDEX
 ) -> DataFrame:
     """One row per column: missing, blank, distinct and repeated values, percentage, status.
 
-    Exact by default. Columnar files are grouped column by column, so that each column is
-    read once and keeps its type; from other files, which would be parsed once per column,
-    all cells are grouped in a single pass. ``one_scan`` decides otherwise, as it should
-    where the input is costly to compute again. ``approx_distinct`` estimates distinct values
+    Exact by default: columns are grouped one by one, each read once. ``one_scan`` groups all
+    cells in a single pass with the same result; ask for it where the input is costly to
+    compute again or not columnar. ``approx_distinct`` estimates distinct values
     and shuffles nothing. A blank counts as missing and still as a distinct value.
     """
-    if one_scan is None:
-        one_scan = not all(f.lower().endswith((".parquet", ".orc")) for f in df.inputFiles())
     names = [n for n in data_columns(df) if n != index]
     count = _sketched_counts if approx_distinct else _value_counts_one_scan if one_scan else _value_counts_per_column
     counted = count(df, names)

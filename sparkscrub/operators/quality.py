@@ -78,10 +78,10 @@ class Profile:
 def profile_dataset(
     df: DataFrame,
     index: str = ROW_INDEX,
-    mode: str = "sample",
+    mode: str = "full",
     word_match: bool = False,
     approx_distinct: bool = False,
-    one_scan: bool | None = None,
+    one_scan: bool = False,
 ) -> Profile:
     """All profile parts, each lazy: ask only for the part you need."""
     columns = analyze_nulls(df, approx_distinct=approx_distinct, one_scan=one_scan, index=index)

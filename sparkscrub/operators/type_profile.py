@@ -146,12 +146,12 @@ def _native_type(dt: T.DataType) -> str | None:
 
 
 def detect_column_types(
-    df: DataFrame, mode: str = "sample", word_match: bool = False, index: str = ROW_INDEX
+    df: DataFrame, mode: str = "full", word_match: bool = False, index: str = ROW_INDEX
 ) -> DataFrame:
     """One row per column: detected type, status, issue, suggested type, action, whitespace flag.
 
-    ``mode="sample"`` looks at the first 100 non-null values in row order; ``mode="full"``
-    at all values, in one pass. ``word_match`` asks for whole words in column names, so that
+    ``mode="full"`` looks at all values, in one pass; ``mode="sample"`` at the first 100
+    non-null values in row order, for a quick look. ``word_match`` asks for whole words in column names, so that
     ``hotel`` is no phone column.
     """
     if mode not in ("sample", "full"):
@@ -179,6 +179,7 @@ def detect_column_types(
     return _decide(columns)
 
 
+# The texts of issues, suggested types and actions, and the shares that decide, in _decide.
 def _decide(columns: DataFrame) -> DataFrame:
     """The rules, first match wins; a text column without values is a plain String."""
     empty = F.coalesce(F.col("n"), F.lit(0)) == 0

@@ -31,20 +31,27 @@ class AutoClean:
         return audit_rows(self.recipe.steps, self.frames)
 
 
+_TEN_DIGITS = {"normalize_10_digits": True, "country_code": "91"}
+
+# What a profile finding asks for: by its action, else by the detected type. (step, options, toggle of auto_clean)
+_FIXES: dict[str, tuple[str, dict, str | None]] = {
+    **dict.fromkeys(("Clean Names", "Clean Name", "Name"), ("clean_names", {}, "names")),
+    **dict.fromkeys(("Clean Email", "Email"), ("clean_emails", {}, "emails")),
+    **dict.fromkeys(("Clean Contact", "Clean Phone", "Phone"), ("clean_contacts", _TEN_DIGITS, "contacts")),
+    **dict.fromkeys(("Fix Date", "Date"), ("clean_dates", {}, "dates")),
+    **{f"Convert to {t}": ("convert", {"target_type": t}, "types") for t in ("Integer", "Float", "Boolean", "Date", "String")},
+}
+_PLAIN_FIX = ("clean_strings", {}, None)
+
+
+def _fix(detected_type: str, action: str | None) -> tuple[str, dict, str | None]:
+    return _FIXES.get(action or "") or _FIXES.get(detected_type) or _PLAIN_FIX
+
+
 def quick_fix(column: str, detected_type: str, action: str | None) -> Step:
-    """The step a profile finding asks for. What nothing else claims gets the text cleaner."""
-    action = action or ""
-    if "Name" in action or detected_type == "Name":
-        return Step("clean_names", column)
-    if "Email" in action or detected_type == "Email":
-        return Step("clean_emails", column)
-    if "Contact" in action or "Phone" in action or detected_type == "Phone":
-        return Step("clean_contacts", column, {"normalize_10_digits": True, "country_code": "91"})
-    if "Date" in action or detected_type == "Date":
-        return Step("clean_dates", column)
-    if action.startswith("Convert to "):
-        return Step("convert", column, {"target_type": action.removeprefix("Convert to ")})
-    return Step("clean_strings", column)
+    """The step a profile finding asks for. What the table does not know gets the text cleaner."""
+    op, options, _ = _fix(detected_type, action)
+    return Step(op, column, dict(options))
 
 
 def quick_fix_cleaner(detected_type: str, action: str | None) -> Cleaner:
@@ -52,25 +59,14 @@ def quick_fix_cleaner(detected_type: str, action: str | None) -> Cleaner:
     return step.cleaners(None, ROW_INDEX)["c"] if step.op != "clean_strings" else string_cleaner()
 
 
-# Which toggle allows which step, and whether the step waits for a flagged column.
-_TOGGLE = {
-    "clean_names": "names",
-    "clean_emails": "emails",
-    "clean_contacts": "contacts",
-    "clean_dates": "dates",
-    "convert": "types",
-}
-
-
 def plan_columns(types: Iterable[Mapping], allowed: set[str]) -> list[Step]:
     """One targeted step per column that needs it. Names are always tidied, others if flagged."""
     steps = []
     for t in types:
         if t["action"] in (None, "Trim Spaces") and t["detected_type"] != "Name":
             continue
-        step = quick_fix(t["column"], t["detected_type"], t["action"])
-        if _TOGGLE.get(step.op) in allowed:
-            steps.append(step)
+        if _fix(t["detected_type"], t["action"])[2] in allowed:
+            steps.append(quick_fix(t["column"], t["detected_type"], t["action"]))
     return steps
 
 
@@ -84,7 +80,7 @@ def auto_clean(
     dates: bool = True,
     nulls: bool = True,
     types: bool = True,
-    mode: str = "sample",
+    mode: str = "full",
     index: str = ROW_INDEX,
 ) -> AutoClean:
     """Drop duplicate rows, clean each column by its detected type, tidy text, fill gaps.

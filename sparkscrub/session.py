@@ -29,25 +29,40 @@ def build_session(app: str = "sparkscrub", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
+#: Intermediate tables of this process lie in one folder, which ``release`` deletes.
+_RUN = uuid.uuid4().hex
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder named by the cluster (``spark.checkpoint.dir``).
 
-    Only a local master without that setting gets a fresh local folder; on a cluster a
-    machine-local folder would lose data with its executor, so that is an error.
+    Only a plain local master without that setting gets a fresh local folder; where executors are
+    processes of their own, a machine-local folder would lose data, so that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
     local = tempfile.mkdtemp(prefix="sparkscrub-")
     spark.sparkContext.setCheckpointDir(local)
     return local
 
 
+def _run_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/sparkscrub/run-{_RUN}"
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
-    """A new, unused path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/sparkscrub/{label}-{uuid.uuid4().hex}"
+    """A new, unused path below this run's part of the shared folder."""
+    return f"{_run_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this run. What was read from them can no longer be computed."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_run_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
