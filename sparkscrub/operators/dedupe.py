@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkscrub.functions.columns import ROW_INDEX, col, data_columns, dtype, group_key, is_nested, nan_to_null, require_index
+from sparkscrub.functions.columns import ROW_INDEX, col, data_columns, dtype, group_key, is_float, require_index
 
 HOT_GROUPS = 1000
 DUPLICATES_SHOWN = 50
@@ -22,11 +22,6 @@ def _key_names(df: DataFrame, subset: Iterable[str] | None, index: str) -> list[
     return known or everything
 
 
-def _no_nan(df: DataFrame) -> DataFrame:
-    """NaN becomes null, so that the two fall into one group."""
-    return df.select([nan_to_null(col(n), f.dataType).alias(n) for n, f in zip(df.columns, df.schema)])
-
-
 def remove_duplicates(
     df: DataFrame, subset: Iterable[str] | None = None, keep: str = "first", index: str = ROW_INDEX
 ) -> DataFrame:
@@ -37,16 +32,19 @@ def remove_duplicates(
     """
     require_index(df, index)
     keys = _key_names(df, subset, index)
-    rows = _no_nan(df)
     last = keep == "last"
     whole_row = len(keys) == len([c for c in df.columns if c != index])
     if whole_row and not any(_has_map(dtype(df, k)) for k in keys):
         edge = F.max(col(index)) if last else F.min(col(index))
-        kept = rows.groupBy(*[col(k) for k in keys]).agg(edge.alias(index))
+        # Zeros, NaN and null meet in one group; the cells are those of the row that is kept.
+        floats = [k for k in keys if is_float(dtype(df, k))]
+        cells = {k: (F.max_by if last else F.min_by)(col(k), col(index)) for k in floats}
+        grouped = df.groupBy(*[(group_key(col(k), dtype(df, k)) if k in cells else col(k)).alias(f"_key_{k}" if k in cells else k) for k in keys])
+        kept = grouped.agg(edge.alias(index), *[c.alias(k) for k, c in cells.items()])
         return kept.select([col(c) for c in df.columns])
     order = col(index).desc() if last else col(index).asc()
     group = Window.partitionBy(*[group_key(col(k), dtype(df, k)) for k in keys]).orderBy(order)
-    return rows.withColumn("_nth", F.row_number().over(group)).filter("_nth = 1").drop("_nth")
+    return df.withColumn("_nth", F.row_number().over(group)).filter("_nth = 1").drop("_nth")
 
 
 def _has_map(dt: T.DataType) -> bool:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from decimal import Decimal
 from functools import reduce
 from typing import Any
 
@@ -12,10 +13,10 @@ from pyspark.sql import types as T
 
 from sparkscrub.functions import text
 from sparkscrub.functions.columns import (
-    ROW_INDEX, col, data_columns, dtype, is_integer, is_missing, is_numeric, is_text, nan_to_null,
+    ROW_INDEX, col, data_columns, dtype, is_float, is_integer, is_missing, is_numeric, is_text, nan_to_null,
 )
 from sparkscrub.operators.cleaned import Cleaned, Cleaner, clean
-from sparkscrub.operators.order_stats import column_means, column_medians, column_mode
+from sparkscrub.operators.order_stats import column_means, column_medians, column_mode, exact_means, exact_medians
 from sparkscrub.operators.ordered_fill import ordered_fill
 
 STRATEGIES = ("replace", "remove_rows", "mean", "median", "mode", "ffill", "bfill")
@@ -51,43 +52,83 @@ def fill_cleaner(value: Any) -> Cleaner:
     """Fill missing cells with a constant.
 
     A constant that the column's type cannot hold widens the column: a fraction turns whole
-    numbers into DOUBLE, text turns any other column into text.
+    numbers into DOUBLE (a Decimal one into DECIMAL), a whole number out of range into the next
+    type that holds it, more digits a DECIMAL into a wider one, and text any other column into text.
     """
 
     def cleaner(c: Column, dt: T.DataType) -> Cleaned:
         gap = is_missing(c, dt)
         present = nan_to_null(c, dt)
-        if is_text(dt) or isinstance(value, str) and not is_text(dt):
-            new = F.coalesce(present.cast("string"), F.lit(value).cast("string"))
-        elif is_numeric(dt) and isinstance(value, float) and is_integer(dt):
-            new = F.coalesce(present.cast("double"), F.lit(value))
-        else:
-            new = F.coalesce(present, F.lit(value).cast(dt))
+        to, new_value = _holding(dt, value)
+        new = F.coalesce(present.cast(to), F.lit(new_value).cast(to))
         return Cleaned(new, gap if value is not None else F.lit(False))
 
     return cleaner
 
 
+_WHOLE = ((T.ByteType, 8), (T.ShortType, 16), (T.IntegerType, 32), (T.LongType, 64))
+
+
+def _holding(dt: T.DataType, value: Any) -> tuple[T.DataType, Any]:
+    """The type that holds both the column and the constant, and the constant for it."""
+    if value is None:
+        return dt, None
+    if is_text(dt) or isinstance(value, str):
+        return T.StringType(), str(value) if isinstance(value, Decimal) else value
+    if isinstance(value, bool) or not is_numeric(dt) or is_float(dt):
+        return dt, float(value) if is_float(dt) and isinstance(value, Decimal) else value
+    if is_integer(dt) and isinstance(value, float):
+        return T.DoubleType(), value
+    exact = value if isinstance(value, Decimal) else Decimal(str(value))
+    if is_integer(dt):
+        bits = dict((k, b) for k, b in _WHOLE)[type(dt)]
+        if exact == exact.to_integral_value():
+            for kind, held in _WHOLE:
+                if held >= bits and -(1 << held - 1) <= exact < 1 << held - 1:
+                    return kind(), int(exact)
+        dt = T.DecimalType(19 if bits == 64 else 10, 0)
+    scale = max(dt.scale, -exact.as_tuple().exponent if exact != exact.to_integral_value() else 0)
+    whole = max(dt.precision - dt.scale, len(str(abs(int(exact)))))
+    return T.DecimalType(min(38, whole + scale), min(scale, max(0, 38 - whole))), exact
+
+
 def statistic_fills(
     df: DataFrame, columns: Iterable[str], strategy: str, fallback: Any = "Unknown"
 ) -> dict[str, Cleaner]:
-    """Fill cleaners whose constants are measured on ``df``; ``fallback`` where nothing is numeric."""
+    """Fill cleaners whose constants are measured on ``df``; ``fallback`` where nothing is numeric.
+
+    Means and medians are rounded to two digits, ties to even. Those of DECIMAL columns, and of BIGINT
+    columns with values that DOUBLE cannot tell apart, are exact, and so is the filled column: DECIMAL.
+    """
     names = data_columns(df, columns)
     if strategy == "mode":
         found = {n: column_mode(df, n) for n in names}
     else:
-        measure = column_means if strategy == "mean" else column_medians
-        found = measure(df, names)
+        exact = _exact_columns(df, names)
+        rest = [n for n in names if n not in exact]
+        measure, measure_exact = (column_means, exact_means) if strategy == "mean" else (column_medians, exact_medians)
+        found = measure(df, rest) | measure_exact(df, exact)
         known = {n: v for n, v in found.items() if v is not None}
         if known:
             # Rounded by Spark, so that ties go to even as everywhere else.
-            row = df.sparkSession.range(1).select(
-                [F.bround(F.lit(float(v)), 2).alias(f"r{i}") for i, v in enumerate(known.values())]
-            ).first()
-            found |= dict(zip(known, row))
+            row = df.sparkSession.range(1).select([
+                F.bround(F.lit(v).cast("decimal(38,6)") if n in exact else F.lit(float(v)), 2).alias(f"r{i}")
+                for i, (n, v) in enumerate(known.items())
+            ]).first()
+            found |= {n: v.quantize(Decimal("0.01")) if n in exact else v for n, v in zip(known, row)}
     return {n: fill_cleaner(fallback if v is None else v) for n, v in found.items()}
 
 
+def _exact_columns(df: DataFrame, names: list[str]) -> list[str]:
+    """DECIMAL columns, and BIGINT ones with values beyond 2^53 (one pass)."""
+    longs = [n for n in names if isinstance(dtype(df, n), T.LongType)]
+    far = set()
+    if longs:
+        beyond = [F.coalesce(F.bool_or((col(n) > 1 << 53) | (col(n) < -(1 << 53))), F.lit(False)).alias(f"b{i}") for i, n in enumerate(longs)]
+        far = {n for n, b in zip(longs, df.agg(*beyond).first()) if b}
+    return [n for n in names if n in far or isinstance(dtype(df, n), T.DecimalType)]
+
+
 def fill_nulls(
     df: DataFrame,
     column: str | None = None,

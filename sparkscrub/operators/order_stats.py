@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from decimal import Decimal
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -61,6 +61,32 @@ def column_medians(df: DataFrame, names: list[str], small: int = SMALL) -> dict[
     return {n: found[f"v{i}"] for i, n in enumerate(names)}
 
 
+def exact_means(df: DataFrame, names: list[str]) -> dict[str, Decimal | None]:
+    """Means of whole-number and DECIMAL columns in decimal arithmetic, in one pass."""
+    if not names:
+        return {}
+    row = df.agg(*[F.avg(col(n).cast(_decimal(dtype(df, n)))).alias(f"v{i}") for i, n in enumerate(names)]).first()
+    return dict(zip(names, row))
+
+
+def exact_medians(df: DataFrame, names: list[str], small: int | None = None) -> dict[str, Decimal | None]:
+    """Medians of whole-number and DECIMAL columns in decimal arithmetic."""
+    if not names:
+        return {}
+    counts = df.agg(*[F.count(col(n)).alias(f"v{i}") for i, n in enumerate(names)]).first()
+    found: dict[str, Decimal | None] = dict.fromkeys(names)
+    for name, n in zip(names, counts):
+        if n:
+            values = df.select(col(name).cast(_decimal(dtype(df, name))).alias("v")).filter("v IS NOT NULL")
+            ends = [nth_value(values, n, k, small) for k in {(n - 1) // 2, n // 2}]
+            found[name] = sum(ends) / len(ends)
+    return found
+
+
+def _decimal(dt: T.DataType) -> T.DataType:
+    return dt if isinstance(dt, T.DecimalType) else T.DecimalType(20, 0)
+
+
 def _long_median(values: DataFrame, n: int, small: int) -> float:
     v = F.col("v")
     low = nth_value(values, n, (n - 1) // 2, small)

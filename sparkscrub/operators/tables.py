@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkscrub.functions.columns import ROW_INDEX
+from sparkscrub.operators.running import dense_index
 
 # Names that stand for all tables together.
 COMBINED = "All Tables (Combined)"
@@ -26,16 +27,33 @@ def schemas_match(tables: Iterable[DataFrame]) -> bool:
 def union_tables(tables: Iterable[DataFrame]) -> DataFrame:
     """All rows of all tables in order; columns a table lacks are null.
 
-    A row index, where all tables have one, is issued anew: the table's number goes into the
-    high bits, so rows keep their order without being counted.
+    A row index, where all tables have one, is issued anew as 0, 1, 2... in the order of the
+    tables and their rows: the range of each table's index is measured (one job), the ranges
+    are set one after the other, and the whole is numbered densely.
     """
     tables = list(tables)
-    if all(ROW_INDEX in t.columns for t in tables):
-        tables = [
-            t.withColumn(ROW_INDEX, F.shiftleft(F.lit(i).cast("bigint"), 48) + F.col(ROW_INDEX))
-            for i, t in enumerate(tables)
-        ]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+    indexed = all(ROW_INDEX in t.columns for t in tables)
+    if indexed:
+        tables = _end_to_end(tables)
+    union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+    return dense_index(union) if indexed else union
+
+
+def _end_to_end(tables: list[DataFrame]) -> list[DataFrame]:
+    """The tables with their row indexes moved so that each begins where the one before ends."""
+    place = F.col(ROW_INDEX).cast("bigint")
+    spans = reduce(DataFrame.unionByName, [
+        t.agg(F.lit(i).alias("i"), F.min(place).alias("low"), F.max(place).alias("high")) for i, t in enumerate(tables)
+    ]).collect()
+    moved, begin = list(tables), 0
+    for r in sorted(spans, key=lambda r: r["i"]):
+        if r["low"] is None:
+            continue
+        moved[r["i"]] = tables[r["i"]].withColumn(ROW_INDEX, place - F.lit(r["low"]) + F.lit(begin).cast("bigint"))
+        begin += r["high"] - r["low"] + 1
+    if begin >= 1 << 63:
+        raise ValueError("the row indexes of the tables are too wide to be set one after the other: number them densely first")
+    return moved
 
 
 def sheet_names(tables: TableSet) -> list[str]:

@@ -28,7 +28,9 @@ def with_row_index(df: DataFrame) -> DataFrame:
 def text_place() -> Column:
     start = F.col("_metadata.file_block_start")
     in_task = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    return start + in_task + F.when(start > 0, 1).otherwise(0)
+    place = start + in_task + F.when(start > 0, 1).otherwise(0)
+    too_far = F.raise_error(F.lit(f"a text file of more than 2^{PLACE_BITS} bytes: split it")).cast("bigint")
+    return F.when(place < F.lit(1 << PLACE_BITS), place).otherwise(too_far)
 
 
 def parquet_place() -> Column:

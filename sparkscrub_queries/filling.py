@@ -98,7 +98,65 @@ def lineitem_repeats(spark, sf):
     return ss.duplicate_summary(lines)
 
 
+def _amounts(spark, sf):
+    """Orders with gaps: DECIMAL prices, keys beyond 2^53 and small numbers."""
+    return table(spark, sf, "orders").selectExpr(
+        "o_orderkey AS _row_index", "CASE WHEN o_orderkey % 5 > 0 THEN CAST(o_totalprice AS DECIMAL(12, 1)) END AS price",
+        "CASE WHEN o_orderkey % 7 > 0 THEN 9007199254740993 + o_orderkey END AS big",
+        "CASE WHEN o_orderkey % 3 > 0 THEN CAST(o_orderkey % 100 AS TINYINT) END AS tiny",
+    )
+
+
+_AMOUNTS_SQL = """amounts AS (SELECT o_orderkey AS _row_index,
+    CASE WHEN o_orderkey % 5 > 0 THEN CAST(o_totalprice AS DECIMAL(12, 1)) END AS price,
+    CASE WHEN o_orderkey % 7 > 0 THEN 9007199254740993 + o_orderkey END AS big,
+    CASE WHEN o_orderkey % 3 > 0 THEN CAST(o_orderkey % 100 AS TINYINT) END AS tiny FROM orders)"""
+
+
+def fill_exactly(column, strategy, **options):
+    """Filled cells as text, so that every digit counts."""
+
+    def run(spark, sf):
+        filled = ss.fill_nulls(_amounts(spark, sf), column=column, strategy=strategy, **options)
+        return filled.select("_row_index", F.col(column).cast("string").alias(column))
+
+    return run
+
+
+def signed_zeros(spark, sf):
+    """Zeros of either sign, NaN and null in one group, the kept row's own cells."""
+    rows = table(spark, sf, "events").selectExpr(
+        "event_id AS _row_index", "CASE event_id % 4 WHEN 0 THEN 0.0D WHEN 1 THEN -0.0D WHEN 2 THEN double('NaN') ELSE CAST(user_id % 3 AS DOUBLE) END AS v")
+    return ss.remove_duplicates(rows).select("_row_index", F.col("v").cast("string").alias("v"))
+
+
 QUERIES = {
+    "fill_mean_decimal": (
+        fill_exactly("price", "mean"),
+        q.with_(_AMOUNTS_SQL, """SELECT _row_index, CAST(COALESCE(CAST(price AS DECIMAL(13, 2)),
+            CAST(round_even((SELECT SUM(price)::DOUBLE / COUNT(price) FROM amounts), 2) AS DECIMAL(13, 2))) AS STRING) AS price FROM amounts"""),
+    ),
+    "fill_median_big": (
+        lambda s, sf: ss.fill_nulls(_amounts(s, sf), column="big", strategy="median").select(
+            "_row_index", F.col("big").cast("decimal(38, 2)").cast("string").alias("big")),
+        q.with_(
+            [_AMOUNTS_SQL, """ranked AS (SELECT big::HUGEINT AS big, row_number() OVER (ORDER BY big) AS r, COUNT(*) OVER () AS n
+                FROM amounts WHERE big IS NOT NULL)""",
+             "middle AS (SELECT SUM(CASE WHEN r = (n + 1) // 2 THEN big ELSE 0 END + CASE WHEN r = (n + 2) // 2 THEN big ELSE 0 END) AS s FROM ranked)"],
+            """SELECT _row_index, CAST(COALESCE(CAST(big AS DECIMAL(38, 2)), (SELECT CAST(s // 2 AS DECIMAL(38, 2))
+            + CASE WHEN s % 2 = 1 THEN 0.5 ELSE 0 END FROM middle)) AS STRING) AS big FROM amounts""",
+        ),
+    ),
+    "fill_constant_wide": (
+        fill_exactly("tiny", "replace", fill_value=300),
+        q.with_(_AMOUNTS_SQL, "SELECT _row_index, CAST(COALESCE(CAST(tiny AS SMALLINT), 300) AS STRING) AS tiny FROM amounts"),
+    ),
+    "dedupe_signed_zeros": (
+        signed_zeros,
+        """SELECT MIN(event_id) AS _row_index, CASE k WHEN 'nan' THEN 'NaN' WHEN '0.0' THEN CASE MIN(event_id) % 4 WHEN 1 THEN '-0.0' ELSE '0.0' END
+        ELSE k END AS v FROM (SELECT event_id, CASE event_id % 4 WHEN 0 THEN '0.0' WHEN 1 THEN '0.0' WHEN 2 THEN 'nan'
+        ELSE CAST(CAST(user_id % 3 AS DOUBLE) AS STRING) END AS k FROM events) GROUP BY k""",
+    ),
     "fill_constant": (
         _filled(column="event_type"),
         _readings(_replace(event_type=f"COALESCE({_BLANK_TYPE}, 'Unknown')")),

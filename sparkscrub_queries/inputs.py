@@ -107,19 +107,24 @@ CROWD_SQL = (
 )
 
 
+# Words that begin with or hold the letters of a month, and are none.
+JUNK_DATES = ("Junk 5 2024", "Market 12 2024", "Mayor 1 2024", "12 decoys 2023", "Decimal 10 20", "not a date")
+
+
 def order_dates(spark: SparkSession, sf: str) -> DataFrame:
     text = F.when(F.lit(False), "")
     kind = F.col("o_orderkey") % 6
     for k, (pattern, _) in ORDER_DATES.items():
         text = text.when(kind == k, F.date_format("o_orderdate", pattern))
-    text = text.when(kind == 4, "not a date")
+    junk = F.element_at(F.array(*[F.lit(w) for w in JUNK_DATES]), (F.col("o_custkey") % 6).cast("int") + 1)
+    text = text.when(kind == 4, junk)
     return spread(table(spark, sf, "orders")).select(F.col("o_orderkey").alias("_row_index"), text.alias("placed"))
 
 
 ORDER_DATES_SQL = (
     "order_dates AS (SELECT o_orderkey AS _row_index, o_orderdate, CASE o_orderkey % 6 "
     + " ".join(f"WHEN {k} THEN strftime(o_orderdate, '{f}')" for k, (_, f) in ORDER_DATES.items())
-    + " WHEN 4 THEN 'not a date' ELSE NULL END AS placed FROM orders)"
+    + f" WHEN 4 THEN {list(JUNK_DATES)}[o_custkey % 6 + 1] ELSE NULL END AS placed FROM orders)"
 )
 
 
