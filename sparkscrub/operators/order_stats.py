@@ -101,6 +101,7 @@ def nth_value(values: DataFrame, n: int, k: int, small: int | None = None) -> fl
     """The ``k``-th smallest (from 0) of the ``n`` non-null numbers (or times) in column ``v``."""
     small = SMALL if small is None else small
     v = F.col("v")
+    rounded = isinstance(dtype(values, "v"), (T.LongType, T.DecimalType))
     lo = hi = None
     below, inside = 0, n
     while True:
@@ -115,6 +116,10 @@ def nth_value(values: DataFrame, n: int, k: int, small: int | None = None) -> fl
         share, slack = rank / inside, 2 / _ACCURACY
         ends = [max(0.0, share - slack), min(1.0, share + slack)]
         a, b = part.agg(F.percentile_approx(v, ends, _ACCURACY)).first()[0]
+        if rounded:  # the sketch works in DOUBLE: take the nearest values that are there
+            a, b = part.agg(
+                F.coalesce(F.max(F.when(v <= a, v)), F.min(v)), F.coalesce(F.min(F.when(v >= b, v)), F.max(v))
+            ).first()
         under, at_a, between, at_b = part.agg(
             F.count_if(v < a), F.count_if(v == a), F.count_if((v > a) & (v < b)),
             F.count_if((v == b) & F.lit(b > a)),
@@ -132,6 +137,32 @@ def nth_value(values: DataFrame, n: int, k: int, small: int | None = None) -> fl
             lo, below, inside = b, below + passed, inside - passed
 
 
+_STEP = 7
+"""Bytes of a text that are searched at once: as many as fit a BIGINT above zero."""
+
+
+def nth_text(values: DataFrame, n: int, k: int, small: int | None = None) -> str:
+    """The ``k``-th smallest (from 0) of the ``n`` non-null texts in column ``v``, by their bytes.
+
+    Some bytes at a time are read as a number and its rank is searched; only the texts that share
+    them go on, until few are left or their ends are reached.
+    """
+    small = SMALL if small is None else small
+    raw, rows, done = F.col("v").cast("binary"), values, 0
+    while n > small:
+        part = F.rpad(F.hex(F.substring(raw, done + 1, _STEP)), 2 * _STEP, "0")
+        code = F.conv(part, 16, 10).cast("bigint")
+        at = nth_value(rows.select(code.alias("v")), n, k, small)
+        before, n, longest = rows.agg(
+            F.count_if(code < at), F.count_if(code == at), F.max(F.when(code == at, F.octet_length("v")))
+        ).first()
+        rows, k, done = rows.filter(code == at), k - before, done + _STEP
+        if longest <= done:  # they differ at most in zero bytes at the end
+            length = nth_value(rows.select(F.octet_length("v").alias("v")), n, k, small)
+            return rows.filter(F.octet_length("v") == length).first()[0]
+    return rows.orderBy("v").offset(k).limit(1).first()[0]
+
+
 def column_mode(df: DataFrame, name: str) -> Any | None:
     """The most frequent non-missing value, the smallest of several: a top-1 over value counts."""
     value = nan_to_null(col(name), dtype(df, name))

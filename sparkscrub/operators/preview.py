@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkscrub.functions.columns import (
-    ROW_INDEX, col, data_columns, dtype, is_missing, is_numeric, nan_to_null, require_index,
+    ROW_INDEX, col, data_columns, dtype, is_missing, is_numeric, is_text, nan_to_null, require_index,
 )
 from sparkscrub.functions.text import iso_text
-from sparkscrub.operators.order_stats import nth_value
+from sparkscrub.operators.order_stats import nth_text, nth_value
 
 PAGE_SIZE = 50
 DEEP = 100_000
@@ -82,12 +82,13 @@ def preview(
     sort_dir: str = "asc",
     regex: bool = False,
     index: str = ROW_INDEX,
+    deep: int = DEEP,
 ) -> Page:
     """One page of the filtered, sorted table. The page is clamped to the pages there are.
 
     The rows come from a top-k. For pages in the second half the order is turned round, so
-    the top-k runs from the nearer end; far from both ends the sort key of the page's first
-    row is found first, and the top-k starts there.
+    the top-k runs from the nearer end; ``deep`` rows or more from both ends the sort key of the
+    page's first row is found first, and the top-k starts there, so it is never longer than that.
     """
     require_index(df, index)
     hit = matches(df, search_query, regex, index) if search_query else F.lit(True)
@@ -99,8 +100,10 @@ def preview(
     start = (page - 1) * page_size
     size = min(page_size, found - start)
     part = df.filter(hit)
-    if DEEP < start < found - DEEP and _has_ranks(df, sort_col):
-        rows = part.filter(_at_or_after(part, sort_col, ascending, index, start)).orderBy(*order).limit(size)
+    if deep < start < found - deep and _has_ranks(df, sort_col):
+        rows = part.filter(_at_or_after(part, sort_col, ascending, index, start, deep)).orderBy(*order).limit(size)
+    elif min(start, found - start) >= 1 << 31:
+        raise ValueError(f"a page this deep needs a sort column of numbers, text or times, not {sort_col!r}")
     elif start <= found // 2:
         rows = part.orderBy(*order).offset(start).limit(page_size)
     else:
@@ -111,19 +114,19 @@ def preview(
 
 
 def _has_ranks(df: DataFrame, sort_col: str | None) -> bool:
-    """Whether the sort key can be searched by rank: numbers, dates and times can."""
+    """Whether the sort key can be searched by rank: numbers, text, dates and times can."""
     if sort_col is None or sort_col not in df.columns:
         return True
     dt = dtype(df, sort_col)
-    return is_numeric(dt) or isinstance(dt, (T.DateType, T.TimestampType, T.TimestampNTZType))
+    return is_numeric(dt) or is_text(dt) or isinstance(dt, (T.DateType, T.TimestampType, T.TimestampNTZType))
 
 
-def _at_or_after(part: DataFrame, sort_col: str | None, ascending: bool, index: str, start: int) -> Column:
+def _at_or_after(part: DataFrame, sort_col: str | None, ascending: bool, index: str, start: int, small: int) -> Column:
     """The rows from sorted position ``start`` on, as a condition on sort key and index."""
     place = col(index)
 
     def place_at(rows: DataFrame, n: int, k: int) -> Column:
-        return place >= nth_value(rows.select(place.alias("v")), n, k)
+        return place >= nth_value(rows.select(place.alias("v")), n, k, small)
 
     if sort_col is None or sort_col not in part.columns:
         return place_at(part, part.count(), start)
@@ -131,9 +134,9 @@ def _at_or_after(part: DataFrame, sort_col: str | None, ascending: bool, index:
     rows, present = part.agg(F.count(F.lit(1)), F.count(key)).first()
     if start >= present:
         return key.isNull() & place_at(part.filter(key.isNull()), rows - present, start - present)
-    first = F.lit(
-        nth_value(part.select(key.alias("v")).filter("v IS NOT NULL"), present, start if ascending else present - 1 - start)
-    )
+    nth = nth_text if is_text(dtype(part, sort_col)) else nth_value
+    values = part.select(key.alias("v")).filter("v IS NOT NULL")
+    first = F.lit(nth(values, present, start if ascending else present - 1 - start, small))
     beyond, ahead = (key > first, key < first) if ascending else (key < first, key > first)
     before, ties = part.agg(F.count_if(ahead), F.count_if(key == first)).first()
     return beyond | key.isNull() | ((key == first) & place_at(part.filter(key == first), ties, start - before))
@@ -146,10 +149,6 @@ def _reversed(df: DataFrame, sort_col: str | None, ascending: bool, index: str)
     return [key.desc_nulls_first() if ascending else key.asc_nulls_first(), col(index).desc()]
 
 
-def first_rows(df: DataFrame, n: int, index: str = ROW_INDEX) -> DataFrame:
-    return df.orderBy(col(require_index(df, index))).limit(n)
-
-
 def cells(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
     """Row, column and cell totals and the missing cells, in one pass."""
     names = data_columns(df, columns)
