@@ -83,15 +83,18 @@ def _sketched_counts(df: DataFrame, names: list[str]) -> DataFrame:
 
 
 def analyze_nulls(
-    df: DataFrame, approx_distinct: bool = False, one_scan: bool = False, index: str = ROW_INDEX
+    df: DataFrame, approx_distinct: bool = False, one_scan: bool | None = None, index: str = ROW_INDEX
 ) -> DataFrame:
     """One row per column: missing, blank, distinct and repeated values, percentage, status.
 
-    Exact by default: columns are grouped one by one, each read once. ``one_scan`` groups all
-    cells in a single pass with the same result; ask for it where the input is costly to
-    compute again or not columnar. ``approx_distinct`` estimates distinct values
-    and shuffles nothing. A blank counts as missing and still as a distinct value.
+    Exact by default, with one result by either plan: columns are grouped one by one, each read
+    once, or all cells in a single pass. Left open, ``one_scan`` is taken where a file would be
+    parsed once per column; ask for it where the input is costly to compute again.
+    ``approx_distinct`` estimates distinct values and shuffles nothing. A blank counts as missing
+    and still as a distinct value.
     """
+    if one_scan is None:
+        one_scan = not all(f.lower().endswith((".parquet", ".orc")) for f in df.inputFiles())
     names = [n for n in data_columns(df) if n != index]
     count = _sketched_counts if approx_distinct else _value_counts_one_scan if one_scan else _value_counts_per_column
     counted = count(df, names)

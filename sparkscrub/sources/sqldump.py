@@ -1,9 +1,11 @@
 """SQL dump text: the rows of its INSERT statements as tables.
 
 The text is read line by line, so one statement may fill a file of any size and is still
-read in parallel. Lines are joined only where a quoted value, a parenthesis or a statement
-head runs over several lines: quotes and parentheses are counted along the file for that.
-The head that a tuple belongs to is carried down from the line it stands on.
+read in parallel. Lines are joined only where a quoted value, a block comment, a parenthesis
+or a statement head runs over several lines. For quotes and comments each line is a function
+from the state it begins in to the state it ends in, and these functions are put together
+along the file; parentheses are counted. The head that a tuple belongs to is carried down
+from the line it stands on. Quotes may be doubled or escaped by a backslash.
 """
 
 from __future__ import annotations
@@ -20,66 +22,124 @@ from sparkscrub.operators.running import dense_index, running_total
 from sparkscrub.session import written_table
 from sparkscrub.sources.rowid import PLACE_BITS, text_place
 
-_NAME = r"[`\"']?([a-zA-Z0-9_]+)[`\"']?"
-_QUOTED = r"'[^']*+(?:''[^']*+)*+'|\"[^\"]*+(?:\"\"[^\"]*+)*+\""
-_HEAD = r"INSERT\s+INTO\s+" + _NAME + r"\s*(?:\(([^()]*)\))?\s*VALUES"
+# Grammar: a quoted text ends at its quote, unless that is doubled or stands behind a backslash.
+_SINGLE = r"'(?:[^'\\]++|\\[\s\S]|'')*+'"
+_DOUBLE = r'"(?:[^"\\]++|\\[\s\S]|"")*+"'
+_QUOTED = rf"{_SINGLE}|{_DOUBLE}"
+_COMMENT = r"/\*[\s\S]*?\*/|--[^\n]*|(?m:^\s*#[^\n]*)"
+_NAME = r"[`\"'\[]?([a-zA-Z0-9_$]+)[`\"'\]]?"
+_ANY_NAME = _NAME.replace("([a", "(?:[a")
+_VERB = r"\b(?:INSERT|REPLACE)\s+(?:(?:LOW_PRIORITY|DELAYED|HIGH_PRIORITY|IGNORE|OR\s+\w+)\s+)*INTO\s+"
+_HEAD = _VERB + rf"(?:{_ANY_NAME}\s*\.\s*)*" + _NAME + r"\s*(?:\(([^()]*)\))?\s*(?:OVERRIDING\s+\w+\s+VALUE\s+)?VALUES?"
 _TUPLE = rf"\((?:{_QUOTED}|[^()'\"]++|\([^()]*+\))*+\)"
 _ITEM = rf"((?:{_QUOTED}|[^,'\"(]++|\([^()]*+\))++)"
 # Quoted text outside tuples is a token too, so that nothing inside it is taken for one.
-_TOKEN = rf"(?is)({_HEAD.replace('([a', '(?:[a').replace('([^()]*)', '(?:[^()]*)')}|{_TUPLE}|;|{_QUOTED})"
-_CREATE = r"(?i)CREATE\s+TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?" + _NAME
-_COMMENT = r"^\s*(?:--|#)"
+_TOKEN = rf"(?is)({_HEAD.replace(_NAME, _ANY_NAME).replace('([^()]*)', '(?:[^()]*)')}|{_TUPLE}|;|{_QUOTED})"
+_CREATE = rf"(?i)CREATE\s+TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?(?:{_ANY_NAME}\s*\.\s*)*" + _NAME
 
 # A head without its VALUES opens a piece; a line that only brings the VALUES closes it.
-_OPEN_HEAD = r"(?is)INSERT\s+INTO\s+(?!.*\bVALUES\b)"
-_LATE_VALUES = r"(?is)^(?!.*INSERT\s+INTO).*(?:^\s*(?:\([^()]*\))?\s*VALUES\b|\bVALUES\s*$)"
+_OPEN_HEAD = rf"(?is){_VERB}(?!.*(?:\bVALUES?\b|;))"
+_LATE_VALUES = r"(?is)^(?!.*\bINTO\b).*(?:^\s*(?:\([^()]*\))?\s*VALUES?\b|\bVALUES?\s*$)"
+
+MOST_LINES = 1 << 16
+"""A value or tuple that runs over more lines is set aside: its quote is never closed."""
+
+# What a line can begin and end in: plain text, either kind of quote, or a block comment.
+_OPENERS = ("", "'", '"', "/*")
+_SAME = sum(s << 2 * s for s in range(4))
 
 
 def _occurrences(c: Column, mark: str) -> Column:
     return F.length(c) - F.length(F.replace(c, F.lit(mark), F.lit("")))
 
 
-def _joined(pieces: DataFrame, state: DataFrame | None) -> DataFrame:
-    """Join consecutive pieces of a file up to each one that ``closes`` (file, place, closes).
+def _numbered(pieces: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pieces with the unit they belong to, up to each one that ``closes`` (file, place, closes), and the
+    pieces of units that are too long to be one (file, place, text)."""
+    units = running_total(written_table(state, "dump-state"), F.col("closes"), "unit", "place", ["file"]).drop("closes")
+    units = written_table(units, "dump-numbers")
+    long = units.groupBy("file", "unit").count().where(F.col("count") > MOST_LINES).select("file", "unit")
+    placed = pieces.join(units, ["file", "place"])
+    return placed.join(long, ["file", "unit"], "left_anti"), placed.join(long, ["file", "unit"], "left_semi").select("file", "place", "text")
+
+
+def _joined(pieces: DataFrame, state: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
+    """Consecutive pieces of a file joined, and what was set aside.
 
     Where nothing is ever open there is no state: the pieces are returned and no row moves.
     """
     if state is None:
-        return pieces
-    numbered = running_total(written_table(state, "dump-state"), F.col("closes"), "unit", "place", ["file"])
+        return pieces, None
+    numbered, aside = _numbered(pieces, state)
     lines = F.array_sort(F.collect_list(F.struct("place", "text")))
-    whole = pieces.join(numbered.drop("closes"), ["file", "place"]).groupBy("file", "unit").agg(
-        F.min("place").alias("place"), lines.alias("lines")
-    )
+    whole = numbered.groupBy("file", "unit").agg(F.min("place").alias("place"), lines.alias("lines"))
     text = F.array_join(F.col("lines").getField("text"), "\n")
-    return written_table(whole.select("file", "place", text.alias("text")), "dump-units")
+    return written_table(whole.select("file", "place", text.alias("text")), "dump-units"), aside
 
 
 def _closes(still_open: Column) -> Column:
     return F.when(still_open, 0).otherwise(1).cast("bigint").alias("closes")
 
 
+def _ends_in(text: Column, state: int) -> Column:
+    """What a line ends in, if it begins in ``state``: the first opener that nothing closes."""
+    left = F.regexp_replace(F.concat(F.lit(_OPENERS[state]), text), f"{_QUOTED}|{_COMMENT}", " ")
+    opener = F.regexp_extract(left, r"'|\"|/\*", 0)
+    return F.array_position(F.array(*[F.lit(o) for o in _OPENERS]), opener).cast("int") - 1
+
+
+def _then(first: Column, second: Column) -> Column:
+    """Two lines, one after the other: each is four two-bit ends, by the state it begins in."""
+    def end(s: int) -> Column:
+        middle = F.shiftright(first, 2 * s).bitwiseAND(F.lit(3))
+        return F.shiftleft(F.call_function("shiftright", second, middle * 2).bitwiseAND(F.lit(3)), 2 * s)
+
+    return end(0) + end(1) + end(2) + end(3)
+
+
+_SCAN_BITS = 10
+
+
+def _before(rows: DataFrame, bits: int) -> DataFrame:
+    """(file, at, before): all lines ahead of each one (file, at, line) in its file, taken together.
+
+    Lines are taken together by 1024, those groups by 1024, and so on, so no group is larger."""
+    groups = rows.groupBy("file", F.shiftright("at", _SCAN_BITS).alias("group")).agg(
+        F.array_sort(F.collect_list(F.struct("at", "line"))).alias("items"))
+    start = F.struct(F.lit(_SAME).alias("all"), F.array().cast("array<int>").alias("ahead"))
+    scanned = F.aggregate("items", start, lambda a, x: F.struct(
+        _then(a["all"], x["line"]).alias("all"), F.array_append(a["ahead"], a["all"]).alias("ahead")))
+    groups = written_table(groups.select("file", "group", "items", scanned.alias("s")), "dump-scan")
+    each = F.inline(F.arrays_zip(F.col("items.at").alias("at"), F.col("s.ahead").alias("ahead")))
+    if bits <= _SCAN_BITS:
+        return groups.select("file", each).select("file", F.col("at"), F.col("ahead").alias("before"))
+    above = _before(groups.select("file", F.col("group").alias("at"), F.col("s.all").alias("line")), bits - _SCAN_BITS)
+    above = above.select("file", F.col("at").alias("group"), F.col("before").alias("above"))
+    joined = groups.join(above, ["file", "group"])
+    return joined.select("file", "above", each).select("file", "at", _then(F.col("above"), F.col("ahead")).alias("before"))
+
+
 def _quote_state(lines: DataFrame) -> DataFrame | None:
-    """Which lines end outside quotes.
+    """Which lines end outside quotes and comments.
 
-    A line with an odd number of quotes turns inside to outside and back. One that has or
-    looks like a comment always ends outside: outside the odd quote stands in the comment,
-    inside it closes the quoted text. So the count starts anew behind such a line.
+    Where no line that begins in plain text ends elsewhere, none ever does. Else every line is
+    taken for what it does to each state it may begin in, and the lines ahead of it are put together.
     """
-    odd = (_occurrences(F.col("text"), "'") % 2).cast("bigint")
-    comment = F.col("text").rlike(_COMMENT) | F.regexp_replace("text", _QUOTED, "").rlike("^[^']*--")
-    marked = lines.select("file", "place", odd.alias("odd"), comment.alias("comment"))
-    if marked.filter("odd = 1").isEmpty():
+    text = F.col("text")
+    last = lines.agg(F.max(F.when(_ends_in(text, 0) > 0, F.col("place"))), F.max("place")).first()
+    if last[0] is None:
         return None
-    keys = ["file"]
-    if not marked.filter("odd = 1 AND comment").isEmpty():
-        resets = (F.col("odd") * F.col("comment").cast("bigint")).cast("bigint")
-        marked = written_table(running_total(marked, resets, "part", "place", keys), "dump-quotes")
-        keys = ["file", "part"]
-    turns = F.when(~F.col("comment"), F.col("odd")).otherwise(0)
-    counted = running_total(marked, turns, "before", "place", keys)
-    inside = (F.col("before") + turns) % 2 == 1
-    return counted.select("file", "place", _closes(inside & ~(F.col("comment") & (F.col("odd") == 1))))
+    line = sum((F.shiftleft(_ends_in(text, s), 2 * s) for s in range(1, 4)), _ends_in(text, 0))
+    marked = written_table(lines.select("file", F.col("place").alias("at"), line.alias("line")), "dump-lines")
+    ahead = _before(marked, max(1, int(last[1]).bit_length()))
+    exit_ = _then(F.col("before"), F.col("line")).bitwiseAND(F.lit(3))
+    return marked.join(ahead, ["file", "at"]).select("file", F.col("at").alias("place"), _closes(exit_ != 0))
+
+
+def _plain(lines: DataFrame) -> DataFrame:
+    """Comments outside quotes taken out."""
+    text = F.when(F.col("text").rlike(r"/\*|--|#"), F.regexp_replace("text", f"({_QUOTED})|{_COMMENT}", "$1 ")).otherwise(F.col("text"))
+    return lines.select("file", "place", text.alias("text"))
 
 
 def _depth_state(pieces: DataFrame) -> DataFrame | None:
@@ -87,28 +147,32 @@ def _depth_state(pieces: DataFrame) -> DataFrame | None:
     plain = F.regexp_replace("text", _QUOTED, "")
     depth = _occurrences(plain, "(") - _occurrences(plain, ")")
     depth += plain.rlike(_OPEN_HEAD).cast("int") - plain.rlike(_LATE_VALUES).cast("int")
-    change = F.when(F.col("text").rlike(_COMMENT), 0).otherwise(depth).cast("bigint")
-    marked = pieces.select("file", "place", change.alias("change"))
+    marked = pieces.select("file", "place", depth.cast("bigint").alias("change"))
     if marked.filter("change <> 0").isEmpty():
         return None
     counted = running_total(marked, F.col("change"), "before", "place", ["file"])
     return counted.select("file", "place", _closes(F.col("before") + F.col("change") > 0))
 
 
-def units(lines: DataFrame) -> DataFrame:
-    """Lines (file, place, text), joined so that no quote, tuple or head is cut."""
-    quoted = _joined(lines, _quote_state(lines))
-    return _joined(quoted, _depth_state(quoted))
+def units(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Lines (file, place, text), joined so that no quote, comment, tuple or head is cut, without their
+    comments; and the lines that were set aside."""
+    quoted, open_quote = _joined(lines, _quote_state(lines))
+    plain = _plain(quoted)
+    whole, open_tuple = _joined(plain, _depth_state(plain))
+    aside = lines.select("file", "place", "text").limit(0)
+    for more in (open_quote, open_tuple):
+        aside = aside if more is None else aside.unionByName(more)
+    return whole, aside
 
 
-def dump_rows(lines: DataFrame) -> DataFrame:
+def dump_rows(whole: DataFrame) -> DataFrame:
     """One row per inserted tuple: (table_name, row index, names, items).
 
     ``items`` are (kind, value) with kind int, float, text or null.
     """
-    whole = units(lines).filter(~F.col("text").rlike(_COMMENT))
     files = [r[0] for r in whole.select("file").distinct().orderBy("file").collect()]
-    ranks = lines.sparkSession.createDataFrame(list(enumerate(files)), "rank bigint, file string")
+    ranks = whole.sparkSession.createDataFrame(list(enumerate(files)), "rank bigint, file string")
     tokens = F.filter(
         F.regexp_extract_all("text", F.lit(_TOKEN), F.lit(1)), lambda t: ~F.left(t, F.lit(1)).isin("'", '"')
     )
@@ -154,13 +218,18 @@ def dump_rows(lines: DataFrame) -> DataFrame:
 
 
 def _literal(x: Column) -> Column:
-    """A literal's kind and text. Quotes are taken off and doubled ones made single."""
+    """A literal's kind and text. Quotes are taken off, doubled ones made single, escapes read."""
     quote = F.left(x, F.lit(1))
     quoted = (F.length(x) >= 2) & quote.isin("'", '"') & (F.right(x, F.lit(1)) == quote)
     inner = F.substr(x, F.lit(2), F.length(x) - 2)
-    unescaped = F.when(quote == "'", F.replace(inner, F.lit("''"), F.lit("'"))).otherwise(
+    single = F.when(quote == "'", F.replace(inner, F.lit("''"), F.lit("'"))).otherwise(
         F.replace(inner, F.lit('""'), F.lit('"'))
     )
+    read = F.replace(single, F.lit("\\\\"), F.lit("\u0001"))  # a doubled backslash escapes nothing after it
+    for code, meant in (("n", "\n"), ("t", "\t"), ("r", "\r")):
+        read = F.replace(read, F.lit("\\" + code), F.lit(meant))
+    read = F.replace(F.regexp_replace(read, r"\\(.)", "$1"), F.lit("\u0001"), F.lit("\\"))
+    unescaped = F.when(F.contains(inner, F.lit("\\")), read).otherwise(single)
     kind = (
         F.when(quoted, "text")
         .when(F.upper(x) == "NULL", "null")
@@ -176,6 +245,8 @@ def _literal(x: Column) -> Column:
 class Dump:
     rows: DataFrame
     lines: DataFrame
+    bad_rows: DataFrame
+    """Text that gave no row though it inserts: (file, place, text)."""
 
     def tables(self) -> list[str]:
         """Table names in order of first appearance; from CREATE TABLE if nothing is inserted."""
@@ -228,7 +299,10 @@ def parse_dump(lines: DataFrame) -> Dump:
 
     The text is parsed once: its tuples are written to the shared folder and read from there.
     """
-    return Dump(written_table(dump_rows(lines), "dump-rows"), lines)
+    whole, aside = units(lines)
+    bare = F.regexp_replace("text", _QUOTED, "''")
+    unread = F.regexp_count(bare, F.lit(rf"(?is){_VERB}")) > F.regexp_count(bare, F.lit(rf"(?is){_HEAD}"))
+    return Dump(written_table(dump_rows(whole), "dump-rows"), lines, aside.unionByName(whole.filter(unread)))
 
 
 def read_sql_dump(spark: SparkSession, paths: str | list[str]) -> Dump:

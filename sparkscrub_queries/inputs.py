@@ -172,20 +172,32 @@ def grid(spark: SparkSession, sf: str, doc: str = "o_custkey") -> DataFrame:
     return heads.unionByName(body)
 
 
+DUMP_HEADS = (
+    "INSERT INTO `people`", "INSERT IGNORE INTO people", "INSERT INTO main.people",
+    "/* it's\n'INSERT INTO x VALUES (1);' */ REPLACE INTO `db`.`people`", "-- don't\nINSERT INTO people",
+)
+
+
 def dump_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Customers as the lines of a SQL dump (file, place, text).
 
     Each statement holds two tuples on lines of their own, the second of them short. Some
-    names hold a quote, a semicolon and a line break; some heads fill two lines.
+    names hold a quote, a semicolon and a line break; some heads fill two lines; some quotes are
+    escaped by a backslash; some heads are qualified or say IGNORE; comments hold quotes and code.
     """
     key = F.col("c_custkey").cast("string")
-    name = F.when(F.col("c_custkey") % 7 == 0, F.concat(F.lit("O''Neil;\n-- "), "c_name")).otherwise(F.col("c_name"))
+    name = (
+        F.when(F.col("c_custkey") % 7 == 0, F.concat(F.lit("O''Neil;\n-- "), "c_name"))
+        .when(F.col("c_custkey") % 7 == 1, F.concat(F.lit("O\\'Hara \\\\"), "c_name"))
+        .otherwise(F.col("c_name"))
+    )
+    verb = F.element_at(F.array(*[F.lit(v) for v in DUMP_HEADS]), (F.col("c_custkey") % len(DUMP_HEADS)).cast("int") + 1)
     segment = F.when(F.col("c_custkey") % 5 == 0, F.lit("NULL")).otherwise(
         F.concat(F.lit("'"), "c_mktsegment", F.lit("'"))
     )
     gap = F.when(F.col("c_custkey") % 3 == 0, F.lit("\n")).otherwise(F.lit(" "))
     statement = F.concat(
-        F.lit("INSERT INTO `people` (id, name, segment, score)"), gap, F.lit("VALUES\n("), key, F.lit(", '"), name,
+        verb, F.lit(" (id, name, segment, score)"), gap, F.lit("VALUES\n("), key, F.lit(", '"), name,
         F.lit("', "), segment, F.lit(", "), F.col("c_nationkey").cast("string"), F.lit(".5),\n(-"), key,
         F.lit(", 'twin, of ("), key, F.lit(")');"),
     )

@@ -257,13 +257,33 @@ def sql_dump_load(spark, sf):
 
 
 _DUMP = """SELECT CAST(2 * (row_number() OVER (ORDER BY c_custkey) - 1) AS BIGINT) AS _row_index, c_custkey AS id,
-    CASE WHEN c_custkey % 7 = 0 THEN 'O''Neil;' || chr(10) || '-- ' || c_name ELSE c_name END AS name,
+    CASE WHEN c_custkey % 7 = 0 THEN 'O''Neil;' || chr(10) || '-- ' || c_name
+        WHEN c_custkey % 7 = 1 THEN 'O' || chr(39) || 'Hara ' || chr(92) || c_name ELSE c_name END AS name,
     CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_mktsegment END AS segment,
     CAST(c_nationkey AS DOUBLE) + 0.5 AS score FROM customer
     UNION ALL SELECT CAST(2 * (row_number() OVER (ORDER BY c_custkey) - 1) + 1 AS BIGINT), -c_custkey,
     'twin, of (' || c_custkey || ')', NULL, NULL FROM customer"""
 
 
+def sql_dump_bad_rows(spark, sf):
+    """Statements that insert no values, and so give no rows."""
+    n = table(spark, sf, "nation")
+    lines = n.select(
+        F.lit("d.sql").alias("file"), F.col("n_nationkey").cast("bigint").alias("place"),
+        F.when(F.col("n_nationkey") % 3 == 0, F.concat(F.lit("INSERT INTO a SELECT * FROM b WHERE x = '"), "n_name", F.lit("';")))
+        .otherwise(F.concat(F.lit("INSERT INTO a VALUES ('INSERT INTO', '"), "n_name", F.lit("');"))).alias("text"))
+    return parse_dump(lines).bad_rows.select("place", "text")
+
+
+def sql_dump_created(spark, sf):
+    """The tables of a dump without rows, from its CREATE statements."""
+    n = table(spark, sf, "nation")
+    lines = n.select(
+        F.lit("d.sql").alias("file"), F.col("n_nationkey").cast("bigint").alias("place"),
+        F.concat(F.lit("CREATE TABLE IF NOT EXISTS `main`.`t_"), F.col("n_nationkey").cast("string"), F.lit("` (x INT);")).alias("text"))
+    return spark.createDataFrame([(t,) for t in parse_dump(lines).tables()], "table_name string")
+
+
 def sql_dump_file(spark, sf):
     """Nations as a dump file on disk, read by the format of its name."""
     path = fresh_path(spark, "dump")
@@ -384,6 +404,12 @@ QUERIES = {
     "grid_inspect": (grid_inspect, _GRID_INSPECT),
     "grid_export": (grid_export, _GRID_EXPORT),
     "sql_dump_load": (sql_dump_load, _DUMP),
+    "sql_dump_bad_rows": (
+        sql_dump_bad_rows,
+        """SELECT CAST(n_nationkey AS BIGINT) AS place, 'INSERT INTO a SELECT * FROM b WHERE x = ' || chr(39) || n_name || chr(39) || ';' AS text
+        FROM nation WHERE n_nationkey % 3 = 0""",
+    ),
+    "sql_dump_created": (sql_dump_created, "SELECT 't_' || n_nationkey AS table_name FROM nation"),
     "sql_dump_file": (
         sql_dump_file,
         """SELECT CAST(n_nationkey AS BIGINT) AS column_1, n_name AS column_2, CAST(NULL AS STRING) AS column_3,
