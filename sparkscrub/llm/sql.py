@@ -43,4 +43,60 @@ SELECT l.doc_id, coalesce(len(lines), 0)::BIGINT AS n_lines, (coalesce(len(lines
 FROM l LEFT JOIN kept USING (doc_id)"""
 
 
-SQL = {"op2_host_rules": _HOST_RULES, "op5_line_windows": line_dedup_sql("documents")}
+_NEAR = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '{_WORD}') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS sh FROM w),
+n AS (SELECT doc_id, len(sh) AS n FROM s),
+e AS (SELECT doc_id, unnest(sh) AS x FROM s),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM common JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 75 * (na.n + nb.n - c)),
+ways AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT doc_id, doc_id AS other FROM n UNION SELECT r.doc_id, ways.b FROM reach r JOIN ways ON r.other = ways.a)
+SELECT doc_id, n::BIGINT AS n_shingles, min(other) AS component_id, min(other) = doc_id AS kept FROM reach JOIN n USING (doc_id) GROUP BY doc_id, n"""
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_TEMPLATES = rf"""
+WITH p AS (SELECT row_number() OVER () AS rid, page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') AS host,
+    regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+sg AS (SELECT rid, host, string_split(path, '/')[2:] AS segs FROM p),
+sh AS (SELECT *, list_transform(segs, lambda s: CASE WHEN length(s) > 32 THEN '<long>' ELSE regexp_replace(s, '[0-9]+', '9', 'g') END) AS shapes FROM sg),
+each AS (SELECT rid, host, place, segs[place + 1] AS segment, array_to_string(shapes[1:place], '/') AS ahead
+    FROM (SELECT *, unnest(range(0, len(segs))) AS place FROM sh)),
+nodes AS (SELECT host, place, ahead, segment, count(*) AS n FROM each GROUP BY ALL),
+parents AS (SELECT host, place, ahead, count(*) AS children FROM nodes GROUP BY ALL),
+literal AS (SELECT host, place, ahead, segment, true AS stays FROM nodes JOIN parents USING (host, place, ahead)
+    WHERE NOT regexp_matches(segment, '[0-9]') AND length(segment) <= 32 AND (n >= 8 OR children <= 12)),
+tok AS (SELECT rid, list(CASE WHEN stays THEN segment ELSE '*' END ORDER BY place) AS tokens
+    FROM each LEFT JOIN literal USING (host, place, ahead, segment) GROUP BY rid),
+lab AS (SELECT doc_id AS page_id, max((quality = 0)::INT) AS bad FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
+pg AS (SELECT p.*, coalesce(tokens, []) AS tokens, bad FROM p LEFT JOIN tok USING (rid) LEFT JOIN lab USING (page_id)),
+counted AS (SELECT host, tokens, count(*) AS n, count(bad) AS labelled, coalesce(sum(bad), 0) AS bad FROM pg GROUP BY ALL),
+branch AS (SELECT * FROM (SELECT host, labelled, bad, tokens, place, tokens[place + 1] AS token, array_to_string(tokens[1:place], '/') AS parent
+    FROM (SELECT *, unnest(range(0, len(tokens))) AS place FROM counted)) WHERE token <> '*'),
+kids AS (SELECT host, place, parent, token, sum(labelled) AS l, sum(bad) AS b FROM branch GROUP BY ALL),
+fam AS (SELECT host, place, parent, sum(l) AS pl, sum(b) AS pb, count(*) AS k FROM kids GROUP BY ALL),
+apart AS (SELECT host, place, parent, token, true AS stays FROM (SELECT *, pb::DOUBLE / nullif(pl, 0) AS pooled FROM kids JOIN fam USING (host, place, parent))
+    WHERE k = 1 OR (l > 0 AND pl > l AND abs(b::DOUBLE / nullif(l, 0) - (pb - b)::DOUBLE / nullif(pl - l, 0))
+        > 1.96 * sqrt(pooled * (1 - pooled) * (1.0::DOUBLE / nullif(l, 0) + 1.0::DOUBLE / nullif(pl - l, 0))))),
+free AS (SELECT host, tokens, list(place) AS open FROM branch ANTI JOIN apart USING (host, place, parent, token) GROUP BY ALL),
+merged AS (SELECT host, tokens, n, labelled, bad, '/' || array_to_string(list_transform(tokens,
+    lambda t, i: CASE WHEN list_contains(coalesce(open, []), i - 1) THEN '*' ELSE t END), '/') AS template FROM counted LEFT JOIN free USING (host, tokens)),
+tem AS (SELECT host, template, sum(labelled) AS labelled, sum(bad) AS bad FROM merged GROUP BY ALL),
+hos AS (SELECT host, sum(labelled) AS hl, sum(bad) AS hb FROM tem GROUP BY ALL),
+tot AS (SELECT (sum(hb) + 0.5::DOUBLE) / (sum(hl) + 1.0::DOUBLE) AS overall FROM hos),
+jud AS (SELECT host, template, hl >= 3 AND (bad + 4.0::DOUBLE * ((hb + 4.0::DOUBLE * overall) / (hl + 4.0::DOUBLE))) / (labelled + 4.0::DOUBLE) >= 0.5 AS rejected
+    FROM tem JOIN hos USING (host), tot),
+res AS (SELECT pg.*, template, rejected, CASE
+    WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
+    WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+    WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
+    WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule
+    FROM pg JOIN merged USING (host, tokens) JOIN jud USING (host, template))
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+    WHEN rejected THEN 'block' ELSE 'allow' END AS verdict, template FROM res"""
+
+
+SQL = {"op1_url_templates": _TEMPLATES, "op8_lsh_forest": _NEAR, "op2_host_rules": _HOST_RULES, "op5_line_windows": line_dedup_sql("documents")}
