@@ -16,13 +16,13 @@ their sets have a Jaccard similarity of 0.75 or more; the components of the link
 3. Within a region the candidates are a maximum spanning forest of the estimated similarities (at
    least ``LEAST_ESTIMATE``, four deviations below 0.75): at most one pair per node, and none in
    vain between nodes that are connected already.
-4. Candidates are confirmed on the full sets, which are made anew from the texts of those nodes.
-5. Components of the confirmed links. Then the regions that still hold several components give their
-   best untried pairs between different components, and at last all of them, so that a failed pair
-   hides no link; the components are made again.
+4. Candidates are confirmed on the full sets, which are made anew from the texts of those nodes;
+   the components of the confirmed links follow.
+5. Where a region still holds several components that the estimates do not keep apart, the nodes in
+   question meet with their full sets, and the links that connect components are found exactly,
+   through lists of who has a shingle. So a failed candidate hides no link. Components are made again.
 
-Scale: no pair of a group is written unless it can change the components; the largest region is
-bounded; all tables that feed a join are written, so AQE can split hot keys, and a lost executor
+Scale: a region writes fewer pairs than it has nodes; the largest region is bounded; all tables that feed a join are written, so AQE can split hot keys, and a lost executor
 costs no more than the step at work.
 
 Defined results: null and empty texts, and those without words, have an empty set and are linked
@@ -49,8 +49,6 @@ REGION_ROWS = 2048
 ANCHORS, ANCHOR_SAMPLE = 32, 512
 LEAST_ESTIMATE = 0.60
 SHINGLE = 5
-#: Untried pairs of a node that the first repeat of step 3 gives; the second gives all.
-REPEAT_WIDTHS = (8, None)
 
 _UPPER = {c: c + 32 for c in range(65, 91)}
 _RNG = np.random.default_rng(20)
@@ -189,15 +187,13 @@ def _anchors(rows: DataFrame) -> DataFrame:
     return best.unionByName(few).distinct()
 
 
-def _region_groups(batches) -> Iterator[tuple]:
-    """(nodes, signatures, sizes, components) of each region of a partition sorted by region."""
+def _region_groups(batches) -> Iterator[tuple[int, list[list]]]:
+    """Each region of a partition sorted by region, with its other columns as lists."""
     parts: list[pa.RecordBatch] = []
     key = None
 
     def whole():
-        columns = [[x for p in parts for x in p.column(i).to_pylist()] for i in range(1, parts[0].num_columns)]
-        signatures = np.frombuffer(b"".join(columns[1]), "<u2").reshape(-1, HASHES)
-        return columns[0], signatures, np.array(columns[2]), columns[3] if len(columns) > 3 else None
+        return int(key), [[x for p in parts for x in p.column(i).to_pylist()] for i in range(1, parts[0].num_columns)]
 
     for batch in batches:
         regions = batch.column(0).to_numpy()
@@ -214,6 +210,10 @@ def _region_groups(batches) -> Iterator[tuple]:
         yield whole()
 
 
+def _matrix(signatures: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(signatures), "<u2").reshape(-1, HASHES)
+
+
 def _estimates(signatures: np.ndarray, sizes: np.ndarray, i: int, percent: int) -> np.ndarray:
     """Estimated similarity of node i to all; 0 where the sizes alone rule a link out."""
     e = (signatures == signatures[i]).mean(axis=1)
@@ -240,54 +240,104 @@ def spanning_pairs(signatures: np.ndarray, sizes: np.ndarray, percent: int) -> l
     return pairs
 
 
-def untried_pairs(signatures: np.ndarray, sizes: np.ndarray, components: list, percent: int, width: int | None) -> list[tuple[int, int]]:
-    """Pairs between different components: for each node outside the region's largest one, its best
-    ``width`` candidates, or all."""
+def suspects(signatures: np.ndarray, sizes: np.ndarray, components: list, percent: int) -> np.ndarray:
+    """The nodes of a region that may be linked to one of another component, by the estimates."""
     _, number = np.unique(np.array([c.hex() for c in components]), return_inverse=True)
     sizes_of = np.bincount(number)
-    if len(sizes_of) == 1:
-        return []
-    pairs = []
-    for i in np.flatnonzero(number != np.argmax(sizes_of)):
-        e = _estimates(signatures, sizes, i, percent)
-        e[number == number[i]] = 0
-        near = np.flatnonzero(e >= LEAST_ESTIMATE)
-        if width is not None and len(near) > width:
-            near = near[np.argsort(-e[near], kind="stable")[:width]]
-        pairs += [(int(i), int(j)) for j in near]
-    return pairs
+    found = np.zeros(len(sizes), bool)
+    for i in np.flatnonzero(number != np.argmax(sizes_of)) if len(sizes_of) > 1 else ():
+        near = (number != number[i]) & (_estimates(signatures, sizes, i, percent) >= LEAST_ESTIMATE)
+        found |= near
+        found[i] |= near.any()
+    return np.flatnonzero(found)
 
 
-def _pairs(members: DataFrame, percent: int, width: int | None = None) -> DataFrame:
-    """Distinct candidate pairs (a < b) of all regions; with a component column, only between components."""
+def exact_links(sets: list[np.ndarray], components: list, percent: int) -> list[tuple[int, int]]:
+    """Links between the components of a region, as many as connect what can be connected: every node outside
+    the largest component is held against all others on the full sets, through lists of who has a shingle."""
+    _, number = np.unique(np.array([c.hex() for c in components]), return_inverse=True)
+    sizes = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, shingle = np.unique(np.concatenate(sets), return_inverse=True)
+    has = owner[np.argsort(shingle, kind="stable")]
+    begin = np.concatenate([[0], np.cumsum(np.bincount(shingle))])
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    root, links = number.copy(), []
+    for i in np.flatnonzero(number != np.argmax(np.bincount(number))):
+        own = shingle[ends[i]:ends[i + 1]]
+        lengths = begin[own + 1] - begin[own]
+        at = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths - begin[own], lengths)
+        common = np.bincount(has[at], minlength=len(sets))
+        linked = 100 * common >= percent * (sizes + sizes[i] - common)
+        while len(rest := np.flatnonzero(linked & (root != root[i]))):
+            links.append((int(i), int(rest[0])))
+            root[root == root[rest[0]]] = root[i]
+    return links
+
+
+def _by_region(rows: DataFrame, fn, schema: str, width: int) -> DataFrame:
+    """``fn`` over the rows of each region; it gives tuples of ``width`` columns."""
+    names = [part.split()[0] for part in schema.split(", ")]
 
     def run(batches):
-        found: list[tuple[bytes, bytes]] = []
+        found: list[tuple] = []
 
         def out():
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.binary()) for k in (0, 1)], names=["a", "b"])
+            kinds = [pa.int64() if "long" in part else pa.binary() for part in schema.split(", ")]
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], kinds[k]) for k in range(width)], names=names)
 
-        for names, signatures, sizes, components in _region_groups(batches):
-            if len(names) > 1:
-                at = spanning_pairs(signatures, sizes, percent) if components is None else untried_pairs(signatures, sizes, components, percent, width)
-                found += [(min(names[i], names[j]), max(names[i], names[j])) for i, j in at]
+        for region, columns in _region_groups(batches):
+            if len(columns[0]) > 1:
+                found += fn(region, columns)
             if len(found) >= 10_000:
                 yield out()
                 found = []
         yield out()
 
-    sorted_rows = members.repartition("region").sortWithinPartitions("region", "node")
-    return sorted_rows.mapInArrow(run, "a binary, b binary").distinct()
+    return rows.repartition("region").sortWithinPartitions("region", "node").mapInArrow(run, schema)
 
 
-def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose full sets are similar enough."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "label"), "node")
-    wanted = shared(wanted, "near-wanted")
+def _spanning(members: DataFrame, percent: int) -> DataFrame:
+    """Distinct candidate pairs (a < b) of all regions (region, node, signature, n)."""
+    def pairs(_, columns):
+        names = columns[0]
+        at = spanning_pairs(_matrix(columns[1]), np.array(columns[2]), percent)
+        return [(min(names[i], names[j]), max(names[i], names[j])) for i, j in at]
+
+    return _by_region(members, pairs, "a binary, b binary", 2).distinct()
+
+
+def _suspects(told: DataFrame, percent: int) -> DataFrame:
+    """(region, node, component) of the nodes to be held against each other on full sets."""
+    def rows(region, columns):
+        names, components = columns[0], columns[3]
+        return [(region, names[i], components[i]) for i in suspects(_matrix(columns[1]), np.array(columns[2]), components, percent)]
+
+    return _by_region(told, rows, "region long, node binary, component binary", 3)
+
+
+def _exact(rows: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components of a region (region, node, component, shingles)."""
+    def links(_, columns):
+        names, components = columns[0], columns[1]
+        sets = [np.array(x, np.int64) for x in columns[2]]
+        return [(names[i], names[j]) for i, j in exact_links(sets, components, percent)]
+
+    return _by_region(rows, links, "a binary, b binary", 2).distinct()
+
+
+def _sets_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, shingles) of the wanted nodes, made anew from the text of one document of each."""
+    wanted = shared(wanted.select("node").distinct().join(nodes.select("node", "label"), "node"), "near-wanted")
     ids = wanted.select("label").distinct()
     texts = docs.join(ids, docs["doc_id"].eqNullSafe(ids["label"]), "left_semi").select("text")
     sets = _sets(texts).join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
-    sets = shared(sets, "near-sets")
+    return shared(sets, "near-sets")
+
+
+def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose full sets are similar enough."""
+    sets = _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")), nodes, docs)
     both = (pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
             .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b"))
     common = F.size(F.array_intersect("sa", "sb"))
@@ -300,22 +350,20 @@ def components(edges: DataFrame) -> DataFrame:
     labels = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hook = shared(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("v"), F.least("a", "b").alias("p")), "cc-hook")
-        for _ in range(2):
-            up = hook.select(F.col("v").alias("p"), F.col("p").alias("pp"))
-            hook = hook.join(up, "p").select("v", F.col("pp").alias("p"))
+        hook = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("v"), F.least("a", "b").alias("p"))
+        for _ in range(2):  # four steps up in one round
+            hook = hook.join(hook.select(F.col("v").alias("p"), F.col("p").alias("pp")), "p").select("v", F.col("pp").alias("p"))
         hook = shared(hook, "cc-roots")
         if labels is None:
             labels = hook.select(F.col("v").alias("node"), F.col("p").alias("component"))
         else:
             labels = labels.join(hook, labels["component"] == hook["v"], "left").select("node", F.coalesce("p", "component").alias("component"))
-        labels = shared(labels, "cc-labels")
         edges = (edges.join(hook.select(F.col("v").alias("a"), F.col("p").alias("pa")), "a")
                  .join(hook.select(F.col("v").alias("b"), F.col("p").alias("pb")), "b")
                  .where("pa != pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())
         edges = shared(edges, "cc-edges")
         if edges.isEmpty():
-            return labels
+            return shared(labels, "cc-labels")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -326,19 +374,15 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
         F.min("doc_id").alias("label"), F.min("n_shingles").alias("n"), F.min("signature").alias("signature")), "near-nodes")
     regions = forest_regions(nodes)
     members = shared(regions.join(nodes.select("node", "signature", "n"), "node").select("region", "node", "signature", "n"), "near-members")
-    tried = shared(_pairs(members, percent), "near-pairs")
-    links = shared(_confirmed(tried, nodes, docs, percent), "near-links")
+    links = shared(_confirmed(shared(_spanning(members, percent), "near-pairs"), nodes, docs, percent), "near-links")
     labels = components(links)
-    for width in REPEAT_WIDTHS:
-        told = members.join(labels, "node", "left").select("region", "node", "signature", "n", F.coalesce("component", "node").alias("component"))
-        new = shared(_pairs(told, percent, width).join(tried, ["a", "b"], "left_anti"), "near-pairs")
-        if new.isEmpty():
-            break
-        tried = tried.unionByName(new)
-        more = shared(_confirmed(new, nodes, docs, percent), "near-links")
+    told = members.join(labels, "node", "left").select("region", "node", "signature", "n", F.coalesce("component", "node").alias("component"))
+    doubtful = shared(_suspects(told, percent), "near-suspects")
+    if not doubtful.isEmpty():
+        sets = _sets_of(doubtful, nodes, docs)
+        more = shared(_exact(doubtful.join(sets, "node").select("region", "node", "component", "shingles"), percent), "near-links")
         if not more.isEmpty():
-            links = links.unionByName(more)
-            labels = components(links)
+            labels = components(links.unionByName(more))
     grouped = nodes.join(labels, "node", "left").select("node", "label", F.coalesce("component", "node").alias("component"))
     least = shared(grouped.groupBy("component").agg(F.min("label").alias("component_id")), "near-least")
     result = shared(grouped.join(least, "component").select("node", "component_id"), "near-components")
