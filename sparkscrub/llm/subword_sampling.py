@@ -37,6 +37,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
@@ -416,7 +417,7 @@ def sample_segmentations(df: DataFrame, k: int = 2, seed: int = 10, alpha: float
 
 def decode(df: DataFrame, ids_col: str = "ids", tokenizer: str = TOKENIZER, out_col: str = "decoded") -> DataFrame:
     """All columns and the text of the ids; null for null ids."""
-    shape = df.schema.add(out_col, "string")
+    shape = StructType([*df.schema.fields, StructField(out_col, StringType())])
 
     def run(batches):
         vocab = vocabulary(tokenizer, ALPHA)
