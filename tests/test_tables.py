@@ -198,8 +198,8 @@ def test_sample_looks_at_the_first_hundred(spark):
         F.col("id").alias("_row_index"),
         F.when(F.col("id") < 50, None).when(F.col("id") < 150, "a@b.c").otherwise("word").alias("v"),
     ).repartition(5)
-    assert detected(df)["v"][0] == "Email"
-    assert detected(df, mode="full")["v"][0] == "String"
+    assert detected(df, mode="sample")["v"][0] == "Email"
+    assert detected(df)["v"][0] == "String"  # all values, unless asked otherwise
 
 
 def test_quality_grades(table):
@@ -298,3 +298,39 @@ def test_json_safe(spark):
     row = json_safe(df).first()
     assert (row["d"], row["a"], row["s"]["x"], row["s"]["y"]) == (None, [None, 1.0], None, 2)
     assert not any(isinstance(x, float) and math.isnan(x) for x in row["a"])
+
+
+def test_exact_fills(spark):
+    df = spark.sql("""SELECT * FROM VALUES (0, CAST(2 AS DECIMAL(10, 0)), 9007199254740993, CAST(1 AS TINYINT)),
+        (1, CAST(3 AS DECIMAL(10, 0)), 9007199254740995, NULL), (2, NULL, NULL, NULL) AS t(_row_index, d, b, t)""")
+    d = ss.fill_nulls(df, column="d", strategy="mean").orderBy("_row_index").collect()
+    assert [str(r.d) for r in d] == ["2.00", "3.00", "2.50"]
+    b = ss.fill_nulls(df, column="b", strategy="median").orderBy("_row_index").collect()
+    assert [int(r.b) for r in b] == [9007199254740993, 9007199254740995, 9007199254740994]
+    t = ss.fill_nulls(df, column="t", fill_value=300).orderBy("_row_index").collect()
+    assert [r.t for r in t] == [1, 300, 300]
+
+
+def test_union_index_does_not_collide(spark):
+    a = spark.createDataFrame([((256 << 40) + 5, "a"), (5, "b")], "_row_index bigint, v string")
+    b = spark.createDataFrame([(5, "c"), (1 << 60, "d")], "_row_index bigint, v string")
+    got = ss.union_tables([a, b, a.limit(0)]).orderBy("_row_index").collect()
+    assert [(r[0], r.v) for r in got] == [(0, "b"), (1, "a"), (2, "c"), (3, "d")]
+
+
+def test_rank_search_over_texts(spark):
+    from sparkscrub.operators.order_stats import nth_text
+
+    texts = sorted(["same prefix of many " + str(i % 13) for i in range(60)] + ["", "a", "a\0", "zebra", "é"], key=lambda t: t.encode())
+    df = spark.createDataFrame([(t,) for t in texts], "v string")
+    for k in (0, 1, 2, 3, 30, 62, 63, 64):
+        assert nth_text(df, len(texts), k, small=2) == texts[k]
+
+
+def test_junk_is_no_date(spark):
+    from sparkscrub.functions.dates import parse_free_date
+
+    words = ["Junk 5 2024", "Market 12 2024", "Mayor 1 2024", "12 decoys 2023", "Decimal 10 20", "Monkey 5 May 2024", "5 Sept 2024", "Sunday, 5 may 2024", "June 7 1999"]
+    df = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "i int, w string")
+    got = [str(r.d)[:10] for r in df.select("i", parse_free_date(F.col("w")).alias("d")).orderBy("i").collect()]
+    assert got == ["None"] * 6 + ["2024-09-05", "2024-05-05", "1999-06-07"]
