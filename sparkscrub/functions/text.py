@@ -77,14 +77,7 @@ def after_last(c: Column, mark: str) -> Column:
     return F.substring_index(c, mark, -1)
 
 
-def as_text(c: Column) -> Column:
-    return c.cast("string")
-
-
 def iso_text(c: Column) -> Column:
     """Date or timestamp as ISO text."""
     return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
 
-
-def or_unknown(c: Column) -> Column:
-    return F.coalesce(c, F.lit("Unknown"))

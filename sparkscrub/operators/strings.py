@@ -12,6 +12,9 @@ from sparkscrub.functions import text
 from sparkscrub.functions.columns import data_columns, dtype, is_text, text_columns
 from sparkscrub.operators.cleaned import Cleaned, Cleaner, clean, differs
 
+# The characters that count as special.
+SPECIAL = r"(?U)[^a-zA-Z0-9\s\-_\.]"
+
 # Texts that stand for a missing value.
 PLACEHOLDERS = (
     "n/a", "na", "null", "none", "nan", "-", "--", "---", "?", "nil",
@@ -40,7 +43,7 @@ def string_cleaner(
             new = text.collapse_spaces(new)
         new = text.apply_case(new, case_transform)
         if remove_special_chars:
-            new = F.regexp_replace(new, r"(?U)[^a-zA-Z0-9\s\-_\.]", "")
+            new = F.regexp_replace(new, SPECIAL, "")
         if custom_regex_replace and custom_regex_replace[0]:
             new = F.regexp_replace(new, *custom_regex_replace)
         if empty_to_null:

@@ -56,14 +56,6 @@ def _end_to_end(tables: list[DataFrame]) -> list[DataFrame]:
     return moved
 
 
-def sheet_names(tables: TableSet) -> list[str]:
-    """The names a table set offers, the pseudo-table for all of them included."""
-    names = list(tables)
-    if len(names) < 2:
-        return names
-    return [COMBINED, *names] if schemas_match(tables.values()) else [*names, DISJOINT]
-
-
 def select_table(tables: TableSet, selection: str | None = None) -> tuple[str, DataFrame]:
     """(name, table) for a selection.
 

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from sparkscrub.functions import text
 from sparkscrub.functions.columns import ROW_INDEX
-from sparkscrub.operators.tables import union_tables
 
 KEYS = ["doc_id", "page", "table"]
 PREVIEW_ROWS = 5
@@ -114,7 +113,3 @@ def _shaped(part: DataFrame, names: list[str]) -> DataFrame:
         (F.col("row_no") - first - 1).cast("bigint").alias(ROW_INDEX), cells.alias("c")
     )
     return rows.select(ROW_INDEX, *[F.col("c")[i].alias(n) for i, n in enumerate(names)])
-
-
-def combined(tables: dict[str, DataFrame]) -> DataFrame:
-    return union_tables(tables.values())

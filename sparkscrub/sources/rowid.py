@@ -20,11 +20,6 @@ PLACE_BITS = 40
 BROADCAST_FILES = 50_000
 
 
-def with_row_index(df: DataFrame) -> DataFrame:
-    """A unique index in the order of the DataFrame's partitions."""
-    return df.select(F.monotonically_increasing_id().alias(ROW_INDEX), "*")
-
-
 def text_place() -> Column:
     start = F.col("_metadata.file_block_start")
     in_task = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 import sparkscrub as ss
+from sparkscrub.operators.emails import is_valid_email
 from sparkscrub_queries import sql as q
 from sparkscrub_queries.inputs import (
     ORDER_DATES_SQL, PEOPLE_SQL, TEXTS_SQL, order_dates, people, texts,
@@ -29,7 +30,7 @@ def _people(body: str) -> str:
 def email_validity(spark, sf):
     """How many addresses are valid after cleaning: the smallest whole job."""
     cleaned = ss.clean(people(spark, sf), {"email": ss.email_cleaner()})
-    valid = F.coalesce(F.col("email").rlike(r"^[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+$"), F.lit(False))
+    valid = F.coalesce(is_valid_email(F.col("email")), F.lit(False))
     return cleaned.groupBy(valid.alias("email_valid")).agg(
         F.count(F.lit(1)).alias("people"), F.count_distinct("email").alias("addresses")
     )
