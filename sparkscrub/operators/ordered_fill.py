@@ -2,7 +2,8 @@
 
 Rows are cut into buckets by their index. A window fills within each bucket; what enters a
 bucket from above is found on a table with one row per bucket, which is itself cut into
-blocks. So no task sees more than one bucket, one block of buckets, or the list of blocks.
+blocks, and these into larger ones, while there are many. So no task sees more than one bucket
+of rows or 2^20 buckets.
 """
 
 from __future__ import annotations
@@ -13,24 +14,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkscrub.functions.columns import ROW_INDEX, col, data_columns, dtype, is_missing, nan_to_null, require_index
+from sparkscrub.operators.running import levels
 
 BUCKET_BITS = 16
 BLOCK_BITS = 20
 
 
-def _entering(buckets: DataFrame, carried: list[str], bits: int) -> DataFrame:
+def _entering(buckets: DataFrame, carried: list[str], bits: int, depth: int) -> DataFrame:
     """Per bucket, the last value of every carried column in the buckets before it."""
-    block = F.shiftright("bucket", bits)
-    before = Window.partitionBy("block").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    within = buckets.withColumn("block", block).select(
-        "bucket", "block", *[F.last(c, ignorenulls=True).over(before).alias(c) for c in carried]
-    )
-    blocks = buckets.groupBy(block.alias("block")).agg(
+    ahead = Window.partitionBy("block") if depth else Window.partitionBy()
+    ahead = ahead.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    placed = buckets.withColumn("block", F.shiftright("bucket", bits))
+    within = placed.select("bucket", "block", *[F.last(c, ignorenulls=True).over(ahead).alias(c) for c in carried])
+    if not depth:
+        return within.drop("block")
+    blocks = placed.groupBy("block").agg(
         *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("bucket"))).alias(c) for c in carried]
     )
-    above = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    into_block = blocks.select("block", *[F.last(c, ignorenulls=True).over(above).alias(f"{c}_above") for c in carried])
-    return within.join(into_block, "block", "left").select(
+    above = _entering(blocks.withColumnRenamed("block", "bucket"), carried, bits, depth - 1)
+    above = above.select(F.col("bucket").alias("block"), *[F.col(c).alias(f"{c}_above") for c in carried])
+    return within.join(above, "block", "left").select(
         "bucket", *[F.coalesce(c, f"{c}_above").alias(c) for c in carried]
     )
 
@@ -61,7 +64,8 @@ def ordered_fill(
         return F.max_by(c, F.when(~is_missing(c, dtype(df, name)), position))
 
     buckets = df.groupBy(bucket.alias("bucket")).agg(*[last_of(n).alias(k) for n, k in zip(names, carried)])
-    entering = _entering(buckets, carried, block_bits).withColumnRenamed("bucket", "_bucket")
+    depth = levels(df, position, bucket_bits, block_bits)
+    entering = _entering(buckets, carried, block_bits, depth).withColumnRenamed("bucket", "_bucket")
 
     up_to_here = Window.partitionBy("_bucket").orderBy("_position").rowsBetween(
         Window.unboundedPreceding, 0 if own else -1

@@ -1,7 +1,7 @@
 """Running totals and dense row numbers over a table of any size.
 
-The same cut as in the ordered fill: rows in buckets, buckets in blocks, so that no window
-spans more than one bucket, one block of buckets, or the list of blocks.
+The same cut as in the ordered fill: rows in buckets, and buckets in blocks, blocks in larger
+ones and so on while there are many. No window spans more than one bucket or 2^20 of them.
 """
 
 from __future__ import annotations
@@ -17,6 +17,34 @@ BUCKET_BITS = 16
 BLOCK_BITS = 20
 
 
+def levels(df: DataFrame, position: Column, bucket_bits: int, block_bits: int) -> int:
+    """How often buckets must be taken together into blocks until one list of them is short: 0 for dense
+    indexes of usual tables, more for sparse ones. One small job over the index alone."""
+    low, high = df.agg(F.min(position), F.max(position)).first()
+    if low is None:
+        return 0
+    low, high, n = low >> bucket_bits, high >> bucket_bits, 0
+    while high - low >= 1 << block_bits:
+        low, high, n = low >> block_bits, high >> block_bits, n + 1
+    return n
+
+
+def _offsets(buckets: DataFrame, keys: list[str], bits: int, depth: int) -> DataFrame:
+    """(keys, _bucket, _offset): the sum of all buckets before each, in blocks of blocks ``depth`` deep."""
+    by = [col(k) for k in keys]
+
+    def ahead(*group):
+        return F.coalesce(F.sum("_sum").over(Window.partitionBy(*by, *group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    if not depth:
+        return buckets.select(*by, "_bucket", ahead().alias("_offset"))
+    placed = buckets.withColumn("_block", F.shiftright("_bucket", bits))
+    blocks = placed.groupBy(*by, F.col("_block").alias("_up")).agg(F.sum("_sum").alias("_sum")).withColumnRenamed("_up", "_bucket")
+    above = _offsets(blocks, keys, bits, depth - 1).withColumnsRenamed({"_bucket": "_block", "_offset": "_above"})
+    within = placed.select(*by, "_bucket", "_block", ahead("_block").alias("_ahead"))
+    return within.join(above, [*keys, "_block"]).select(*by, "_bucket", (F.col("_ahead") + F.col("_above")).alias("_offset"))
+
+
 def running_total(
     df: DataFrame,
     value: Column,
@@ -29,20 +57,10 @@ def running_total(
     """Add ``out``: the sum of ``value`` over the rows before this one, per key, by ``position``."""
     keys = list(keys)
     bucket = F.shiftright(col(position), bucket_bits)
-    block = F.shiftright("_bucket", block_bits)
     before = Window.partitionBy
 
     buckets = df.groupBy(*[col(k) for k in keys], bucket.alias("_bucket")).agg(F.sum(value).alias("_sum"))
-    in_block = before(*[col(k) for k in keys], "_block").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = buckets.withColumn("_block", block).withColumn("_ahead", F.coalesce(F.sum("_sum").over(in_block), F.lit(0)))
-    blocks = buckets.groupBy(*[col(k) for k in keys], block.alias("_block")).agg(F.sum("_sum").alias("_sum"))
-    of_key = before(*[col(k) for k in keys]).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select(
-        *[col(k) for k in keys], "_block", F.coalesce(F.sum("_sum").over(of_key), F.lit(0)).alias("_above")
-    )
-    offsets = ahead.join(blocks, [*keys, "_block"]).select(
-        *[col(k) for k in keys], "_bucket", (F.col("_ahead") + F.col("_above")).alias("_offset")
-    )
+    offsets = _offsets(buckets, keys, block_bits, levels(df, col(position).cast("bigint"), bucket_bits, block_bits))
     in_bucket = before(*[col(k) for k in keys], "_bucket").orderBy(col(position)).rowsBetween(
         Window.unboundedPreceding, -1
     )

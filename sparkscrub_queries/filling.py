@@ -49,6 +49,12 @@ def fill_small_buckets(spark, sf):
     return ordered_fill(readings(spark, sf), ["value", "level"], backward=True, bucket_bits=4, block_bits=3)
 
 
+def fill_sparse_index(spark, sf):
+    """The ordered fill over hashed ids, which lie far apart and on both sides of zero."""
+    rows = readings(spark, sf).withColumn("_row_index", F.expr("(_row_index * 7919 % 1000003 - 500001) * 18000000000000"))
+    return ss.forward_fill(rows, ["value", "level"])
+
+
 def dense_numbers(spark, sf):
     from sparkscrub.operators.running import dense_index
 
@@ -211,6 +217,13 @@ QUERIES = {
         fill_small_buckets,
         _readings(_replace(value=_neighbour("value", "b"), level=_neighbour("level", "b"))),
     ),
+    "ffill_sparse_index": (
+        fill_sparse_index,
+        q.with_(
+            [READINGS_SQL, "far AS (SELECT * REPLACE ((_row_index * 7919 % 1000003 - 500001) * 18000000000000 AS _row_index) FROM readings)"],
+            _replace(value=_neighbour("value", "f"), level=_neighbour("level", "f")).replace("FROM readings", "FROM far"),
+        ),
+    ),
     "drop_null_rows": (
         _filled(column="event_type", strategy="remove_rows"),
         _readings(_replace() + f" WHERE {q.strip('event_type')} <> ''"),
