@@ -12,8 +12,17 @@ from sparkscrub.llm import line_dedup, near_dup, packing, secret_scan, toxicity
 from sparkscrub.llm.common import load, shared
 
 
+#: Rows that go to Python at once. Whole documents are long, and the default of 10,000 is held several times over.
+BATCH_ROWS = "1000"
+
+
+def _bound_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject. It learns from the labels of rows not held out."""
+    _bound_batches(spark)
     scored = _score(docs, load(spark, sf_dir, "labels"))
     return scored.where(F.col("toxicity") < toxicity.DECIDE_AT).select("row.*")
 
@@ -39,12 +48,14 @@ def _with_text(docs: DataFrame, row: str, text) -> list:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: that of the smallest id."""
+    _bound_batches(spark)
     gone = shared(near_dup.near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct(), "pipeline-gone")
     return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets replaced by a mask."""
+    _bound_batches(spark)
     masked = secret_scan.redact(docs)
     return masked.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else masked
 

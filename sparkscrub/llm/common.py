@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -27,6 +27,12 @@ def shared(df: DataFrame, label: str) -> DataFrame:
     return written_table(df, f"llm-{label}")
 
 
+def texts_of(column: pa.Array, rows: int = 256) -> Iterator[str | None]:
+    """The texts of an Arrow column, a few at a time as Python strings."""
+    for i in range(0, len(column), rows):
+        yield from column.slice(i, rows).to_pylist()
+
+
 def arrow_map(df: DataFrame, schema: str | StructType, fn: Callable[..., dict[str, list]]) -> DataFrame:
     """``fn`` over every Arrow batch of ``df``: columns in as Python lists, columns out by name."""
     shape = StructType.fromDDL(schema) if isinstance(schema, str) else schema

@@ -41,7 +41,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from sparkscrub.llm.common import WORD, shared
+from sparkscrub.llm.common import WORD, shared, texts_of
 
 TREES, DEPTH, START = 20, 6, 3
 HASHES = TREES * DEPTH
@@ -60,7 +60,7 @@ class _WordHashes(dict):
     """64-bit hashes of lower-cased words, kept for words that come again."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word.translate(_UPPER).encode("utf-8", "surrogatepass"))
         return value
@@ -96,7 +96,7 @@ def _signed(docs: DataFrame) -> DataFrame:
         hashes = _WordHashes()
         for batch in batches:
             sizes, nodes, signatures = [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in texts_of(batch.column(1)):
                 s = shingle_set(text, hashes)
                 sizes.append(len(s))
                 nodes.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
@@ -114,7 +114,7 @@ def _sets(docs: DataFrame) -> DataFrame:
     def run(batches):
         hashes = _WordHashes()
         for batch in batches:
-            sets = [shingle_set(t, hashes) for t in batch.column(0).to_pylist()]
+            sets = [shingle_set(t, hashes) for t in texts_of(batch.column(0))]
             ends = np.cumsum([0] + [len(s) for s in sets]).astype(np.int32)
             flat = np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays(

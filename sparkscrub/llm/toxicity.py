@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from sparkscrub.llm.common import arrow_map
+from sparkscrub.llm.common import arrow_map, texts_of
 
 WINDOW_WORDS = 8
 SAMPLE_TOXIC, SAMPLE_ORDINARY, SAMPLE_CHARS = 1500, 4500, 50_000
@@ -215,7 +215,7 @@ def with_score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
         score = model.scorer()
         for batch in batches:
             rows = pa.StructArray.from_arrays(batch.columns, fields=list(batch.schema))
-            scores = pa.array([score(t) for t in batch.column(at).to_pylist()], pa.float64())
+            scores = pa.array([score(t) for t in texts_of(batch.column(at))], pa.float64())
             yield pa.RecordBatch.from_arrays([rows, scores], names=["row", "toxicity"])
 
     return docs.mapInArrow(run, shape)
