@@ -9,10 +9,10 @@ their sets have a Jaccard similarity of 0.75 or more; the components of the link
 2. The forest: in each of ``TREES`` orders a node's place is a slice of its signature. The nodes that
    share the first ``START`` values of a slice are a region of that order: its longest common prefix
    is the region's depth. Regions of more than ``REGION_ROWS`` nodes are divided by further values,
-   each as deep as it needs, and at the full depth by the node's hash. The parts of a divided region
-   share ``ANCHORS`` nodes, which connect them: those nearest to what most of the region are copies of,
-   and some by hash. Two texts at 0.75 share no region with probability
-   (1 - 0.75^3)^20 = 2e-5.
+   each as deep as it needs, and at the full depth by the node's hash, in each order another one. The
+   parts of a divided region share ``ANCHORS`` nodes, which connect most of it: those nearest to what
+   most of the region are copies of, and some by hash; step 6 finds the rest. Two texts at 0.75 share
+   no region, divided or not, with probability (1 - 0.75^3)^20 = 2e-5.
 3. Within a region the candidates are a maximum spanning forest of the estimated similarities (at
    least ``LEAST_ESTIMATE``, four deviations below 0.75): at most one pair per node, and none in
    vain between nodes that are connected already.
@@ -21,9 +21,15 @@ their sets have a Jaccard similarity of 0.75 or more; the components of the link
 5. Where a region still holds several components that the estimates do not keep apart, the nodes in
    question meet with their full sets, and the links that connect components are found exactly,
    through lists of who has a shingle. So a failed candidate hides no link. Components are made again.
+6. The nodes of a divided region that still holds several components are joined exactly: shingles are
+   put in order from rare to common, and of two linked sets the first quarters (``_postings``) share one.
+   Nodes of different components that share such a shingle, and whose sizes and places in the order
+   allow a link, are confirmed on the full sets. First each node is held against one of each other
+   component only; then, with components made again, against all that are left.
 
 Scale: a region writes fewer pairs than it has nodes; the largest region is bounded; all tables that feed a join are written, so AQE can split hot keys, and a lost executor
-costs no more than the step at work.
+costs no more than the step at work. Step 6 takes the nodes of mixed divided regions only, and its pairs
+are those between components: a crowd of copies that is one component writes none.
 
 Defined results: null and empty texts, and those without words, have an empty set and are linked
 with nothing; fewer than five words are one shingle; repeated rows are one node; the component of
@@ -124,21 +130,22 @@ def _sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "node binary, shingles array<long>")
 
 
-def forest_regions(nodes: DataFrame) -> DataFrame:
-    """(region, node): the regions with several nodes, over all orders, none much above ``REGION_ROWS``."""
+def forest_regions(nodes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(region, node): the regions with several nodes, over all orders, none much above ``REGION_ROWS``; and
+    (region, node) of the regions that were divided, as they were before."""
     def prefix(depth):
         place = F.col("tree") * (2 * DEPTH) + 1
         return F.xxhash64("tree", F.lit(depth), F.substring("signature", place, F.lit(2 * depth)))
 
     rows = nodes.select("node", "signature", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
-    parents, done = None, []
+    parents, crowded, done = None, None, []
     for depth in range(START, DEPTH + 2):
         if depth <= DEPTH:
             keyed = rows.withColumn("region", prefix(depth))
             if parents is None:  # the signature would be carried TREES times: only the keys are dealt
                 keyed = keyed.select("region", "tree", "node")
         else:  # at the full depth, the node's hash divides what is left
-            keyed = rows.withColumn("region", F.xxhash64("parent", F.pmod(F.xxhash64("node"), F.col("parts"))))
+            keyed = rows.withColumn("region", F.xxhash64("parent", F.pmod(F.xxhash64("tree", "node"), F.col("parts"))))
         least = 1 if parents is not None else 2  # a lone node of a divided region still meets the anchors
         counted = shared(keyed.groupBy("region").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least), "forest-counts")
         fits = counted.where(F.col("n") <= REGION_ROWS) if depth <= DEPTH else counted
@@ -154,11 +161,12 @@ def forest_regions(nodes: DataFrame) -> DataFrame:
         crowd = keyed.select("node", "tree", "region").join(large, "region").join(nodes.select("node", "signature"), "node")
         rows = shared(crowd.select("node", "signature", "tree", F.col("region").alias("parent"),
                                    F.ceil(F.col("n") / REGION_ROWS).alias("parts")), "forest-crowd")
+        crowded = crowded or rows.select(F.col("parent").alias("region"), "node")
         parents = shared(_anchors(rows), "forest-anchors")
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    return shared(out.distinct() if len(done) > 1 else out, "forest-regions")
+    return shared(out.distinct() if len(done) > 1 else out, "forest-regions"), crowded
 
 
 def _anchors(rows: DataFrame) -> DataFrame:
@@ -337,13 +345,71 @@ def _sets_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
 
 def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets are similar enough."""
-    sets = _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")), nodes, docs)
+    return _similar(pairs, _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")), nodes, docs), percent)
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     both = (pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
             .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b"))
     common = F.size(F.array_intersect("sa", "sb"))
     return both.where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
+def _postings(sets: DataFrame, percent: int) -> DataFrame:
+    """(node, n, at, shingle): the shingles of each set that a linked set must share one of, and their places in
+    the set, rare ones first. Shingles of one set only have a place but are left out: nothing meets there."""
+    each = sets.select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    counts = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+    known = (each.join(counts.hint("merge"), "shingle").groupBy("node")
+             .agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("often", "shingle"))).alias("known")))
+    lone = F.col("n") - F.size("known")
+    first = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1  # so many of n hold one of any percent of them
+    taken = known.select("node", "n", lone.alias("lone"), F.posexplode(F.slice("known", F.lit(1), F.greatest(first - lone, F.lit(0)))).alias("k", "x"))
+    return taken.select("node", "n", (F.col("lone") + F.col("k")).alias("at"), "x.shingle")
+
+
+def _between(postings: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """(a, b, other, bound): nodes of different components that share a shingle of ``postings`` and may be linked by
+    their sizes and by what is left of their sets from there on. Where the shingle is the first that both
+    have, ``bound`` is no less than what they have in common, so that no link is missed."""
+    held = shared(postings.join(labels, "node"), "near-postings")
+    kinds = (held.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("often"))
+             .groupBy("shingle").agg(F.max(F.struct("often", "component")).alias("main"), F.count(F.lit(1)).alias("kinds"))
+             .where("kinds > 1").select("shingle", F.col("main.component").alias("main")))
+    mixed = shared(held.join(kinds.hint("merge"), "shingle"), "near-mixed")
+    a = mixed.where("component != main").select("shingle", F.col("node").alias("a"), F.col("component").alias("own"), F.col("n").alias("na"), F.col("at").alias("ia"))
+    b = mixed.select("shingle", F.col("node").alias("b"), F.col("component").alias("other"), F.col("n").alias("nb"), F.col("at").alias("ib"))
+    bound = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
+    return (a.join(b.hint("merge"), "shingle").where("own != other")
+            .where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+            .where((100 + percent) * bound >= percent * (F.col("na") + F.col("nb"))).select("a", "b", "other", bound.alias("bound")))
+
+
+def _crowded_labels(crowded: DataFrame, links: DataFrame, labels: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """``labels``, the components of ``links``, made anew with the links between nodes of divided regions that it
+    holds in different components."""
+    def with_component(rows):
+        return rows.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+    told = shared(with_component(crowded), "near-crowded")
+    mixed = told.groupBy("region").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("region")
+    wanted = shared(told.join(mixed, "region", "left_semi").select("node").distinct(), "near-crowd")
+    if wanted.isEmpty():
+        return labels
+    sets = _sets_of(wanted, nodes, docs)
+    postings = shared(_postings(sets, percent), "near-prefixes")
+    for all_pairs in (False, True):
+        pairs = _between(postings, with_component(wanted), percent)
+        if not all_pairs:
+            pairs = pairs.groupBy("a", "other").agg(F.max(F.struct("bound", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
+        pairs = shared(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-crowd-pairs")
+        more = shared(_similar(pairs, sets, percent), "near-crowd-links")
+        if not more.isEmpty():
+            links = shared(links.unionByName(more), "near-links")
+            labels = components(links)
+    return labels
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node with an edge (a, b): roots hook to their least neighbour, edges are
     contracted to roots, until none is left. The number of rounds is logarithmic."""
@@ -372,7 +438,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     signed = shared(_signed(docs), "near-signed")
     nodes = shared(signed.where("node IS NOT NULL").groupBy("node").agg(
         F.min("doc_id").alias("label"), F.min("n_shingles").alias("n"), F.min("signature").alias("signature")), "near-nodes")
-    regions = forest_regions(nodes)
+    regions, crowded = forest_regions(nodes)
     members = shared(regions.join(nodes.select("node", "signature", "n"), "node").select("region", "node", "signature", "n"), "near-members")
     links = shared(_confirmed(shared(_spanning(members, percent), "near-pairs"), nodes, docs, percent), "near-links")
     labels = components(links)
@@ -382,7 +448,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
         sets = _sets_of(doubtful, nodes, docs)
         more = shared(_exact(doubtful.join(sets, "node").select("region", "node", "component", "shingles"), percent), "near-links")
         if not more.isEmpty():
-            labels = components(links.unionByName(more))
+            links = shared(links.unionByName(more), "near-links")
+            labels = components(links)
+    if crowded is not None:
+        labels = _crowded_labels(crowded, links, labels, nodes, docs, percent)
     grouped = nodes.join(labels, "node", "left").select("node", "label", F.coalesce("component", "node").alias("component"))
     least = shared(grouped.groupBy("component").agg(F.min("label").alias("component_id")), "near-least")
     result = shared(grouped.join(least, "component").select("node", "component_id"), "near-components")

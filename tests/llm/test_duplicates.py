@@ -134,3 +134,30 @@ def test_components_of_a_chain(spark):
     names = [i.to_bytes(2, "big") for i in range(200)]
     edges = spark.createDataFrame([(bytearray(a), bytearray(b)) for a, b in zip(names, names[1:])], "a binary, b binary")
     assert near_dup.components(edges).select("component").distinct().count() == 1
+
+
+def crowd_with_pairs():
+    """Texts on one boilerplate (similarity 0.70, no link), 40 of which have a partner just above 0.75."""
+    rng = random.Random(5)
+
+    def fresh(n):
+        return [f"u{rng.randrange(10**9)}" for _ in range(n)]
+
+    base, docs = [f"b{i}" for i in range(204)], []
+    for i in range(160):
+        tail = fresh(43)
+        docs.append(base + tail)
+        if i < 40:
+            docs.append(base + tail[:11] + fresh(32))
+    rng.shuffle(docs)
+    return [(i, " ".join(words)) for i, words in enumerate(docs, 1)]
+
+
+def test_divided_regions_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "REGION_ROWS", 4)
+    monkeypatch.setattr(near_dup, "ANCHORS", 2)
+    docs = crowd_with_pairs()
+    want = groups_by_hand(docs)
+    assert len(docs) - len(set(want)) == 40
+    got = near_dup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: c for (i, _), c in zip(docs, want)}
