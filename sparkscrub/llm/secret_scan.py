@@ -47,6 +47,11 @@ BASE_RULES = (
     Rule("hex", r"[0-9a-f]{24,}"),  # a maximal run, as matched by one or more and then measured
 )
 
+#: What follows the first line of a private key: all up to its last line, or if that is missing, lines of
+#: base64 (line ends may be escaped), of which the last may be short.
+_KEY_BODY = (r"(?:[^-]*+(?:-(?!----)[^-]*+)*+-----END (?:[A-Z]{2,12} )?PRIVATE KEY(?: BLOCK)?-----"
+             r"|(?:(?:(?:\\[nrt]|[\s>])*+[A-Za-z0-9+/]{16,}+={0,2})++(?:(?:\r?\n|\\n)[A-Za-z0-9+/]{1,15}+={0,2}(?=\s*\n|\\n|\s*\Z))?)?)")
+
 #: Published forms of keys and tokens.
 MORE_RULES = (
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
@@ -54,8 +59,8 @@ MORE_RULES = (
     Rule("stripe", r"(?:sk|rk)_live_[A-Za-z0-9]{16,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("pem", r"-----BEGIN (?:[A-Z]{2,12} )?PRIVATE KEY-----"),
-    Rule("url", r"[a-z][a-z0-9+.-]{1,20}://[A-Za-z0-9._-]{1,64}:[A-Za-z0-9._~!$&*+,;=%-]{3,128}@[A-Za-z0-9.-]+"),
+    Rule("pem", r"-----BEGIN (?:[A-Z]{2,12} )?PRIVATE KEY(?: BLOCK)?-----" + _KEY_BODY),
+    Rule("url", r"[a-z][a-z0-9+.-]{1,20}://[A-Za-z0-9._~%+-]*+:[A-Za-z0-9._~!$&*+,;=%-]++@[A-Za-z0-9.-]+"),
 )
 RULES = BASE_RULES + MORE_RULES
 
