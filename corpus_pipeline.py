@@ -47,10 +47,20 @@ def _with_text(docs: DataFrame, row: str, text) -> list:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that of the smallest id."""
+    """One row of each group of near duplicates: that of the smallest id, null ids last, then of the first place.
+
+    Rows are known by a key of their own, written with them, as ids may be null or come again. Texts without
+    words are in no group.
+    """
     _bound_batches(spark)
-    gone = shared(near_dup.near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct(), "pipeline-gone")
-    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
+    keyed = shared(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("key")), "pipeline-keyed")
+    found = near_dup.near_duplicates(keyed.select("key", F.col("row.text").alias("text")), id_col="key")
+    groups = found.select(F.col("doc_id").alias("key"), "component_id").join(keyed.select("key", F.col("row.doc_id").alias("id")), "key")
+    first = F.struct(F.col("id").isNull().alias("no_id"), "id", "key")
+    ordered = shared(groups.select("component_id", first.alias("place")), "pipeline-groups")
+    least = ordered.groupBy("component_id").agg(F.min("place").alias("least"))
+    stays = shared(least.select(F.col("least.key").alias("key")), "pipeline-stays")
+    return keyed.join(stays, "key", "left_semi").select("row.*")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -45,3 +45,29 @@ def test_stages(spark, tmp_path):
     assert {r.doc_id for r in after["best_fit_packing"]} == near
     whole = corpus_pipeline.run(spark, str(tmp_path))
     assert whole.count() == len(after["best_fit_packing"])
+
+
+def test_near_duplicates_are_dropped_by_row(spark):
+    rng = random.Random(4)
+
+    def text():
+        return " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(40))
+
+    a, b, c, d, e = (text() for _ in range(5))
+    rows = [
+        (7, a), (3, a),          # the smaller id stays, wherever it comes
+        (8, a), (8, b),          # a copy takes no other row of its id away
+        (None, b), (None, c),    # a copy without an id goes, a text of its own stays
+        (5, d), (5, d), (5, d + " x"),  # rows of one id
+        (None, e), (None, e),
+        (4, ""), (4, ""), (None, None), (9, " "),  # no words: no group
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t)) for i, t in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert out.dtypes == docs.dtypes
+    got = [(r.doc_id, r.text) for r in out.collect()]
+    one_of = [x for x in got if x[0] == 5]
+    assert len(one_of) == 1 and one_of[0][1] in (d, d + " x")
+    want = [(3, a), (8, b), (None, c), (None, e), (4, ""), (4, ""), (None, None), (9, " ")]
+    assert sorted(map(repr, (x for x in got if x[0] != 5))) == sorted(map(repr, want))
