@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sparkscrub.llm import (
-    kmeans_tree, line_dedup, near_dup, packing, quality_rules, secret_scan, sharding, subword_sampling, toxicity, url_filter,
+    filter_audit, kmeans_tree, line_dedup, near_dup, packing, quality_rules, secret_scan, sharding, subword_sampling, toxicity, url_filter,
 )
 from sparkscrub.llm.common import load
 from sparkscrub.llm.sql import SQL
@@ -79,6 +79,11 @@ def sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return samples.select("doc_id", "sample", F.size("ids").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), "log_prob", "log_inclusion")
 
 
+def filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters removes, by source, in every order and step."""
+    return filter_audit.audit(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 _RUNS = {
     "op1_url_templates": url_filters,
     "op2_host_rules": host_rules,
@@ -90,5 +95,6 @@ _RUNS = {
     "op8_lsh_forest": near_duplicates,
     "op9_kmeans_tree": nearest_vectors,
     "op10_gumbel_segmentations": sampled_pieces,
+    "op11_filter_audit": filter_interactions,
 }
 QUERIES = {name: (run, SQL.get(name)) for name, run in _RUNS.items()}

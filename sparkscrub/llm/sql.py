@@ -99,4 +99,30 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.net/en/', 'org/fr/
     WHEN rejected THEN 'block' ELSE 'allow' END AS verdict, template FROM res"""
 
 
-SQL = {"op1_url_templates": _TEMPLATES, "op8_lsh_forest": _NEAR, "op2_host_rules": _HOST_RULES, "op5_line_windows": line_dedup_sql("documents")}
+_AUDIT = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(source, '') AS part FROM documents),
+w AS (SELECT doc_id, t, part, regexp_extract_all(t, '{_WORD}') AS ws FROM d),
+first AS (SELECT t, min(doc_id) AS least FROM d GROUP BY t),
+lab AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+f AS (SELECT part, (len(ws) < 200)::INT AS a, (100 * len(list_distinct(ws)) < 50 * len(ws))::INT AS b,
+    (100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 2 * length(t))::INT AS c,
+    regexp_matches(t, '[#$%&*|]')::INT AS d, coalesce(least < w.doc_id, false)::INT AS e,
+    coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic
+    FROM w JOIN first USING (t) LEFT JOIN lab ON lab.doc_id = w.doc_id),
+m AS (SELECT part, a + 2 * b + 4 * c + 8 * d + 16 * e AS bits, a + b + c + d + e AS fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic
+    FROM f GROUP BY ALL),
+o AS (SELECT '' AS done UNION ALL SELECT done || x FROM o, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x) WHERE NOT contains(done, x)),
+s AS (SELECT done AS filter_order, unnest(range(1, 6)) AS step FROM o WHERE length(done) = 5),
+k AS (SELECT filter_order, step, (1 << (ascii(filter_order[step]) - 65))::BIGINT AS own,
+    coalesce(list_sum(list_transform(range(1, step), lambda i: (1 << (ascii(filter_order[i]) - 65))::BIGINT)), 0)::BIGINT AS ahead FROM s)
+SELECT part, filter_order, step::INT AS step, coalesce(sum(n) FILTER ((bits & (ahead | own)) = 0), 0)::BIGINT AS kept,
+    coalesce(sum(n) FILTER ((bits & own) <> 0 AND (bits & ahead) = 0), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER ((bits & own) <> 0 AND (bits & ahead) <> 0), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (bits = own), 0)::BIGINT AS unique_fails,
+    coalesce(sum(good) FILTER ((bits & own) <> 0 AND (bits & ahead) = 0), 0)::BIGINT AS good_lost,
+    coalesce(sum(toxic) FILTER ((bits & own) <> 0 AND (bits & ahead) = 0), 0)::BIGINT AS toxic_lost,
+    coalesce(sum(n * 120 // nullif(fails, 0)) FILTER ((bits & own) <> 0), 0)::BIGINT AS shapley
+FROM m, k GROUP BY part, filter_order, step, own, ahead"""
+
+
+SQL = {"op11_filter_audit": _AUDIT, "op1_url_templates": _TEMPLATES, "op8_lsh_forest": _NEAR, "op2_host_rules": _HOST_RULES, "op5_line_windows": line_dedup_sql("documents")}
