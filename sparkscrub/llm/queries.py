@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sparkscrub.llm import (
-    filter_audit, kmeans_tree, line_dedup, near_dup, packing, quality_rules, secret_scan, sharding, subword_sampling, toxicity, url_filter,
+    collocations, filter_audit, kmeans_tree, line_dedup, near_dup, packing, pivot_index, quality_rules, secret_scan, sharding, subword_sampling, toxicity, url_filter,
 )
 from sparkscrub.llm.common import load
 from sparkscrub.llm.sql import SQL
@@ -74,9 +74,12 @@ def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two sampled segmentations of every document: pieces, hash of the ids, log-probability, log inclusion."""
+    """Two sampled segmentations of every document: pieces, hash of the ids, log-probability, log inclusion, and what
+    they decode to."""
     samples = subword_sampling.sample_segmentations(load(spark, sf_dir, "documents"), k=2)
-    return samples.select("doc_id", "sample", F.size("ids").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), "log_prob", "log_inclusion")
+    told = subword_sampling.decode(samples.select("doc_id", "sample", "log_prob", "log_inclusion", "ids"))
+    return told.select("doc_id", "sample", F.size("ids").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), "log_prob", "log_inclusion",
+                       F.crc32(F.col("decoded").cast("binary")).alias("decoded_crc32"))
 
 
 def filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,6 +87,16 @@ def filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
+def near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group of every vector, and how many others it is linked with."""
+    return pivot_index.near_vectors(load(spark, sf_dir, "embeddings"))
+
+
+def frequent_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 best phrases of each language."""
+    return collocations.collocations(load(spark, sf_dir, "documents")).withColumn("rank", F.col("rank").cast("long"))
+
+
 _RUNS = {
     "op1_url_templates": url_filters,
     "op2_host_rules": host_rules,
@@ -96,5 +109,7 @@ _RUNS = {
     "op9_kmeans_tree": nearest_vectors,
     "op10_gumbel_segmentations": sampled_pieces,
     "op11_filter_audit": filter_interactions,
+    "op12_pivot_index": near_vectors,
+    "op13_collocations": frequent_collocations,
 }
 QUERIES = {name: (run, SQL.get(name)) for name, run in _RUNS.items()}

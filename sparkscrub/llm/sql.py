@@ -125,4 +125,41 @@ SELECT part, filter_order, step::INT AS step, coalesce(sum(n) FILTER ((bits & (a
 FROM m, k GROUP BY part, filter_order, step, own, ahead"""
 
 
-SQL = {"op11_filter_audit": _AUDIT, "op1_url_templates": _TEMPLATES, "op8_lsh_forest": _NEAR, "op2_host_rules": _HOST_RULES, "op5_line_windows": line_dedup_sql("documents")}
+_COLLOCATIONS = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+pc AS (SELECT lang, ws, count(*) AS times FROM w WHERE len(ws) > 0 GROUP BY ALL),
+g AS (SELECT lang, size, ws[i:i + size - 1] AS g, times FROM (SELECT lang, ws, times, size, unnest(range(1, len(ws) - size + 2)) AS i
+    FROM (SELECT lang, ws, times, unnest(range(1, 6)) AS size FROM pc) WHERE len(ws) >= size)),
+f AS (SELECT lang, size, g, array_to_string(g, ' ') AS phrase, sum(times)::HUGEINT AS f FROM g GROUP BY ALL),
+t AS (SELECT lang, sum(f)::HUGEINT AS n FROM f WHERE size = 1 GROUP BY lang),
+c AS (SELECT * FROM f WHERE size >= 2 AND f >= 100),
+cut AS (SELECT lang, phrase, f AS a, k, array_to_string(g[:k], ' ') AS x, array_to_string(g[k + 1:], ' ') AS y
+    FROM (SELECT *, unnest(range(1, size)) AS k FROM c)),
+s AS (SELECT cut.lang, cut.phrase, a, k, fx.f AS l, fy.f AS r, n, (1000 * a * n) // (fx.f * fy.f) AS score
+    FROM cut JOIN f fx ON fx.lang = cut.lang AND fx.phrase = x JOIN f fy ON fy.lang = cut.lang AND fy.phrase = y JOIN t ON t.lang = cut.lang),
+worst AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+sub AS (SELECT lang, f, array_to_string(g[i:i + m - 1], ' ') AS phrase FROM (SELECT *, unnest(range(1, size - m + 2)) AS i
+    FROM (SELECT *, unnest(range(2, size)) AS m FROM c WHERE size >= 3))),
+big AS (SELECT lang, phrase, max(f) AS longer FROM sub GROUP BY ALL),
+kept AS (SELECT worst.* FROM worst LEFT JOIN big ON big.lang = worst.lang AND big.phrase = worst.phrase WHERE longer IS NULL OR 100 * longer < 100 * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM ranked WHERE rank <= 2000"""
+
+
+_NEAR_VECTORS = """
+WITH RECURSIVE e AS (SELECT row_number() OVER () AS r, vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+ok AS (SELECT r, vec_id, v FROM e WHERE len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(v, lambda x: x <> 0)) > 0),
+link AS (SELECT a.r AS a, b.r AS b FROM ok a JOIN ok b ON a.r < b.r AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.95),
+ways AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT r, r AS other FROM e UNION SELECT reach.r, ways.b FROM reach JOIN ways ON reach.other = ways.a),
+c AS (SELECT reach.r, min(o.vec_id) AS component_id FROM reach JOIN e o ON o.r = reach.other GROUP BY reach.r),
+n AS (SELECT a AS r, count(*) AS n_links FROM ways GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept
+FROM e JOIN c USING (r) LEFT JOIN n USING (r)"""
+
+
+SQL = {"op12_pivot_index": _NEAR_VECTORS, "op13_collocations": _COLLOCATIONS, "op11_filter_audit": _AUDIT, "op1_url_templates": _TEMPLATES, "op8_lsh_forest": _NEAR, "op2_host_rules": _HOST_RULES, "op5_line_windows": line_dedup_sql("documents")}

@@ -119,7 +119,7 @@ def test_chunks_and_blocks_change_nothing(spark, monkeypatch):
 
 @pytest.fixture(scope="module")
 def arena():
-    return subword_sampling.Arena(subword_sampling.vocabulary(subword_sampling.TOKENIZER, 0.3))
+    return subword_sampling.Arena(subword_sampling.vocabulary(subword_sampling.read_model(subword_sampling.TOKENIZER), 0.3))
 
 
 needs_vocabulary = pytest.mark.skipif(not os.path.exists(subword_sampling.TOKENIZER), reason="no vocabulary file")
@@ -185,6 +185,13 @@ def test_samples_of_a_table(spark, edge_docs, edge_rows, no_docs):
     assert subword_sampling.sample_segmentations(no_docs).collect() == []
 
 
+@needs_vocabulary
+def test_bytes_that_are_no_text_come_back(spark):
+    docs = spark.sql("SELECT 1L AS doc_id, CAST(X'61ff20c3a9edb0806280' AS STRING) AS text UNION ALL SELECT 2L, 'plain\n\u00e9'")
+    got = subword_sampling.decode(subword_sampling.sample_segmentations(docs, k=2)).selectExpr("doc_id", "hex(decoded) AS h").collect()
+    assert {(r.doc_id, r.h) for r in got} == {(1, "61FF20C3A9EDB0806280"), (2, "plain\né".encode().hex().upper())} and len(got) == 4
+
+
 @needs_vocabulary
 def test_full_arena_starts_anew(arena, monkeypatch):
     texts = [f"some words {i} here\nand🙂there" for i in range(30)]
@@ -192,4 +199,4 @@ def test_full_arena_starts_anew(arena, monkeypatch):
     monkeypatch.setattr(subword_sampling, "MOST_ARCS", 10)
     for i, t in enumerate(texts):
         assert [r[0].tolist() for r in subword_sampling.sample_texts(arena, [i], [t], 2, 4)[0]] == want[i]
-        assert arena.vocab.decode(want[i][0]) == t
+        assert arena.vocab.decode(want[i][0]) == t.encode()
