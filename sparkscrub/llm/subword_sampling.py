@@ -16,13 +16,14 @@ Each sample has its log-probability, its noisy sum and its log inclusion probabi
 a row's samples depend on nothing else: not on batches, partitions or repeated tasks.
 
 Pieces never cross a blank, so the lattice falls into blocks. Distinct blocks are built once and kept
-in an arena of bounded size; all blocks of a batch are walked at once with numpy. One pass over the
+in an arena of bounded size, which the tasks of a worker share; all blocks of a batch are walked at once with numpy. One pass over the
 table, no shuffle, whole texts.
 
 Defined results: null and empty texts have one segmentation without pieces, with inclusion 1; a text
 with fewer than k segmentations gives all it has, with inclusion 1; a null key is a key of its own;
 repeated rows get the same samples; an empty table gives an empty result; other columns are ignored.
-Decoding gives the text back (a literal U+2581 becomes a blank, as in the vocabulary's own decoder).
+Decoding gives the text back, byte for byte, also where it is no UTF-8 (a literal U+2581 becomes a blank, as in the
+vocabulary's own decoder).
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
@@ -60,14 +61,16 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class Vocabulary:
     """Pieces of a model file with ids and log-weights, and a hash table of all their prefixes."""
 
-    def __init__(self, path: str, alpha: float):
+    def __init__(self, file: bytes, alpha: float):
         import sentencepiece
 
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        model = sentencepiece.SentencePieceProcessor(model_proto=file)
         size = model.get_piece_size()
         self.pieces = [model.id_to_piece(i) for i in range(size)]
         self.byte_ids = {int(self.pieces[i][3:5], 16): i for i in range(size) if model.is_byte(i)}
-        self.of_byte = {i: b for b, i in self.byte_ids.items()}
+        self.encoded = [p.replace(BLANK, " ").encode() for p in self.pieces]
+        for b, i in self.byte_ids.items():
+            self.encoded[i] = bytes([b])
         plain = [i for i in range(size) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
         ranks = sorted(plain, key=lambda i: (-model.get_score(i), i))
         weights = (np.arange(len(ranks)) + SHIFT) ** -alpha
@@ -100,25 +103,20 @@ class Vocabulary:
             wrong = wrong[(at[wrong] >= 0) & (self.keys[at[wrong]] != hashes[wrong])]
         return at
 
-    def decode(self, ids) -> str:
-        """The text of a sequence of ids."""
-        out, raw = [], bytearray()
-        for i in ids:
-            if i in self.of_byte:
-                raw.append(self.of_byte[i])
-                continue
-            if raw:
-                out.append(raw.decode("utf-8", "replace"))
-                raw.clear()
-            out.append(self.pieces[i])
-        if raw:
-            out.append(raw.decode("utf-8", "replace"))
-        return "".join(out).replace(BLANK, " ")[1:]
+    def decode(self, ids) -> bytes:
+        """The text of a sequence of ids, in UTF-8."""
+        return b"".join(map(self.encoded.__getitem__, ids))[1:]
 
 
 @lru_cache(maxsize=4)
-def vocabulary(path: str, alpha: float) -> Vocabulary:
-    return Vocabulary(path, alpha)
+def vocabulary(file: bytes, alpha: float) -> Vocabulary:
+    return Vocabulary(file, alpha)
+
+
+@lru_cache(maxsize=1)
+def shared_arena(file: bytes, alpha: float) -> Arena:
+    """One arena for all tasks of a Python worker; what it holds changes no result."""
+    return Arena(vocabulary(file, alpha))
 
 
 class Arena:
@@ -296,7 +294,12 @@ def sample_document(key: int, k: int, v: dict[str, np.ndarray], blocks: int, fre
     def add_regions(taken: frozenset) -> None:
         """What the region just opened holds besides its best path; of these the k + 1 best can matter."""
         path, number = paths[-1], len(paths) - 1
-        before = np.concatenate([[0.0], np.cumsum(logp[path.arcs[:-1]])])[path.opened:]  # log mass of the prefix at each place
+        near = 256
+        while True:  # log mass of the prefix at each place, as far as it counts
+            before = np.concatenate([[0.0], np.cumsum(logp[path.arcs[:min(path.opened + near, len(path.arcs)) - 1]])])[path.opened:]
+            if before[-1] < -NEGLIGIBLE or path.opened + near >= len(path.arcs):
+                break
+            near *= 4
         before = before[:np.searchsorted(-before, NEGLIGIBLE, side="right")]
         location = before + v["logrest"][path.arcs[path.opened:path.opened + len(before)]]
         taken = taken | {int(path.arcs[path.opened])}
@@ -366,43 +369,62 @@ def sample_texts(arena: Arena, keys: list, texts: list, k: int, seed: int) -> li
         paths, threshold = sample_document(key, k, v, hi - lo, fresh)
         rows = []
         for path in paths:
-            ids = code_points[path.arcs]
-            if len(ids) and ids.min() < 0:
-                ids = np.array([x for p in ids.tolist() for x in ((p,) if p >= 0 else _bytes_of(arena.vocab, -p - 1))], np.int64)
+            ids = _with_bytes(arena.vocab, code_points[path.arcs])
             log_prob = float(v["logp"][path.arcs].sum())
             rows.append((ids, log_prob, path.value, log_inclusion(log_prob, threshold)))
         out.append(rows)
     return out
 
 
-def _bytes_of(vocab: Vocabulary, code_point: int) -> list[int]:
-    return [vocab.byte_ids[b] for b in chr(code_point).encode("utf-8", "surrogatepass")]
+def _with_bytes(vocab: Vocabulary, ids: np.ndarray) -> np.ndarray:
+    """Ids with every character outside the vocabulary (a negative number) as the ids of its bytes."""
+    odd = np.flatnonzero(ids < 0)
+    if not len(odd):
+        return ids
+    bytes_ = [[vocab.byte_ids[b] for b in chr(-1 - p).encode("utf-8", "surrogateescape")] for p in ids[odd].tolist()]
+    widths = np.ones(len(ids), np.int64)
+    widths[odd] = [len(b) for b in bytes_]
+    out = np.repeat(ids, widths)
+    out[out < 0] = [x for b in bytes_ for x in b]
+    return out
+
+
+def _portions(batch: pa.RecordBatch, rows: int = 256):
+    """Keys and texts of a batch, with about ``WALK`` blocks at a time, or one row. Bytes that are no UTF-8 stay as they are."""
+    keys, texts, weight = [], [], 0
+    for at in range(0, batch.num_rows, rows):
+        part = batch.slice(at, rows)
+        for key, raw in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+            text = None if raw is None else raw.decode("utf-8", "surrogateescape")
+            own = (text or "").count(" ") + 1
+            if keys and weight + own > WALK:
+                yield keys, texts
+                keys, texts, weight = [], [], 0
+            keys.append(key)
+            texts.append(text)
+            weight += own
+    if keys:
+        yield keys, texts
 
 
-def _portions(texts: list[str | None]):
-    """Ranges of rows with about ``WALK`` blocks, or one row."""
-    begin, weight = 0, 0
-    for i, t in enumerate(texts):
-        own = (t or "").count(" ") + 1
-        if i > begin and weight + own > WALK:
-            yield begin, i
-            begin, weight = i, 0
-        weight += own
-    if begin < len(texts):
-        yield begin, len(texts)
+def read_model(path: str) -> bytes:
+    """The vocabulary file, some 500 KB; the driver reads it."""
+    with open(path, "rb") as f:
+        return f.read()
 
 
 def sample_segmentations(df: DataFrame, k: int = 2, seed: int = 10, alpha: float = ALPHA, tokenizer: str = TOKENIZER,
                          id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, sample (from 1), ids, log_prob, noisy_sum and log_inclusion: up to k rows per text."""
 
+    model = df.sparkSession.sparkContext.broadcast(read_model(tokenizer))
+
     def run(batches):
-        arena = Arena(vocabulary(tokenizer, alpha))
+        arena = shared_arena(model.value, alpha)
         for batch in batches:
-            all_keys, all_texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for lo, hi in _portions(all_texts):
-                got = sample_texts(arena, all_keys[lo:hi], all_texts[lo:hi], k, seed)
-                rows = [(key, n + 1, *row) for key, own in zip(all_keys[lo:hi], got) for n, row in enumerate(own)]
+            for keys, texts in _portions(batch):
+                got = sample_texts(arena, keys, texts, k, seed)
+                rows = [(key, n + 1, *row) for key, own in zip(keys, got) for n, row in enumerate(own)]
                 ends = np.cumsum([0] + [len(r[2]) for r in rows])
                 flat = np.concatenate([r[2] for r in rows]) if rows else np.empty(0, np.int64)
                 yield pa.RecordBatch.from_arrays(
@@ -411,19 +433,23 @@ def sample_segmentations(df: DataFrame, k: int = 2, seed: int = 10, alpha: float
                      *(pa.array([r[c] for r in rows], pa.float64()) for c in (3, 4, 5))],
                     names=["doc_id", "sample", "ids", "log_prob", "noisy_sum", "log_inclusion"])
 
-    return df.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(
+    return df.select(F.col(id_col).cast("long"), F.col(text_col).cast("binary")).mapInArrow(
         run, "doc_id long, sample int, ids array<int>, log_prob double, noisy_sum double, log_inclusion double")
 
 
 def decode(df: DataFrame, ids_col: str = "ids", tokenizer: str = TOKENIZER, out_col: str = "decoded") -> DataFrame:
-    """All columns and the text of the ids; null for null ids."""
-    shape = StructType([*df.schema.fields, StructField(out_col, StringType())])
+    """All columns and the text of the ids, byte for byte; null for null ids."""
+    shape = StructType([*df.schema.fields, StructField(out_col, BinaryType())])
+    model = df.sparkSession.sparkContext.broadcast(read_model(tokenizer))
 
     def run(batches):
-        vocab = vocabulary(tokenizer, ALPHA)
+        vocab = vocabulary(model.value, ALPHA)
         for batch in batches:
-            ids = batch.column(batch.schema.get_field_index(ids_col)).to_pylist()
-            texts = [None if x is None else vocab.decode(x) for x in ids]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, out_col])
-
-    return df.mapInArrow(run, shape)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                ids = part.column(part.schema.get_field_index(ids_col))
+                texts = [x.values.to_numpy() if x.is_valid else None for x in ids]
+                decoded = [None if x is None else vocab.decode(x.tolist()) for x in texts]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(decoded, pa.binary())], names=[*part.schema.names, out_col])
+
+    return df.mapInArrow(run, shape).withColumn(out_col, F.col(out_col).cast("string"))
