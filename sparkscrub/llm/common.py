@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -50,3 +51,14 @@ def arrow_map(df: DataFrame, schema: str | StructType, fn: Callable[..., dict[st
 def random_key(seed: int, *columns: Column) -> Column:
     """A uniform 64-bit key that depends on ``seed`` and the columns only."""
     return F.xxhash64(F.lit(seed), *columns)
+
+
+def unscaled(m: np.ndarray) -> np.ndarray:
+    """Rows times a power of two that brings their largest component near one: no digit changes, no norm overflows."""
+    return np.ldexp(m, -np.frexp(np.abs(m).max(axis=1, keepdims=True))[1])
+
+
+def cosines(q: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Cosine of one vector to rows in double precision, the same number for the same two vectors wherever it is computed."""
+    q, m = unscaled(q[None])[0], unscaled(m)
+    return (m * q).sum(axis=1) / (np.sqrt((q * q).sum()) * np.sqrt((m * m).sum(axis=1)))

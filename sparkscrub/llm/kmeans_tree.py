@@ -9,16 +9,16 @@ recall against brute force, over a sample of at most ``CALIBRATION`` queries, re
 Scale: equal vectors are one entry with their few smallest ids (no more than the answer can use), so
 a vector that fills a third of the table is one row. What a query visits are (leaf, chunk) blocks:
 leaves are cut into chunks of ``CHUNK`` entries and the queries at a leaf into blocks of ``BLOCK``,
-so each group that is compared has a bound on both sides. A block returns each query's best few, and
-a window with a rank limit merges them. The brute force for calibration is a fixed set of queries
+so each group that is compared has a bound on both sides. A block returns each query's best few - all
+that rounding might put among them are scored exactly - and a window with a rank limit merges them. The brute force for calibration is a fixed set of queries
 against all rows, block by block. The tree's size is bounded by the sample.
 
 Scores are cosines of the original vectors in double precision: the sum of products over the product
 of the norms, in one fixed order of summation. Ties go to the smaller id.
 
 Defined results: vectors that are null, zero, of another length than most, or hold null or non-finite
-components take no part; with fewer candidates than asked all are returned; repeated rows of one id
-are one candidate; null ids take no part; an empty table gives an empty result; other columns are
+components take no part; with fewer candidates than asked all are returned; an id with several vectors
+is one candidate, and one query, by the best of its scores; null ids take no part; an empty table gives an empty result; other columns are
 ignored.
 """
 
@@ -32,12 +32,14 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from sparkscrub.llm.common import shared
+from sparkscrub.llm.common import cosines, shared
 
 SAMPLE = 20_000
 BRANCHES = 8
 LEAF = 160
-CHUNK, BLOCK = 4096, 1024
+CHUNK, BLOCK = 16_384, 16_384
+#: Queries that are held against a chunk at once, and what rounding may add to a cosine.
+TILE, ROUNDING = 256, 1e-9
 CALIBRATION = 128
 TARGET_RECALL = 0.97
 
@@ -137,11 +139,6 @@ def _units(m: np.ndarray) -> np.ndarray:
     return m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
-def cosines(q: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """Cosine of one vector to rows, the same number for the same two vectors wherever it is computed."""
-    return (m * q).sum(axis=1) / (np.sqrt((q * q).sum()) * np.sqrt((m * m).sum(axis=1)))
-
-
 def valid_vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """id, v (array of double) and its 128-bit key, of the vectors that take part."""
     v = F.col(vector_col).cast("array<double>")
@@ -162,9 +159,9 @@ class Index:
 
 
 def build_index(vectors: DataFrame, k: int, sample: int = SAMPLE) -> Index:
-    """Every distinct vector in its leaf, with its k + 1 smallest ids; ``vectors`` as from valid_vectors."""
-    few = Window.partitionBy("h1", "h2").orderBy("id")
-    ranked = vectors.dropDuplicates(["id", "h1", "h2"]).withColumn("rank", F.row_number().over(few)).where(F.col("rank") <= k + 1)
+    """Every distinct vector in its leaf, with its 2k + 2 smallest ids; ``vectors`` as from valid_vectors."""
+    few = Window.partitionBy("h1", "h2").orderBy("id")  # up to k of an entry's ids may be told by nearer ones, and one be the query's
+    ranked = vectors.dropDuplicates(["id", "h1", "h2"]).withColumn("rank", F.row_number().over(few)).where(F.col("rank") <= 2 * k + 2)
     entries = shared(ranked.groupBy("h1", "h2").agg(F.min_by("v", "id").alias("v"), F.array_sort(F.collect_list("id")).alias("ids")),
                      "knn-entries")
     n = entries.count()
@@ -185,36 +182,47 @@ def build_index(vectors: DataFrame, k: int, sample: int = SAMPLE) -> Index:
     return Index(tree, dealt, {leaf: -(-c // CHUNK) for leaf, c in sizes.items()})
 
 
-def _best(queries: np.ndarray, keys: list, members: np.ndarray, uids: np.ndarray, ids: list, k: int) -> dict[str, list]:
-    """Each query's best k + 1 entries of one block, exactly scored."""
-    out: dict[str, list] = {"q": [], "uid": [], "ids": [], "score": []}
-    rough = _units(queries) @ _units(members).T
-    take = min(k + 9, len(uids))
-    top = np.argpartition(-rough, take - 1, axis=1)[:, :take]
-    for key, q, near in zip(keys, queries, top):
-        score = cosines(q, members[near])
-        for j in np.lexsort((uids[near], -score))[:k + 1]:
-            out["q"].append(key)
-            out["uid"].append(int(uids[near[j]]))
-            out["ids"].append(ids[near[j]])
-            out["score"].append(float(score[j]))
-    return out
-
-
-def _exact(index: Index, keys: list[int], queries: np.ndarray, k: int) -> DataFrame:
-    """Brute force of a fixed set of queries against all entries: q, uid, score, leaf of the k best."""
+def _best(queries: np.ndarray, members: np.ndarray, uids: np.ndarray, ids: list, k: int, own: list | None = None):
+    """(query, member, score) of the nearest members of each query, by exact scores: as many as it takes to name k + 1 ids.
+
+    ``own`` holds an id for each query; members that have no other are left out."""
+    units = _units(members)
+    for lo in range(0, len(queries), TILE):
+        rough = _units(queries[lo:lo + TILE]) @ units.T
+        for i, near in enumerate(rough):
+            q, take = lo + i, min(4 * (k + 2), len(uids))
+            while True:  # what may be among the first, by the rough score, is scored exactly
+                least = np.partition(near, len(near) - take)[len(near) - take]
+                at = np.flatnonzero(near >= least - ROUNDING)
+                score = cosines(queries[q], members[at])
+                named, found = set(), []
+                for j in np.lexsort((uids[at], -score)):
+                    if len(named) > k and (score[j] < found[-1][2] or sum(s == score[j] for _, _, s in found) > k):
+                        break  # of equal scores the smaller ids come first
+                    fresh = set(ids[at[j]])
+                    if own is not None and fresh == {own[q]} or fresh <= named:
+                        continue
+                    named |= fresh
+                    found.append((q, int(at[j]), float(score[j])))
+                if len(named) > k or len(at) == len(near):
+                    break
+                take = min(4 * take, len(near))
+            yield from found
+
+
+def _exact(index: Index, own: list[int], queries: np.ndarray, k: int) -> DataFrame:
+    """Brute force of a fixed set of queries against all entries: q, uid, score, leaf of the k best that are not the query's."""
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            uids = np.array(batch.column(0).to_pylist())
-            leaves = batch.column(2).to_pylist()
-            got = _best(queries, keys, _matrix(batch.column(1).to_pylist()), uids, leaves, k)
+            uids, ids, leaves = (batch.column(i).to_pylist() for i in (0, 3, 2))
+            got = list(_best(queries, _matrix(batch.column(1).to_pylist()), np.array(uids), ids, k, own))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(got["q"], pa.int64()), pa.array(got["uid"], pa.int64()), pa.array(got["score"], pa.float64()),
-                 pa.array(got["ids"], pa.int32())], names=["q", "uid", "score", "leaf"])
+                [pa.array([q for q, _, _ in got], pa.int64()), pa.array([uids[j] for _, j, _ in got], pa.int64()),
+                 pa.array([s for _, _, s in got], pa.float64()), pa.array([leaves[j] for _, j, _ in got], pa.int32())], names=["q", "uid", "score", "leaf"])
 
-    found = index.entries.select("uid", "v", "leaf").mapInArrow(run, "q long, uid long, score double, leaf int")
+    found = index.entries.select("uid", "v", "leaf", "ids").mapInArrow(run, "q long, uid long, score double, leaf int")
     order = Window.partitionBy("q").orderBy(F.desc("score"), "uid")
     return found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k)
 
@@ -225,8 +233,7 @@ def calibrate(index: Index, queries: DataFrame, k: int, target: float = TARGET_R
     if not rows or index.tree.leaves == 1:
         return 1, 1.0
     vectors = _matrix([r["v"] for r in rows])
-    keys = list(range(len(rows)))
-    truth = _exact(index, keys, vectors, k + 1).select("q", "leaf").collect()  # sample * (k + 1) rows
+    truth = _exact(index, [r["id"] for r in rows], vectors, k).select("q", "leaf").collect()  # sample * k rows
     order = [{leaf: i for i, leaf in enumerate(index.tree.best_bins(u, index.tree.leaves))} for u in _units(vectors)]
     ranks = np.sort([order[r["q"]][r["leaf"]] for r in truth])
     visits = 1
@@ -272,16 +279,19 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
 
     def compare(qs: pd.DataFrame, ms: pd.DataFrame) -> pd.DataFrame:
         if not len(qs) or not len(ms):
-            return pd.DataFrame({"q": [], "uid": [], "ids": [], "score": []})
-        return pd.DataFrame(_best(_matrix(qs.v), list(qs.q), _matrix(ms.v), ms.uid.to_numpy(), list(ms.ids), k))
+            return pd.DataFrame({"q": [], "ids": [], "score": []})
+        keys, ids = qs.q.tolist(), [x.tolist() for x in ms.ids]
+        got = list(_best(_matrix(qs.v), _matrix(ms.v), ms.uid.to_numpy(), ids, k))
+        return pd.DataFrame({"q": [keys[q] for q, _, _ in got], "ids": [ids[j] for _, j, _ in got], "score": [s for _, _, s in got]})
 
     key = ["leaf", "chunk", "block"]
-    found = asking.groupBy(key).cogroup(members.groupBy(key)).applyInPandas(compare, "q long, uid long, ids array<long>, score double")
-    best = Window.partitionBy("q").orderBy(F.desc("score"), "uid")
-    few = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1)
-    few = shared(few.join(once.select(F.col("id").alias("q"), "h1", "h2"), "q").select(
-        "h1", "h2", "score", F.explode("ids").alias("vec_id")), "knn-found")
+    found = asking.groupBy(key).cogroup(members.groupBy(key)).applyInPandas(compare, "q long, ids array<long>, score double")
+    # an id may have several vectors: its best one counts
+    named = found.select("q", "score", F.explode("ids").alias("vec_id")).groupBy("q", "vec_id").agg(F.max("score").alias("score"))
+    best = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
+    few = named.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1)
+    few = shared(few.join(once.select(F.col("id").alias("q"), "h1", "h2"), "q").select("h1", "h2", "score", "vec_id"), "knn-found")
     pairs = asked.select(F.col("id").alias("query_id"), "h1", "h2").join(few, ["h1", "h2"]).where("vec_id != query_id")
+    pairs = pairs.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     last = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return pairs.select("query_id", "vec_id", "score").withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= k).select(
-        "query_id", "rank", "vec_id", "score")
+    return pairs.withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

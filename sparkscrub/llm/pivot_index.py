@@ -37,7 +37,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sparkscrub.llm.common import shared
+from sparkscrub.llm.common import cosines, shared
 from sparkscrub.llm.near_dup import components
 
 THRESHOLD = 0.95
@@ -267,7 +267,7 @@ def _verified(meetings: DataFrame, threshold: float) -> DataFrame:
             def similar(of, rows):
                 near = u[rows] @ u.T
                 for i, j in zip(*np.nonzero(np.abs(near - threshold) < 1e-9)):  # too close for the order in which products are added up
-                    near[i, j] = cosine(np.array(raw[of[i]]), np.array(raw[j])) if dim[of[i]] == dim[j] else 0
+                    near[i, j] = cosines(np.array(raw[of[i]]), np.array([raw[j]]))[0] if dim[of[i]] == dim[j] else 0
                 return near >= threshold
 
             count, linked = np.zeros(len(nodes), np.int64), np.zeros((len(nodes), len(nodes)), bool)
@@ -284,12 +284,6 @@ def _verified(meetings: DataFrame, threshold: float) -> DataFrame:
     return meetings.mapInArrow(run, "a string, b string, n long")
 
 
-def cosine(a: np.ndarray, b: np.ndarray) -> float:
-    """In double precision, on vectors scaled so that no norm overflows."""
-    a, b = a / np.abs(a).max(), b / np.abs(b).max()
-    return float((a * b).sum() / (np.sqrt((a * a).sum()) * np.sqrt((b * b).sum())))
-
-
 def _sample(nodes: DataFrame, dim: int) -> np.ndarray:
     """Unit vectors of at most ``SAMPLE`` nodes of a length, by hash."""
     rows = nodes.where(F.size("v") == dim).select("v").orderBy(F.xxhash64("node"), "node").limit(SAMPLE).collect()

@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sparkscrub.llm.common import cosines
 from sparkscrub.llm import kmeans_tree, subword_sampling, toxicity
 
 BAD = ["wretched", "scoundrel", "miserable", "villainous", "loathsome"]
@@ -107,6 +108,31 @@ def test_copies_ties_and_invalid_vectors(spark):
     assert kmeans_tree.nearest(frame.where("false"), frame.where("false")).collect() == []
 
 
+def nearest_by_hand(rows, k=5):
+    """{query: [(vec_id, score)]} of (id, vector) rows, an id's best vector counting."""
+    best = {}
+    for q, x in rows:
+        if q % 50 == 0:
+            for (i, _), s in zip(rows, cosines(np.array(x), np.array([v for _, v in rows]))):
+                if i != q:
+                    best.setdefault(q, {})[i] = max(float(s), best.get(q, {}).get(i, -2.0))
+    return {q: sorted(own.items(), key=lambda x: (-x[1], x[0]))[:k] for q, own in best.items()}
+
+
+def test_scaled_copies_repeated_ids_and_huge_components(spark):
+    rng = np.random.default_rng(8)
+    base = np.array([1.0, 2.0, 3.0, 4.0])
+    rows = [(50, base), *[(960 + i, base * (1 + 0.37 * i)) for i in range(40)], (900, base * 2), (901, base * 4), (899, base * 8)]
+    rows += [(100, rng.normal(size=4)), (100, rng.normal(size=4)), (163, rng.normal(size=4)), (163, rng.normal(size=4)), (50, rng.normal(size=4))]
+    rows += [(200, base * 1e200), (201, base * 1e-200), (202, base[::-1] * 1e250), (250, base[::-1] * 3e-310)]
+    rows += [(300 + i, rng.normal(size=4)) for i in range(30)]
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in rows], "vec_id long, embedding array<double>")
+    got = {}
+    for r in kmeans_tree.nearest(frame, frame.where("vec_id % 50 = 0"), target=1.0).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert got == nearest_by_hand(rows)
+
+
 def test_chunks_and_blocks_change_nothing(spark, monkeypatch):
     rng = np.random.default_rng(2)
     frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(800, 8)))], "vec_id long, embedding array<double>")

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from sparkscrub.llm import pivot_index
+from sparkscrub.llm.common import cosines
 from sparkscrub.llm.sql import SQL
 
 NAN, INF = float("nan"), float("inf")
@@ -21,7 +22,7 @@ def links_by_hand(rows, least=0.95):
     for x, i in enumerate(at):
         for j in at[x + 1:]:
             if len(rows[i][1]) == len(rows[j][1]):
-                c = pivot_index.cosine(np.array(rows[i][1], float), np.array(rows[j][1], float))
+                c = cosines(np.array(rows[i][1], float), np.array([rows[j][1]], float))[0]
                 if c >= least:
                     out[i, j] = c
     return out
