@@ -5,18 +5,21 @@ counts all occurrences of one to five words within a piece, by language; n count
 two to five words that occur ``LEAST`` times or more are candidates, scored by the cut that tells
 least for them, floor(1000 * f * n / (f(first part) * f(rest))).
 
-1. One scan: a task numbers words, keeps the numbers of up to ``FLUSH_WORDS`` words, and makes the
+1. A task numbers words, keeps the numbers of up to ``FLUSH_WORDS`` words, and makes the
    fingerprints of all n-grams at once from prefix polynomials over the words' 64-bit hashes (modulo
    2^64). Equal fingerprints of a flush are counted together after their words are compared; each
    gives one row: language, length, fingerprint, count, and where it occurs (hash of the text, place).
 2. A shuffle adds up the counts by fingerprint. Fingerprints below ``LEAST`` hold no frequent phrase.
+   This goes by levels: single words, then pairs of words, then longer ones; an n-gram gives a
+   row only if all its words, or pairs, may be frequent, which a filter of bounded size tells.
+   No frequent phrase is lost, as each part of one is as frequent.
 3. The rows of the others, one per flush, name the texts that are read again: only these are moved,
    and only there phrases are materialised. Counts are added up by language and phrase, so that two
    phrases of one fingerprint, in one flush or in two, are counted apart: the counts are exact.
 4. Cuts and contained phrases are equi-joins of the frequent phrases.
 
 Scale: no n-gram's text is shuffled unless its fingerprint is frequent; a word that is a third of all
-words is one row per flush. Rows and texts of the second look are found through a filter of bounded
+words is one row per flush. The texts are read once a level. Rows and texts of the second look are found through a filter of bounded
 size (``hash_filter``), then by joins on the real keys. Scores are decimals of 38 digits.
 
 Defined results: a null text is empty; a null language is ``und``; texts that are repeated count each
@@ -26,17 +29,21 @@ time; an empty table, or one without frequent phrases, gives an empty result; ot
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from sparkscrub.llm.common import shared
+from sparkscrub.llm.common import discard, shared
 from sparkscrub.operators import hash_filter
 
-LEAST, TOP, LONGEST = 100, 2000, 5
+LEAST, TOP = 100, 2000
+#: Lengths that are counted in one scan; the first of a level is what the next one is filtered by.
+LEVELS = ((1,), (2,), (3, 4, 5))
+#: The filter between levels has so many bits for the slot of 64 of them: 8 MB.
+FILTER_SLOT_BITS = 20
 FLUSH_WORDS = 2_000_000
 SLICE_ROWS = 256
 
@@ -54,6 +61,11 @@ def tokens_of(text: bytes | None) -> list[bytes]:
     return TOKEN.findall(text.lower()) if text else []  # lower() of bytes changes A-Z only
 
 
+def lang_seed(lang: str) -> int:
+    """What a language's fingerprints are turned by."""
+    return xxhash.xxh3_64_intdigest(lang.encode("utf-8", "surrogatepass"))
+
+
 def word_hash(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word)
 
@@ -90,12 +102,18 @@ def fingerprints(prefix: np.ndarray, size: int) -> np.ndarray:
     return x
 
 
-def count_grams(numbers: np.ndarray, prefix: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def count_grams(numbers: np.ndarray, prefix: np.ndarray, size: int, seed: int = 0, base: int = 0,
+                may: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(fingerprint, count, first place) of all n-grams of a length, from the words' numbers and prefix polynomials;
-    those of one fingerprint whose words differ are told apart."""
+    those of one fingerprint whose words differ are told apart. With ``may``, a filter of ``base``-grams, only n-grams
+    all of whose ``base``-grams it may hold."""
     breaks = np.concatenate([[0], np.cumsum(numbers < 0)])
-    whole = np.flatnonzero(breaks[size:] == breaks[:-size]) if len(numbers) >= size else np.empty(0, np.int64)
-    prints = fingerprints(prefix, size)[whole]
+    good = breaks[size:] == breaks[:-size] if len(numbers) >= size else np.empty(0, bool)
+    if may is not None and len(good):
+        out = np.concatenate([[0], np.cumsum(~hash_filter.holds(may, fingerprints(prefix, base) ^ np.uint64(seed)))])
+        good = good & (out[size - base + 1:] == out[:len(good)])
+    whole = np.flatnonzero(good)
+    prints = fingerprints(prefix, size)[whole] ^ np.uint64(seed)
     order = np.argsort(prints, kind="stable")
     prints, places = prints[order], whole[order]
     starts = np.flatnonzero(np.concatenate([[True], prints[1:] != prints[:-1]])) if len(prints) else np.empty(0, np.int64)
@@ -128,7 +146,7 @@ class _Flush:
             self.texts.setdefault(lang, []).append((text_hash, ids))
             self.words += len(found)
 
-    def rows(self) -> Iterator[pa.RecordBatch]:
+    def rows(self, sizes: Iterable[int], base: int, may: np.ndarray | None) -> Iterator[pa.RecordBatch]:
         hashes = np.array(self.numbers.hashes, np.uint64)
         for lang, texts in self.texts.items():
             stop = np.array([-1], np.int32)
@@ -136,8 +154,8 @@ class _Flush:
             begins = np.concatenate([[0], np.cumsum([len(t) + 1 for _, t in texts])])
             names = np.array([h for h, _ in texts], np.int64)
             prefix = prefix_polynomials(np.where(ids >= 0, np.append(hashes, np.uint64(0))[ids], np.uint64(0)))
-            for size in range(1, LONGEST + 1):
-                prints, counts, places = count_grams(ids, prefix, size)
+            for size in sizes:
+                prints, counts, places = count_grams(ids, prefix, size, lang_seed(lang), base, may)
                 text = np.searchsorted(begins, places, side="right") - 1
                 for i in range(0, len(prints), 100_000):
                     part = slice(i, i + 100_000)
@@ -153,18 +171,23 @@ def _slices(batch: pa.RecordBatch) -> Iterator[list[list]]:
         yield [c.to_pylist() for c in batch.slice(i, SLICE_ROWS).columns]
 
 
-def partial_counts(texts: DataFrame, flush_words: int = FLUSH_WORDS) -> DataFrame:
-    """lang, size, print, count, text_hash, at: one row for each flush and n-gram of ``texts`` (lang, text_hash, text)."""
+def partial_counts(texts: DataFrame, sizes: Iterable[int], base: int = 0, may: np.ndarray | None = None, flush_words: int = FLUSH_WORDS) -> DataFrame:
+    """lang, size, print, count, text_hash, at: one row for each flush and n-gram of ``texts`` (lang, text_hash, text)
+    that ``may``, a filter of ``base``-grams, lets through."""
+    sizes = tuple(sizes)
+    shared_filter = None if may is None else texts.sparkSession.sparkContext.broadcast(may)
+
     def run(batches):
+        known = None if shared_filter is None else shared_filter.value
         flush = _Flush()
         for batch in batches:
             for columns in _slices(batch):
                 for lang, text_hash, text in zip(*columns):
                     flush.add(lang, text_hash, text)
                     if flush.words >= flush_words:
-                        yield from flush.rows()
+                        yield from flush.rows(sizes, base, known)
                         flush = _Flush()
-        yield from flush.rows()
+        yield from flush.rows(sizes, base, known)
 
     return texts.select("lang", "text_hash", F.col("text").cast("binary")).mapInArrow(
         run, "lang string, size int, print long, count long, text_hash long, at int")
@@ -183,7 +206,7 @@ def read_phrases(texts: DataFrame) -> DataFrame:
                     for w in places:
                         words = found[w["at"]:w["at"] + w["size"]]
                         hashes = np.array([word_hash(x) for x in words], np.uint64)
-                        if len(words) == w["size"] and int(fingerprints(prefix_polynomials(hashes), w["size"]).view(np.int64)[0]) == w["print"]:
+                        if len(words) == w["size"] and int((fingerprints(prefix_polynomials(hashes), w["size"]) ^ np.uint64(lang_seed(w["lang"]))).view(np.int64)[0]) == w["print"]:
                             row = (w["lang"], w["size"], w["print"], h, w["at"], w["count"], b" ".join(words).decode("utf-8", "replace"))
                             for column, value in zip(out, row):
                                 column.append(value)
@@ -197,11 +220,17 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, text_col: str = "text"
     """(lang, size, phrase, f) of all phrases of one to five words with f >= least; and (lang, n) of all words."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    grams = shared(partial_counts(texts, flush_words), "phrase-grams")
-    words = shared(grams.where("size = 1").groupBy("lang").agg(F.sum("count").alias("n")), "phrase-words")
-    key = ["lang", "size", "print"]
-    frequent = shared(grams.groupBy(*key).agg(F.sum("count").alias("all")).where(F.col("all") >= least).select(*key), "phrase-frequent")
-    held = hash_filter.prune(grams, "print", hash_filter.build(frequent, "print")).join(frequent.hint("merge"), key, "left_semi")
+    key, held, words, base, may = ["lang", "size", "print"], None, None, 0, None
+    for sizes in LEVELS:
+        grams = shared(partial_counts(texts, sizes, base, may, flush_words), "phrase-grams")
+        if words is None:
+            words = shared(grams.groupBy("lang").agg(F.sum("count").alias("n")), "phrase-words")
+        frequent = shared(grams.groupBy(*key).agg(F.sum("count").alias("all")).where(F.col("all") >= least).select(*key), "phrase-frequent")
+        places = hash_filter.prune(grams, "print", hash_filter.build(frequent, "print")).join(frequent.hint("merge"), key, "left_semi")
+        places = shared(places, "phrase-places")
+        discard(grams)
+        held = places if held is None else held.unionByName(places)
+        base, may = sizes[0], hash_filter.as_array(hash_filter.build(frequent, "print", FILTER_SLOT_BITS), FILTER_SLOT_BITS)
     # flushes may begin with one text: its places are read once, for all of them
     held = shared(held.groupBy(*key, "text_hash", "at").agg(F.sum("count").alias("count")), "phrase-places")
     wanted = held.groupBy("text_hash").agg(F.collect_list(F.struct("lang", "size", "print", "count", "at")).alias("wanted"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import posixpath
 import re
 from collections.abc import Callable, Iterator
 
@@ -28,6 +29,13 @@ def shared(df: DataFrame, label: str) -> DataFrame:
     return written_table(df, f"llm-{label}")
 
 
+def discard(table: DataFrame) -> None:
+    """Delete a table that ``shared`` wrote and that nothing reads any more."""
+    for folder in {posixpath.dirname(f) for f in table.inputFiles()}:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def texts_of(column: pa.Array, rows: int = 256) -> Iterator[str | None]:
     """The texts of an Arrow column, a few at a time as Python strings."""
     for i in range(0, len(column), rows):

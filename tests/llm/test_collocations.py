@@ -77,6 +77,35 @@ def test_fingerprints_that_collide(spark, monkeypatch):
     assert len(prints) == len(want) and set(prints.tolist()) <= set(range(4))
 
 
+def test_many_collisions_change_no_count(spark):
+    """Word hashes of five bits only: most fingerprints stand for several phrases."""
+    docs = random_docs(7)
+    frame = spark.createDataFrame(docs, "text string, lang string")
+
+    def short(word):
+        return sum(word) % 32
+
+    plain, collocations.word_hash = collocations.word_hash, short
+    try:
+        texts = frame.selectExpr("coalesce(lang, 'und') AS lang", "xxhash64(coalesce(text, '')) AS text_hash", "coalesce(text, '') AS text")
+        flush = collocations._Flush()
+        for r in texts.collect():
+            flush.add(r.lang, r.text_hash, r.text.encode())
+        counts = Counter()
+        for batch in flush.rows((1, 2, 3), 0, None):
+            for r in batch.to_pylist():
+                counts[r["lang"], r["size"]] += r["count"]
+                assert r["count"] > 0
+    finally:
+        collocations.word_hash = plain
+    want = Counter()
+    for text, lang in docs:
+        for piece in PIECE.findall((text or "").translate(LOWER)):
+            for size in (1, 2, 3):
+                want[lang or "und", size] += max(0, len(WORD.findall(piece)) - size + 1)
+    assert counts == +want
+
+
 def test_prints_do_not_depend_on_the_place():
     hashes = np.array([5, 6, 7, 5, 6, 7, 8], np.uint64)
     x = collocations.fingerprints(collocations.prefix_polynomials(hashes), 3)
