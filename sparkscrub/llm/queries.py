@@ -77,9 +77,8 @@ def sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two sampled segmentations of every document: pieces, hash of the ids, log-probability, log inclusion, and what
     they decode to."""
     samples = subword_sampling.sample_segmentations(load(spark, sf_dir, "documents"), k=2)
-    told = subword_sampling.decode(samples.select("doc_id", "sample", "log_prob", "log_inclusion", "ids"))
-    return told.select("doc_id", "sample", F.size("ids").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), "log_prob", "log_inclusion",
-                       F.crc32(F.col("decoded").cast("binary")).alias("decoded_crc32"))
+    return samples.select("doc_id", "sample", F.size("ids").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), "log_prob", "log_inclusion",
+                          "decoded_crc32")
 
 
 def filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,6 +31,7 @@ from __future__ import annotations
 import heapq
 import math
 import re
+import zlib
 from functools import lru_cache
 from itertools import repeat
 
@@ -44,7 +45,7 @@ TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 ALPHA, SHIFT = 1.0, 10.0
 NEGLIGIBLE = 40.0
-MOST_ARCS = 6_000_000
+MOST_ARCS = 5_000_000
 #: Blocks that are walked at once.
 WALK = 400_000
 
@@ -415,7 +416,7 @@ def read_model(path: str) -> bytes:
 
 def sample_segmentations(df: DataFrame, k: int = 2, seed: int = 10, alpha: float = ALPHA, tokenizer: str = TOKENIZER,
                          id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, sample (from 1), ids, log_prob, noisy_sum and log_inclusion: up to k rows per text."""
+    """doc_id, sample (from 1), ids, log_prob, noisy_sum, log_inclusion, and crc32 of what the ids decode to: up to k rows per text."""
 
     model = df.sparkSession.sparkContext.broadcast(read_model(tokenizer))
 
@@ -430,11 +431,12 @@ def sample_segmentations(df: DataFrame, k: int = 2, seed: int = 10, alpha: float
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()),
                      pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat.astype(np.int32))),
-                     *(pa.array([r[c] for r in rows], pa.float64()) for c in (3, 4, 5))],
-                    names=["doc_id", "sample", "ids", "log_prob", "noisy_sum", "log_inclusion"])
+                     *(pa.array([r[c] for r in rows], pa.float64()) for c in (3, 4, 5)),
+                     pa.array([zlib.crc32(arena.vocab.decode(r[2].tolist())) for r in rows], pa.int64())],
+                    names=["doc_id", "sample", "ids", "log_prob", "noisy_sum", "log_inclusion", "decoded_crc32"])
 
     return df.select(F.col(id_col).cast("long"), F.col(text_col).cast("binary")).mapInArrow(
-        run, "doc_id long, sample int, ids array<int>, log_prob double, noisy_sum double, log_inclusion double")
+        run, "doc_id long, sample int, ids array<int>, log_prob double, noisy_sum double, log_inclusion double, decoded_crc32 long")
 
 
 def decode(df: DataFrame, ids_col: str = "ids", tokenizer: str = TOKENIZER, out_col: str = "decoded") -> DataFrame:
