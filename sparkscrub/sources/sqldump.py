@@ -1,211 +1,93 @@
 """SQL dump text: the rows of its INSERT statements as tables.
 
-The text is read line by line, so one statement may fill a file of any size and is still
-read in parallel. Lines are joined only where a quoted value, a block comment, a parenthesis
-or a statement head runs over several lines. For quotes and comments each line is a function
-from the state it begins in to the state it ends in, and these functions are put together
-along the file; parentheses are counted. The head that a tuple belongs to is carried down
-from the line it stands on. Quotes may be doubled or escaped by a backslash.
+The text is cut into statements in parallel (``dumptext``), also where one statement fills a file of any
+size: it is cut between its tuples, and the head that a tuple belongs to is carried down from where it
+stands. Whether a backslash escapes is told for each file by its quotes.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkscrub.functions.columns import ROW_INDEX
 from sparkscrub.functions.text import strip
-from sparkscrub.operators.ordered_fill import ordered_fill
-from sparkscrub.operators.running import dense_index, running_total
+from sparkscrub.operators.running import dense_index
 from sparkscrub.session import written_table
+from sparkscrub.sources.dumptext import statements
 from sparkscrub.sources.rowid import PLACE_BITS, text_place
 
-# Grammar: a quoted text ends at its quote, unless that is doubled or stands behind a backslash.
-_SINGLE = r"'(?:[^'\\]++|\\[\s\S]|'')*+'"
-_DOUBLE = r'"(?:[^"\\]++|\\[\s\S]|"")*+"'
-_QUOTED = rf"{_SINGLE}|{_DOUBLE}"
-_COMMENT = r"/\*[\s\S]*?\*/|--[^\n]*|(?m:^\s*#[^\n]*)"
+# Grammar: a quoted text ends at its quote, unless that is doubled or, where that counts, stands behind a backslash.
+_QUOTED = r"""'(?:[^'\\]++|\\[\s\S]|'')*+'|"(?:[^"\\]++|\\[\s\S]|"")*+\"""", r"""'(?:[^']++|'')*+'|"(?:[^"]++|"")*+\""""
 _NAME = r"[`\"'\[]?([a-zA-Z0-9_$]+)[`\"'\]]?"
 _ANY_NAME = _NAME.replace("([a", "(?:[a")
 _VERB = r"\b(?:INSERT|REPLACE)\s+(?:(?:LOW_PRIORITY|DELAYED|HIGH_PRIORITY|IGNORE|OR\s+\w+)\s+)*INTO\s+"
 _HEAD = _VERB + rf"(?:{_ANY_NAME}\s*\.\s*)*" + _NAME + r"\s*(?:\(([^()]*)\))?\s*(?:OVERRIDING\s+\w+\s+VALUE\s+)?VALUES?"
-_TUPLE = rf"\((?:{_QUOTED}|[^()'\"]++|\([^()]*+\))*+\)"
-_ITEM = rf"((?:{_QUOTED}|[^,'\"(]++|\([^()]*+\))++)"
-# Quoted text outside tuples is a token too, so that nothing inside it is taken for one.
-_TOKEN = rf"(?is)({_HEAD.replace(_NAME, _ANY_NAME).replace('([^()]*)', '(?:[^()]*)')}|{_TUPLE}|;|{_QUOTED})"
+_ANY_HEAD = _HEAD.replace(_NAME, _ANY_NAME).replace("([^()]*)", "(?:[^()]*)")
 _CREATE = rf"(?i)CREATE\s+TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?(?:{_ANY_NAME}\s*\.\s*)*" + _NAME
+# What follows the tuples of a statement holds none, though it may have parentheses.
+_REST = r"\bON\s+(?:DUPLICATE\s+KEY|CONFLICT)\b"
 
-# A head without its VALUES opens a piece; a line that only brings the VALUES closes it.
-_OPEN_HEAD = rf"(?is){_VERB}(?!.*(?:\bVALUES?\b|;))"
-_LATE_VALUES = r"(?is)^(?!.*\bINTO\b).*(?:^\s*(?:\([^()]*\))?\s*VALUES?\b|\bVALUES?\s*$)"
 
-MOST_LINES = 1 << 16
-"""A value or tuple that runs over more lines is set aside: its quote is never closed."""
+def _by_reading(make: Callable[[str], Column]) -> Column:
+    """An expression made from the pattern of quoted texts, by the reading chosen for the file."""
+    return F.when(F.col("standard"), make(_QUOTED[1])).otherwise(make(_QUOTED[0]))
 
-# What a line can begin and end in: plain text, either kind of quote, or a block comment.
-_OPENERS = ("", "'", '"', "/*")
-_SAME = sum(s << 2 * s for s in range(4))
 
+def _tokens(quoted: str) -> Column:
+    tuple_ = rf"\((?:{quoted}|[^()'\"]++|\([^()]*+\))*+\)"
+    # Quoted text outside tuples is a token too, so that nothing inside it is taken for one.
+    token = rf"(?is)({_ANY_HEAD}|{_REST}|{tuple_}|;|{quoted})"
+    return F.filter(F.regexp_extract_all("text", F.lit(token), F.lit(1)), lambda t: ~F.left(t, F.lit(1)).isin("'", '"'))
 
-def _occurrences(c: Column, mark: str) -> Column:
-    return F.length(c) - F.length(F.replace(c, F.lit(mark), F.lit("")))
 
+def _items(quoted: str) -> Column:
+    item = rf"((?:{quoted}|[^,'\"(]++|\([^()]*+\))++)"
+    return F.regexp_extract_all(F.expr("substring(token, 2, length(token) - 2)"), F.lit(item), F.lit(1))
 
-def _numbered(pieces: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pieces with the unit they belong to, up to each one that ``closes`` (file, place, closes), and the
-    pieces of units that are too long to be one (file, place, text)."""
-    units = running_total(written_table(state, "dump-state"), F.col("closes"), "unit", "place", ["file"]).drop("closes")
-    units = written_table(units, "dump-numbers")
-    long = units.groupBy("file", "unit").count().where(F.col("count") > MOST_LINES).select("file", "unit")
-    placed = pieces.join(units, ["file", "place"])
-    return placed.join(long, ["file", "unit"], "left_anti"), placed.join(long, ["file", "unit"], "left_semi").select("file", "place", "text")
 
+def _carried(slim: DataFrame) -> DataFrame:
+    """(file, block, seq, start, above): tokens of the file ahead of a piece, and the last mark among them.
 
-def _joined(pieces: DataFrame, state: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
-    """Consecutive pieces of a file joined, and what was set aside.
+    Blocks are put in order by file, and the pieces within each block."""
+    ahead = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("file", "block").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    none = F.lit(0).cast("bigint")
+    blocks = slim.groupBy("file", "block").agg(F.sum("n").alias("n"), F.max_by("mark", F.when(F.col("mark").isNotNull(), F.col("seq"))).alias("mark"))
+    blocks = blocks.select("file", "block", F.coalesce(F.sum("n").over(ahead), none).alias("before"), F.last("mark", True).over(ahead).alias("entering"))
+    inner = slim.select("file", "block", "seq", F.coalesce(F.sum("n").over(within), none).alias("start"), F.last("mark", True).over(within).alias("above"))
+    return inner.join(blocks, ["file", "block"]).select(
+        "file", "block", "seq", (F.col("before") + F.col("start")).alias("start"), F.coalesce("above", "entering").alias("above"))
 
-    Where nothing is ever open there is no state: the pieces are returned and no row moves.
-    """
-    if state is None:
-        return pieces, None
-    numbered, aside = _numbered(pieces, state)
-    lines = F.array_sort(F.collect_list(F.struct("place", "text")))
-    whole = numbered.groupBy("file", "unit").agg(F.min("place").alias("place"), lines.alias("lines"))
-    text = F.array_join(F.col("lines").getField("text"), "\n")
-    return written_table(whole.select("file", "place", text.alias("text")), "dump-units"), aside
-
-
-def _closes(still_open: Column) -> Column:
-    return F.when(still_open, 0).otherwise(1).cast("bigint").alias("closes")
-
-
-def _ends_in(text: Column, state: int) -> Column:
-    """What a line ends in, if it begins in ``state``: the first opener that nothing closes."""
-    left = F.regexp_replace(F.concat(F.lit(_OPENERS[state]), text), f"{_QUOTED}|{_COMMENT}", " ")
-    opener = F.regexp_extract(left, r"'|\"|/\*", 0)
-    return F.array_position(F.array(*[F.lit(o) for o in _OPENERS]), opener).cast("int") - 1
-
-
-def _then(first: Column, second: Column) -> Column:
-    """Two lines, one after the other: each is four two-bit ends, by the state it begins in."""
-    def end(s: int) -> Column:
-        middle = F.shiftright(first, 2 * s).bitwiseAND(F.lit(3))
-        return F.shiftleft(F.call_function("shiftright", second, middle * 2).bitwiseAND(F.lit(3)), 2 * s)
-
-    return end(0) + end(1) + end(2) + end(3)
-
-
-_SCAN_BITS = 10
 
+def _parsed(pieces: DataFrame) -> DataFrame:
+    """Pieces with their tokens, the marks among these, and the head in force where each begins."""
+    marks = F.filter(F.transform("tokens", lambda t, i: F.struct(i.alias("i"), t.alias("mark"))), lambda m: ~m["mark"].startswith("("))
+    parsed = pieces.withColumn("tokens", F.when(F.col("open"), F.array().cast("array<string>")).otherwise(_by_reading(_tokens))).withColumn("marks", marks).withColumn("n", F.size("tokens"))
+    parsed = written_table(parsed.withColumn("mark", F.try_element_at("marks", F.lit(-1))["mark"]), "dump-tokens")
+    return parsed.join(_carried(parsed.select("file", "block", "seq", "n", "mark")), ["file", "block", "seq"])
 
-def _before(rows: DataFrame, bits: int) -> DataFrame:
-    """(file, at, before): all lines ahead of each one (file, at, line) in its file, taken together.
 
-    Lines are taken together by 1024, those groups by 1024, and so on, so no group is larger."""
-    groups = rows.groupBy("file", F.shiftright("at", _SCAN_BITS).alias("group")).agg(
-        F.array_sort(F.collect_list(F.struct("at", "line"))).alias("items"))
-    start = F.struct(F.lit(_SAME).alias("all"), F.array().cast("array<int>").alias("ahead"))
-    scanned = F.aggregate("items", start, lambda a, x: F.struct(
-        _then(a["all"], x["line"]).alias("all"), F.array_append(a["ahead"], a["all"]).alias("ahead")))
-    groups = written_table(groups.select("file", "group", "items", scanned.alias("s")), "dump-scan")
-    each = F.inline(F.arrays_zip(F.col("items.at").alias("at"), F.col("s.ahead").alias("ahead")))
-    if bits <= _SCAN_BITS:
-        return groups.select("file", each).select("file", F.col("at"), F.col("ahead").alias("before"))
-    above = _before(groups.select("file", F.col("group").alias("at"), F.col("s.all").alias("line")), bits - _SCAN_BITS)
-    above = above.select("file", F.col("at").alias("group"), F.col("before").alias("above"))
-    joined = groups.join(above, ["file", "group"])
-    return joined.select("file", "above", each).select("file", "at", _then(F.col("above"), F.col("ahead")).alias("before"))
-
-
-def _quote_state(lines: DataFrame) -> DataFrame | None:
-    """Which lines end outside quotes and comments.
-
-    Where no line that begins in plain text ends elsewhere, none ever does. Else every line is
-    taken for what it does to each state it may begin in, and the lines ahead of it are put together.
-    """
-    text = F.col("text")
-    last = lines.agg(F.max(F.when(_ends_in(text, 0) > 0, F.col("place"))), F.max("place")).first()
-    if last[0] is None:
-        return None
-    line = sum((F.shiftleft(_ends_in(text, s), 2 * s) for s in range(1, 4)), _ends_in(text, 0))
-    marked = written_table(lines.select("file", F.col("place").alias("at"), line.alias("line")), "dump-lines")
-    ahead = _before(marked, max(1, int(last[1]).bit_length()))
-    exit_ = _then(F.col("before"), F.col("line")).bitwiseAND(F.lit(3))
-    return marked.join(ahead, ["file", "at"]).select("file", F.col("at").alias("place"), _closes(exit_ != 0))
-
-
-def _plain(lines: DataFrame) -> DataFrame:
-    """Comments outside quotes taken out."""
-    text = F.when(F.col("text").rlike(r"/\*|--|#"), F.regexp_replace("text", f"({_QUOTED})|{_COMMENT}", "$1 ")).otherwise(F.col("text"))
-    return lines.select("file", "place", text.alias("text"))
-
-
-def _depth_state(pieces: DataFrame) -> DataFrame | None:
-    """Which pieces end outside parentheses and with their statement's head complete."""
-    plain = F.regexp_replace("text", _QUOTED, "")
-    depth = _occurrences(plain, "(") - _occurrences(plain, ")")
-    depth += plain.rlike(_OPEN_HEAD).cast("int") - plain.rlike(_LATE_VALUES).cast("int")
-    marked = pieces.select("file", "place", depth.cast("bigint").alias("change"))
-    if marked.filter("change <> 0").isEmpty():
-        return None
-    counted = running_total(marked, F.col("change"), "before", "place", ["file"])
-    return counted.select("file", "place", _closes(F.col("before") + F.col("change") > 0))
-
-
-def units(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Lines (file, place, text), joined so that no quote, comment, tuple or head is cut, without their
-    comments; and the lines that were set aside."""
-    quoted, open_quote = _joined(lines, _quote_state(lines))
-    plain = _plain(quoted)
-    whole, open_tuple = _joined(plain, _depth_state(plain))
-    aside = lines.select("file", "place", "text").limit(0)
-    for more in (open_quote, open_tuple):
-        aside = aside if more is None else aside.unionByName(more)
-    return whole, aside
-
-
-def dump_rows(whole: DataFrame) -> DataFrame:
+def dump_rows(parsed: DataFrame) -> DataFrame:
     """One row per inserted tuple: (table_name, row index, names, items).
 
     ``items`` are (kind, value) with kind int, float, text or null.
     """
-    files = [r[0] for r in whole.select("file").distinct().orderBy("file").collect()]
-    ranks = whole.sparkSession.createDataFrame(list(enumerate(files)), "rank bigint, file string")
-    tokens = F.filter(
-        F.regexp_extract_all("text", F.lit(_TOKEN), F.lit(1)), lambda t: ~F.left(t, F.lit(1)).isin("'", '"')
-    )
-    parsed = whole.join(ranks, "file").select(
-        (F.shiftleft("rank", PLACE_BITS) + F.col("place")).alias("at"), tokens.alias("tokens")
-    )
-    marks = F.filter(
-        F.transform("tokens", lambda t, i: F.struct(i.alias("i"), t.alias("mark"))),
-        lambda m: ~m["mark"].startswith("("),
-    )
-    rank = F.shiftright("at", PLACE_BITS)
-    last = F.try_element_at("marks", F.lit(-1)).getField("mark")
-    parsed = parsed.withColumn("marks", marks).withColumns(
-        # The file's rank goes along, so that a head is not carried into the next file.
-        {"out": F.concat(rank.cast("string"), F.lit(":"), last), "n": F.size("tokens")}
-    )
-    parsed = written_table(parsed.filter("n > 0"), "dump-tokens")
-    slim = parsed.select("at", "out", "n")
-    carried = ordered_fill(slim, ["out"], index="at", own=False).select("at", F.col("out").alias("above"))
-    starts = running_total(slim.select("at", "n"), F.col("n"), "start", "at").select("at", "start")
-    placed = parsed.drop("out", "n").join(carried, "at").join(starts, "at")
-    same_file = F.substring_index("above", ":", 1) == rank.cast("string")
-    above = F.when(same_file, F.regexp_replace("above", "^[0-9]+:", ""))
-    one = placed.select("marks", "start", above.alias("above"), F.posexplode("tokens").alias("pos", "token"))
+    files = [r[0] for r in parsed.select("file").distinct().orderBy("file").collect()]
+    ranks = parsed.sparkSession.createDataFrame(list(enumerate(files)), "rank bigint, file string")
+    one = parsed.join(ranks, "file").select("rank", "marks", "start", "above", "standard", F.posexplode("tokens").alias("pos", "token"))
     before = F.try_element_at(F.filter("marks", lambda m: m["i"] < F.col("pos")), F.lit(-1)).getField("mark")
     headed = one.filter(F.col("token").startswith("(")).select(
-        (F.col("start") + F.col("pos")).alias(ROW_INDEX), F.coalesce(before, "above").alias("head"), "token"
+        (F.shiftleft("rank", PLACE_BITS) + F.col("start") + F.col("pos")).alias(ROW_INDEX), F.coalesce(before, "above").alias("head"), "token", "standard"
     )
-    rows = headed.filter("head <> ';'").select(
+    rows = headed.filter(F.regexp_like("head", F.lit("(?is)^" + _VERB))).select(
         ROW_INDEX,
         F.regexp_extract("head", "(?is)" + _HEAD, 1).alias("table_name"),
         F.regexp_extract("head", "(?is)" + _HEAD, 2).alias("listed"),
-        F.regexp_extract_all(F.expr("substring(token, 2, length(token) - 2)"), F.lit(_ITEM), F.lit(1)).alias("raw"),
+        _by_reading(_items).alias("raw"), "standard",
     )
     given = F.transform(F.split("listed", ","), lambda x: F.regexp_replace(x, r"^[\s`\"']+|[\s`\"']+$", ""))
     numbered = F.transform(F.sequence(F.lit(1), F.size("raw")), lambda i: F.concat(F.lit("column_"), i.cast("string")))
@@ -213,12 +95,12 @@ def dump_rows(whole: DataFrame) -> DataFrame:
         ROW_INDEX,
         "table_name",
         F.when(F.col("listed") == "", numbered).otherwise(given).alias("names"),
-        F.transform(F.transform("raw", strip), _literal).alias("items"),
+        F.transform(F.transform("raw", strip), lambda x: _literal(x, F.col("standard"))).alias("items"),
     )
 
 
-def _literal(x: Column) -> Column:
-    """A literal's kind and text. Quotes are taken off, doubled ones made single, escapes read."""
+def _literal(x: Column, standard: Column) -> Column:
+    """A literal's kind and text. Quotes are taken off, doubled ones made single, escapes read where they count."""
     quote = F.left(x, F.lit(1))
     quoted = (F.length(x) >= 2) & quote.isin("'", '"') & (F.right(x, F.lit(1)) == quote)
     inner = F.substr(x, F.lit(2), F.length(x) - 2)
@@ -229,7 +111,7 @@ def _literal(x: Column) -> Column:
     for code, meant in (("n", "\n"), ("t", "\t"), ("r", "\r")):
         read = F.replace(read, F.lit("\\" + code), F.lit(meant))
     read = F.replace(F.regexp_replace(read, r"\\(.)", "$1"), F.lit("\u0001"), F.lit("\\"))
-    unescaped = F.when(F.contains(inner, F.lit("\\")), read).otherwise(single)
+    unescaped = F.when(~standard & F.contains(inner, F.lit("\\")), read).otherwise(single)
     kind = (
         F.when(quoted, "text")
         .when(F.upper(x) == "NULL", "null")
@@ -294,18 +176,26 @@ class Dump:
         return dense_index(rows.select(ROW_INDEX, *[value(r) for r in seen]))
 
 
-def parse_dump(lines: DataFrame) -> Dump:
-    """A dump from its lines (file, place, text).
+def _unread(parsed: DataFrame) -> DataFrame:
+    """(file, place, text) of what inserts but gives no row, or is cut off by the end of its file."""
+    bare = _by_reading(lambda quoted: F.regexp_replace("text", quoted, '"q"'))
+    tuples = F.exists("tokens", lambda t: t.startswith("("))
+    inserting = F.regexp_like("above", F.lit("(?is)^" + _VERB)) & F.regexp_like("bare", F.lit(r"[^\s;,]")) & (F.size("marks") - F.exists("tokens", lambda t: t == ";").cast("int") == 0)
+    lost = (F.regexp_count("bare", F.lit(rf"(?is){_VERB}")) > F.regexp_count("bare", F.lit(rf"(?is){_HEAD}"))) | (
+        ~tuples & (F.regexp_like("bare", F.lit(rf"(?is){_VERB}")) | F.coalesce(inserting, F.lit(False))))
+    return parsed.withColumn("bare", bare).filter(lost | F.col("open")).select("file", "place", F.regexp_replace("text", r"^\s+|\s+$", "").alias("text"))
+
+
+def parse_dump(lines: DataFrame, in_order: bool = False) -> Dump:
+    """A dump from its lines (file, place, text); ``in_order`` says that each partition of them is in order.
 
     The text is parsed once: its tuples are written to the shared folder and read from there.
     """
-    whole, aside = units(lines)
-    bare = F.regexp_replace("text", _QUOTED, "''")
-    unread = F.regexp_count(bare, F.lit(rf"(?is){_VERB}")) > F.regexp_count(bare, F.lit(rf"(?is){_HEAD}"))
-    return Dump(written_table(dump_rows(whole), "dump-rows"), lines, aside.unionByName(whole.filter(unread)))
+    parsed = _parsed(statements(lines, in_order))
+    return Dump(written_table(dump_rows(parsed), "dump-rows"), lines, _unread(parsed))
 
 
 def read_sql_dump(spark: SparkSession, paths: str | list[str]) -> Dump:
     raw = spark.read.text(paths)
     file = F.col("_metadata.file_path").alias("file")
-    return parse_dump(raw.select(file, text_place().alias("place"), F.col("value").alias("text")))
+    return parse_dump(raw.select(file, text_place().alias("place"), F.col("value").alias("text")), in_order=True)

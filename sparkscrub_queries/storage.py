@@ -265,6 +265,30 @@ _DUMP = """SELECT CAST(2 * (row_number() OVER (ORDER BY c_custkey) - 1) AS BIGIN
     'twin, of (' || c_custkey || ')', NULL, NULL FROM customer"""
 
 
+def sql_dump_dialects(spark, sf):
+    """All customers as three dumps, each with a backslash of its own meaning, and a statement that never ends.
+
+    One writes literals in standard form, one dollar-quoted texts and E literals, one MySQL's escapes."""
+    c = table(spark, sf, "customer")
+    key, name = F.col("c_custkey").cast("string"), F.col("c_name")
+    texts = {
+        0: F.concat(F.lit("INSERT INTO \"people\" VALUES ("), key, F.lit(", 'C:\\"), name, F.lit("\\', 'it''s');")),
+        1: F.concat(F.lit("INSERT INTO people VALUES ("), key, F.lit(", $$C:\\"), name, F.lit("\\$$, E'it\\'s');")),
+        2: F.concat(F.lit("INSERT INTO `people` VALUES ("), key, F.lit(", 'C:\\\\"), name, F.lit("\\\\', 'it\\'s'); # it's")),
+    }
+    kind = F.col("c_custkey") % 3
+    text = F.when(kind == 0, texts[0]).when(kind == 1, texts[1]).otherwise(texts[2])
+    lines = c.select(F.concat(F.lit("d"), kind, F.lit(".sql")).alias("file"), F.col("c_custkey").cast("bigint").alias("place"), text.alias("text"))
+    cut = lines.where("place BETWEEN 1 AND 3").select("file", F.lit(1 << 39).alias("place"), F.lit("INSERT INTO people VALUES (0, 'cut").alias("text"))
+    dump = parse_dump(lines.unionByName(cut))
+    people = dump.table("people").drop("_row_index")
+    return people.unionByName(dump.bad_rows.select(F.lit(-1).cast("bigint").alias("column_1"), F.col("file").alias("column_2"), F.col("text").alias("column_3")))
+
+
+_DIALECTS = """SELECT c_custkey AS column_1, 'C:' || chr(92) || c_name || chr(92) AS column_2, 'it' || chr(39) || 's' AS column_3 FROM customer
+    UNION ALL SELECT -1, 'd' || (c_custkey % 3) || '.sql', 'INSERT INTO people VALUES (0, ' || chr(39) || 'cut' FROM customer WHERE c_custkey BETWEEN 1 AND 3"""
+
+
 def sql_dump_bad_rows(spark, sf):
     """Statements that insert no values, and so give no rows."""
     n = table(spark, sf, "nation")
@@ -404,6 +428,7 @@ QUERIES = {
     "grid_inspect": (grid_inspect, _GRID_INSPECT),
     "grid_export": (grid_export, _GRID_EXPORT),
     "sql_dump_load": (sql_dump_load, _DUMP),
+    "sql_dump_dialects": (sql_dump_dialects, _DIALECTS),
     "sql_dump_bad_rows": (
         sql_dump_bad_rows,
         """SELECT CAST(n_nationkey AS BIGINT) AS place, 'INSERT INTO a SELECT * FROM b WHERE x = ' || chr(39) || n_name || chr(39) || ';' AS text
