@@ -3,7 +3,8 @@
 ``build`` sets one bit for each hash in a table of at most ``2**SLOT_BITS`` words of 64 bits, so the table
 has a bound however many hashes there are, and may be broadcast. ``prune`` keeps the rows whose bit is
 set: every row of a hash that was built in, and a share of others that grows as the table fills (all of
-them at worst). So it saves shuffles and never decides; the rows it keeps are joined on the real keys.
+them at worst). So it saves shuffles and never decides; the rows it keeps are joined on the real keys. ``divide`` gives both
+kinds, for an anti join that moves only what it may drop.
 """
 
 from __future__ import annotations
@@ -34,6 +35,13 @@ def prune(rows: DataFrame, hashed: str, built: DataFrame) -> DataFrame:
     return known.join(F.broadcast(built), "_slot").where(F.call_function("getbit", F.col("_bits"), _bit(F.col(hashed))) == 1).drop("_slot", "_bits")
 
 
+def divide(rows: DataFrame, hashed: str, built: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows whose hash is surely not in the filter, and the others. Nulls are among the first."""
+    known = rows.withColumn("_slot", _slot(F.col(hashed), SLOT_BITS)).join(F.broadcast(built), "_slot", "left")
+    told = known.withColumn("_may", F.coalesce(F.call_function("getbit", F.col("_bits"), _bit(F.col(hashed))) == 1, F.lit(False)))
+    return told.where(~F.col("_may")).drop("_slot", "_bits", "_may"), told.where("_may").drop("_slot", "_bits", "_may")
+
+
 def as_array(built: DataFrame, slot_bits: int = SLOT_BITS) -> np.ndarray:
     """The whole filter, for tasks in Python: 8 bytes a slot, on the driver too."""
     words = np.zeros(1 << slot_bits, np.uint64)

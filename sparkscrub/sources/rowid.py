@@ -32,16 +32,22 @@ def parquet_place() -> Column:
     return F.col("_metadata.row_index")
 
 
+def _plain_path(path: Column) -> Column:
+    """A local path comes as ``file:/x`` from one reader and as ``file:///x`` from another."""
+    return F.regexp_replace(path, "^file:/+", "file:/")
+
+
 def with_file_index(df: DataFrame, place: Column, files: list[str] | None = None) -> DataFrame:
     """Add the file-order index. ``df`` must come straight from a file reader.
 
     ``files`` is the whole list to rank by, where ``df`` reads only some of them.
     """
     files = sorted(files or df.inputFiles())
-    placed = df.select("*", F.col("_metadata.file_path").alias("_file"), place.alias("_place"))
+    placed = df.select("*", _plain_path(F.col("_metadata.file_path")).alias("_file"), place.alias("_place"))
     if len(files) <= 1:
         return placed.withColumnRenamed("_place", ROW_INDEX).drop("_file")
-    ranks = df.sparkSession.createDataFrame([(p, i) for i, p in enumerate(files)], "_file string, _rank bigint")
+    ranks = df.sparkSession.createDataFrame([(p, i) for i, p in enumerate(files)], "_path string, _rank bigint")
+    ranks = ranks.select(_plain_path(F.col("_path")).alias("_file"), "_rank")
     if len(files) <= BROADCAST_FILES:
         ranks = F.broadcast(ranks)
     ranked = placed.join(ranks, "_file", "left")

@@ -103,6 +103,13 @@ def test_parquet_round_trip_and_info(spark, tmp_path, table):
     assert info["file_size_bytes"] > 0
 
 
+def test_row_index_of_several_parquet_files(spark, tmp_path):
+    spark.range(100).repartitionByRange(4, "id").write.parquet(str(tmp_path / "p"))
+    got = [r["id"] for r in ss.read_parquet(spark, str(tmp_path / "p")).orderBy("_row_index").collect()]
+    assert got == list(range(100))
+    assert ss.read_parquet(spark, str(tmp_path / "p")).filter("_row_index IS NULL").isEmpty()
+
+
 def test_untidy_types_are_stored_as_text(spark, tmp_path):
     df = spark.sql("SELECT 0L AS _row_index, INTERVAL '1' DAY AS d, NULL AS n, array(1) AS a")
     ss.write_parquet(df, str(tmp_path / "p"))
