@@ -36,7 +36,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from sparkscrub.llm.common import discard, shared
+from sparkscrub.llm.common import SLICE_ROWS, discard, shared
 from sparkscrub.operators import hash_filter
 
 LEAST, TOP = 100, 2000
@@ -45,7 +45,6 @@ LEVELS = ((1,), (2,), (3, 4, 5))
 #: The filter between levels has so many bits for the slot of 64 of them: 8 MB.
 FILTER_SLOT_BITS = 20
 FLUSH_WORDS = 2_000_000
-SLICE_ROWS = 256
 
 #: A word, or one character that ends a piece.
 TOKEN = re.compile(rb"[^\x20\x09.,;:!?\x0A-\x0D]+|[.,;:!?\x0A-\x0D]")

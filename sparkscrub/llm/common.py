@@ -36,21 +36,25 @@ def discard(table: DataFrame) -> None:
         path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def texts_of(column: pa.Array, rows: int = 256) -> Iterator[str | None]:
+#: Whole documents are long: so many at once are held as Python strings.
+SLICE_ROWS = 256
+
+
+def texts_of(column: pa.Array, rows: int = SLICE_ROWS) -> Iterator[str | None]:
     """The texts of an Arrow column, a few at a time as Python strings."""
     for i in range(0, len(column), rows):
         yield from column.slice(i, rows).to_pylist()
 
 
 def arrow_map(df: DataFrame, schema: str | StructType, fn: Callable[..., dict[str, list]]) -> DataFrame:
-    """``fn`` over every Arrow batch of ``df``: columns in as Python lists, columns out by name."""
+    """``fn`` over the rows of ``df``, some hundred at a time: columns in as Python lists, columns out by name."""
     shape = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     out = to_arrow_schema(shape)
 
     def run(batches):
         for batch in batches:
-            if batch.num_rows:
-                got = fn(*[c.to_pylist() for c in batch.columns])
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                got = fn(*[c.to_pylist() for c in batch.slice(at, SLICE_ROWS).columns])
                 yield pa.RecordBatch.from_pydict({f.name: pa.array(got[f.name], type=f.type) for f in out}, schema=out)
 
     return df.mapInArrow(run, shape)

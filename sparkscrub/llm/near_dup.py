@@ -47,7 +47,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from sparkscrub.llm.common import WORD, shared, texts_of
+from sparkscrub.llm.common import WORD, discard, shared, texts_of
+from sparkscrub.operators import hash_filter
 
 TREES, DEPTH, START = 20, 6, 3
 HASHES = TREES * DEPTH
@@ -335,22 +336,28 @@ def _exact(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def _sets_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, shingles) of the wanted nodes, made anew from the text of one document of each."""
-    wanted = shared(wanted.select("node").distinct().join(nodes.select("node", "label"), "node"), "near-wanted")
-    ids = wanted.select("label").distinct()
-    texts = docs.join(ids, docs["doc_id"].eqNullSafe(ids["label"]), "left_semi").select("text")
-    sets = _sets(texts).join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    """(node, shingles) of the wanted nodes, made anew from the text of one document of each.
+
+    A filter of bounded size tells which texts to move; plans are the same at every size."""
+    wanted = shared(wanted.select("node").distinct().join(nodes.select("node", "label"), "node").withColumn("hash", F.xxhash64("label")), "near-wanted")
+    ids = wanted.select("hash", "label").distinct().hint("merge")
+    moved = hash_filter.prune(docs.withColumn("hash", F.xxhash64("doc_id")), "hash", hash_filter.build(wanted, "hash"))
+    texts = moved.join(ids, (moved["hash"] == ids["hash"]) & moved["doc_id"].eqNullSafe(ids["label"]), "left_semi").select("text")
+    sets = _sets(texts).join(wanted.select("node").hint("merge"), "node", "left_semi").dropDuplicates(["node"])
     return shared(sets, "near-sets")
 
 
 def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets are similar enough."""
-    return _similar(pairs, _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")), nodes, docs), percent)
+    sets = _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")), nodes, docs)
+    links = shared(_similar(pairs, sets, percent), "near-links")
+    discard(sets)
+    return links
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    both = (pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
-            .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b"))
+    both = (pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")).hint("merge"), "a")
+            .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")).hint("merge"), "b"))
     common = F.size(F.array_intersect("sa", "sb"))
     return both.where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
@@ -440,13 +447,15 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
         F.min("doc_id").alias("label"), F.min("n_shingles").alias("n"), F.min("signature").alias("signature")), "near-nodes")
     regions, crowded = forest_regions(nodes)
     members = shared(regions.join(nodes.select("node", "signature", "n"), "node").select("region", "node", "signature", "n"), "near-members")
-    links = shared(_confirmed(shared(_spanning(members, percent), "near-pairs"), nodes, docs, percent), "near-links")
+    links = _confirmed(shared(_spanning(members, percent), "near-pairs"), nodes, docs, percent)
     labels = components(links)
     told = members.join(labels, "node", "left").select("region", "node", "signature", "n", F.coalesce("component", "node").alias("component"))
     doubtful = shared(_suspects(told, percent), "near-suspects")
+    discard(members)
     if not doubtful.isEmpty():
         sets = _sets_of(doubtful, nodes, docs)
-        more = shared(_exact(doubtful.join(sets, "node").select("region", "node", "component", "shingles"), percent), "near-links")
+        more = shared(_exact(doubtful.join(sets.hint("merge"), "node").select("region", "node", "component", "shingles"), percent), "near-links")
+        discard(sets)
         if not more.isEmpty():
             links = shared(links.unionByName(more), "near-links")
             labels = components(links)
