@@ -6,23 +6,18 @@ toxicity -> line dedup -> near duplicates -> secrets -> packing. All but the las
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from sparkscrub.functions.columns import ROW_INDEX
 from sparkscrub.llm import line_dedup, near_dup, packing, secret_scan, toxicity
 from sparkscrub.llm.common import load, shared
-
-
-#: Rows that go to Python at once. Whole documents are long, and the default of 10,000 is held several times over.
-BATCH_ROWS = "1000"
-
-
-def _bound_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+from sparkscrub.operators import hash_filter
+from sparkscrub.sources.rowid import parquet_place, with_file_index
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject. It learns from the labels of rows not held out."""
-    _bound_batches(spark)
     scored = _score(docs, load(spark, sf_dir, "labels"))
     return scored.where(F.col("toxicity") < toxicity.DECIDE_AT).select("row.*")
 
@@ -49,23 +44,34 @@ def _with_text(docs: DataFrame, row: str, text) -> list:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near duplicates: that of the smallest id, null ids last, then of the first place.
 
-    Rows are known by a key of their own, written with them, as ids may be null or come again. Texts without
-    words are in no group.
+    Rows are known by their place in the files of ``docs`` (the stage's input is a written table), as ids may be null
+    or come again. Texts without words are in no group. Only rows that may be dropped are moved.
     """
-    _bound_batches(spark)
-    keyed = shared(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("key")), "pipeline-keyed")
-    found = near_dup.near_duplicates(keyed.select("key", F.col("row.text").alias("text")), id_col="key")
-    groups = found.select(F.col("doc_id").alias("key"), "component_id").join(keyed.select("key", F.col("row.doc_id").alias("id")), "key")
+    placed = _placed(docs)
+    found = near_dup.near_duplicates(placed.select("key", F.col("row.text").alias("text")), id_col="key")
+    groups = found.select(F.col("doc_id").alias("key"), "component_id").join(placed.select("key", F.col("row.doc_id").alias("id")).hint("merge"), "key")
     first = F.struct(F.col("id").isNull().alias("no_id"), "id", "key")
-    ordered = shared(groups.select("component_id", first.alias("place")), "pipeline-groups")
-    least = ordered.groupBy("component_id").agg(F.min("place").alias("least"))
-    stays = shared(least.select(F.col("least.key").alias("key")), "pipeline-stays")
-    return keyed.join(stays, "key", "left_semi").select("row.*")
+    ordered = shared(groups.select("component_id", "key", first.alias("place")), "pipeline-groups")
+    least = ordered.groupBy("component_id").agg(F.min("place").alias("least")).hint("merge")
+    goes = ordered.join(least, "component_id").where("key != least.key").select("key", F.xxhash64("key").alias("hash"))
+    goes = shared(goes, "pipeline-goes")
+    stays, others = hash_filter.divide(placed.withColumn("hash", F.xxhash64("key")), "hash", hash_filter.build(goes, "hash"))
+    others = others.join(goes.select("key").hint("merge"), "key", "left_anti")
+    return stays.select("row.*").unionByName(others.select("row.*"))
+
+
+def _placed(docs: DataFrame) -> DataFrame:
+    """``key`` and ``row`` of every row: its place in the files it is read from. What is no table in files is written first."""
+    try:
+        docs.select("_metadata.row_index").schema
+    except AnalysisException:
+        docs = shared(docs, "pipeline-docs")
+    indexed = with_file_index(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row")), parquet_place())
+    return indexed.select(F.col(ROW_INDEX).alias("key"), "row")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets replaced by a mask."""
-    _bound_batches(spark)
     masked = secret_scan.redact(docs)
     return masked.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else masked
 
