@@ -68,6 +68,10 @@ ORDER_DATES = {
     1: ("dd/MM/yyyy", "%d/%m/%Y"),
     2: ("dd-MM-yyyy", "%d-%m-%Y"),
     3: ("MMM dd yyyy", "%b %d %Y"),
+    6: ("d MMM yyyy '3pm'", "%-d %b %Y 3pm"),
+    7: ("ddMMMyyyy", "%d%b%Y"),
+    8: ("yyyyMMdd'T030405'", "%Y%m%dT030405"),
+    9: ("yyyy MM dd", "%Y %m %d"),
 }
 
 READINGS = {
@@ -108,23 +112,23 @@ CROWD_SQL = (
 
 
 # Words that begin with or hold the letters of a month, and are none.
-JUNK_DATES = ("Junk 5 2024", "Market 12 2024", "Mayor 1 2024", "12 decoys 2023", "Decimal 10 20", "not a date")
+JUNK_DATES = ("Junk 5 2024", "Market 12 2024", "Mayor 1 2024", "12 decoys 2023", "Decimal 10 20", "not a date", "2020-13-05")
 
 
 def order_dates(spark: SparkSession, sf: str) -> DataFrame:
     text = F.when(F.lit(False), "")
-    kind = F.col("o_orderkey") % 6
+    kind = F.col("o_orderkey") % 12
     for k, (pattern, _) in ORDER_DATES.items():
         text = text.when(kind == k, F.date_format("o_orderdate", pattern))
-    junk = F.element_at(F.array(*[F.lit(w) for w in JUNK_DATES]), (F.col("o_custkey") % 6).cast("int") + 1)
-    text = text.when(kind == 4, junk)
+    junk = F.element_at(F.array(*[F.lit(w) for w in JUNK_DATES]), (F.col("o_custkey") % 7).cast("int") + 1)
+    text = text.when(kind.isin(4, 10), junk)
     return spread(table(spark, sf, "orders")).select(F.col("o_orderkey").alias("_row_index"), text.alias("placed"))
 
 
 ORDER_DATES_SQL = (
-    "order_dates AS (SELECT o_orderkey AS _row_index, o_orderdate, CASE o_orderkey % 6 "
+    "order_dates AS (SELECT o_orderkey AS _row_index, o_orderdate, CASE o_orderkey % 12 "
     + " ".join(f"WHEN {k} THEN strftime(o_orderdate, '{f}')" for k, (_, f) in ORDER_DATES.items())
-    + f" WHEN 4 THEN {list(JUNK_DATES)}[o_custkey % 6 + 1] ELSE NULL END AS placed FROM orders)"
+    + "".join(f" WHEN {k} THEN {list(JUNK_DATES)}[o_custkey % 7 + 1]" for k in (4, 10)) + " ELSE NULL END AS placed FROM orders)"
 )
 
 

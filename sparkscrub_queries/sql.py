@@ -51,7 +51,7 @@ def email(x: str) -> str:
     )
 
 
-DATE_FORMATS = "['%Y-%m-%d', '%d/%m/%Y', '%d-%m-%Y', '%b %d %Y']"
+DATE_FORMATS = "['%Y-%m-%d', '%d/%m/%Y', '%d-%m-%Y', '%b %d %Y', '%d %b %Y %I%p', '%d%b%Y', '%Y%m%dT%H%M%S', '%Y %m %d']"
 
 
 def date(x: str) -> str:

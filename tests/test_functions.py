@@ -59,6 +59,25 @@ DATES = {
     "12/05/2026 3:04 PM": (2026, 5, 12, 15, 4),
     "12/05/2026 12:00 am": (2026, 5, 12, 0, 0),
     "Tuesday, May 12, 2026 03:04:05 pm": (2026, 5, 12, 15, 4, 5),
+    "2 Jan 2020 3pm": (2020, 1, 2, 15, 0),
+    "2 jan 2020 12 AM": (2020, 1, 2, 0, 0),
+    "02Jan2020": (2020, 1, 2),
+    "2020Jan02": (2020, 1, 2),
+    "20200102T030405": (2020, 1, 2, 3, 4, 5),
+    "20200102t0304z": (2020, 1, 2, 3, 4),
+    "20200102030405": (2020, 1, 2, 3, 4, 5),
+    "2020 01 02": (2020, 1, 2),
+    "5/12/26 10:11": (2026, 12, 5, 10, 11),
+    "Dec. 5, 2020": (2020, 12, 5),
+    "5/Dec/2020": (2020, 12, 5),
+    "2020-13-05": None,
+    "2020/13/01": None,
+    "2 Jan 2020 13pm": None,
+    "2020-01/02": None,
+    "1 2 3 4": None,
+    "12/2020": None,
+    "123/1/2020": None,
+    "3pm": None,
     "31-02-2020": None,
     "Feb 30 2020": None,
     "2026": None,
