@@ -88,32 +88,49 @@ def prefix_polynomials(hashes: np.ndarray) -> np.ndarray:
     return np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * powers, dtype=np.uint64)])
 
 
-def fingerprints(prefix: np.ndarray, size: int) -> np.ndarray:
-    """Fingerprint of each run of ``size`` hashes, wherever it lies: the polynomial's part, shifted back, mixed."""
-    n = len(prefix) - size
-    if n <= 0:
-        return np.empty(0, np.uint64)
-    inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-    shift = np.cumprod(np.full(n, inverse, np.uint64))
-    x = (prefix[size:] - prefix[:n]) * shift + np.uint64(size)
+def _mixed(x: np.ndarray) -> np.ndarray:
     for by, factor in ((33, 0xFF51AFD7ED558CCD), (33, 0xC4CEB9FE1A85EC53), (33, 1)):
         x = (x ^ (x >> np.uint64(by))) * np.uint64(factor)
     return x
 
 
+def back_shifts(n: int) -> np.ndarray:
+    """What the part of a prefix polynomial that begins at each place is multiplied by, so that places do not count."""
+    return np.cumprod(np.full(n, pow(int(_BASE), -1, 1 << 64), np.uint64))
+
+
+def fingerprints(prefix: np.ndarray, size: int, at: np.ndarray | None = None, shifts: np.ndarray | None = None) -> np.ndarray:
+    """Fingerprint of the run of ``size`` hashes at each place: the polynomial's part, shifted back, mixed."""
+    at = np.arange(max(0, len(prefix) - size)) if at is None else at
+    shifts = back_shifts(len(prefix)) if shifts is None else shifts
+    return _mixed((prefix[at + size] - prefix[at]) * shifts[at] + np.uint64(size))
+
+
+def count_words(numbers: np.ndarray, hashes: np.ndarray, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(fingerprint, count, place) of all words."""
+    at = np.flatnonzero(numbers >= 0)
+    counts, place = np.bincount(numbers[at], minlength=len(hashes)), np.zeros(len(hashes), np.int64)
+    place[numbers[at][::-1]] = at[::-1]
+    known = np.flatnonzero(counts)
+    return _mixed(hashes[known] + np.uint64(1)) ^ np.uint64(seed), counts[known], place[known]
+
+
 def count_grams(numbers: np.ndarray, prefix: np.ndarray, size: int, seed: int = 0, base: int = 0,
-                may: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(fingerprint, count, first place) of all n-grams of a length, from the words' numbers and prefix polynomials;
+                may: np.ndarray | None = None, shifts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(fingerprint, count, place of one) of all n-grams of a length, from the words' numbers and prefix polynomials;
     those of one fingerprint whose words differ are told apart. With ``may``, a filter of ``base``-grams, only n-grams
     all of whose ``base``-grams it may hold."""
-    breaks = np.concatenate([[0], np.cumsum(numbers < 0)])
-    good = breaks[size:] == breaks[:-size] if len(numbers) >= size else np.empty(0, bool)
-    if may is not None and len(good):
-        out = np.concatenate([[0], np.cumsum(~hash_filter.holds(may, fingerprints(prefix, base) ^ np.uint64(seed)))])
-        good = good & (out[size - base + 1:] == out[:len(good)])
-    whole = np.flatnonzero(good)
-    prints = fingerprints(prefix, size)[whole] ^ np.uint64(seed)
-    order = np.argsort(prints, kind="stable")
+    shifts = back_shifts(len(prefix)) if shifts is None else shifts
+    inside = numbers >= 0
+    if may is not None:  # places where a base-gram begins that may be frequent
+        good = _runs(inside, base)
+        at = np.flatnonzero(good)
+        good[at] = hash_filter.holds(may, fingerprints(prefix, base, at, shifts) ^ np.uint64(seed))
+        whole = np.flatnonzero(_runs(good, size - base + 1))
+    else:
+        whole = np.flatnonzero(_runs(inside, size))
+    prints = fingerprints(prefix, size, whole, shifts) ^ np.uint64(seed)
+    order = np.argsort(prints)
     prints, places = prints[order], whole[order]
     starts = np.flatnonzero(np.concatenate([[True], prints[1:] != prints[:-1]])) if len(prints) else np.empty(0, np.int64)
     counts = np.diff(np.concatenate([starts, [len(prints)]]))
@@ -131,6 +148,31 @@ def count_grams(numbers: np.ndarray, prefix: np.ndarray, size: int, seed: int =
             np.concatenate([counts, [c for c, _ in apart.values()]]), np.concatenate([places[starts], [x for _, x in apart.values()]]))
 
 
+def _runs(good: np.ndarray, length: int) -> np.ndarray:
+    """Where ``length`` true values in a row begin."""
+    out = np.zeros(len(good), bool)
+    n = len(good) - length + 1
+    if n > 0:
+        out[:n] = good[:n]
+        for i in range(1, length):
+            out[:n] &= good[i:n + i]
+    return out
+
+
+class _Hashes(dict):
+    """Hashes of words, kept for those that come again; 0 for what ends a piece."""
+
+    def __init__(self):
+        super().__init__(dict.fromkeys(_BREAKS, 0))
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 200_000:
+            self.clear()
+            self.update(dict.fromkeys(_BREAKS, 0))
+        value = self[word] = word_hash(word)
+        return value
+
+
 class _Flush:
     """The token numbers of some texts, by language."""
 
@@ -153,8 +195,9 @@ class _Flush:
             begins = np.concatenate([[0], np.cumsum([len(t) + 1 for _, t in texts])])
             names = np.array([h for h, _ in texts], np.int64)
             prefix = prefix_polynomials(np.where(ids >= 0, np.append(hashes, np.uint64(0))[ids], np.uint64(0)))
+            shifts, seed = back_shifts(len(prefix)), lang_seed(lang)
             for size in sizes:
-                prints, counts, places = count_grams(ids, prefix, size, lang_seed(lang), base, may)
+                prints, counts, places = count_words(ids, hashes, seed) if size == 1 else count_grams(ids, prefix, size, seed, base, may, shifts)
                 text = np.searchsorted(begins, places, side="right") - 1
                 for i in range(0, len(prints), 100_000):
                     part = slice(i, i + 100_000)
@@ -197,19 +240,32 @@ def read_phrases(texts: DataFrame) -> DataFrame:
 
     A phrase that has not the fingerprint it is wanted for is left out: its text only has the hash of another."""
     def run(batches):
+        words = _Hashes()
         for batch in batches:
-            out: list[list] = [[] for _ in _PHRASES]
-            for text_hash, texts_, wanted in _slices(batch):
-                for h, text, places in zip(text_hash, texts_, wanted):
+            for lo in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(lo, SLICE_ROWS)
+                lists = part.column(2)
+                bounds, places = lists.offsets.to_numpy(), lists.values
+                size, at = places.field("size").to_numpy(), places.field("at").to_numpy()
+                prints, langs = places.field("print").to_numpy().view(np.uint64), places.field("lang").dictionary_encode()
+                seeds = np.array([lang_seed(x) for x in langs.dictionary.to_pylist()], np.uint64)[langs.indices.to_numpy()]
+                phrases, good = [], []
+                for i, text in enumerate(part.column(1).to_pylist()):
+                    own = slice(bounds[i], bounds[i + 1])
                     found = tokens_of(text)
-                    for w in places:
-                        words = found[w["at"]:w["at"] + w["size"]]
-                        hashes = np.array([word_hash(x) for x in words], np.uint64)
-                        if len(words) == w["size"] and int((fingerprints(prefix_polynomials(hashes), w["size"]) ^ np.uint64(lang_seed(w["lang"]))).view(np.int64)[0]) == w["print"]:
-                            row = (w["lang"], w["size"], w["print"], h, w["at"], w["count"], b" ".join(words).decode("utf-8", "replace"))
-                            for column, value in zip(out, row):
-                                column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _PHRASES)], schema=_PHRASES)
+                    prefix = prefix_polynomials(np.fromiter(map(words.__getitem__, found), np.uint64, len(found)))
+                    fits = at[own] + size[own] <= len(found)
+                    near = np.where(fits, at[own], 0), np.where(fits, size[own], 0)
+                    told = _mixed((prefix[near[0] + near[1]] - prefix[near[0]]) * back_shifts(len(prefix))[near[0]] + near[1].astype(np.uint64)) ^ seeds[own]
+                    good.append(fits & (told == prints[own]))
+                    phrases += [b" ".join(found[a:a + n]) for a, n in zip(at[own].tolist(), size[own].tolist())]
+                rows = np.repeat(np.arange(part.num_rows), np.diff(bounds))
+                kept = pa.array(np.concatenate(good) if good else np.empty(0, bool))
+                inner = places.slice(bounds[0], bounds[-1] - bounds[0])
+                table = pa.RecordBatch.from_arrays(
+                    [inner.field("lang"), inner.field("size"), inner.field("print"), part.column(0).take(pa.array(rows)), inner.field("at"), inner.field("count"),
+                     pa.array([x.decode("utf-8", "replace") for x in phrases], pa.string())], schema=_PHRASES)
+                yield table.filter(kept)
 
     return texts.select("text_hash", F.col("text").cast("binary"), "wanted").mapInArrow(
         run, "lang string, size int, print long, text_hash long, at int, count long, phrase string")

@@ -67,7 +67,7 @@ def test_collocations_on_random_texts(spark, flush_words):
 def test_fingerprints_that_collide(spark, monkeypatch):
     """With four fingerprints only, counts still are those of the phrases."""
     plain = collocations.fingerprints
-    monkeypatch.setattr(collocations, "fingerprints", lambda prefix, size: plain(prefix, size) % np.uint64(4))
+    monkeypatch.setattr(collocations, "fingerprints", lambda *a: plain(*a) % np.uint64(4))
     rng = np.random.default_rng(0)
     numbers = rng.integers(-1, 4, 500).astype(np.int32)
     hashes = np.append(np.arange(1, 5, dtype=np.uint64), np.uint64(0))
