@@ -6,14 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Characters taken off an amount before it is read.
-_CURRENCY = "[₹$,€£ ]"
+CURRENCY = "[₹$,€£ ]"
 # Spark's own cast also takes "1.5f" and "1d", hence the guard.
 _NUMBER = r"^\s*[+-]?(?:(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?|(?i:inf(?:inity)?))\s*$"
 _WHOLE = r"^\s*[+-]?\d+\s*$"
 
 
 def drop_currency(c: Column) -> Column:
-    return F.regexp_replace(c, _CURRENCY, "")
+    return F.regexp_replace(c, CURRENCY, "")
 
 
 def parse_double(c: Column) -> Column:

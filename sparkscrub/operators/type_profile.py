@@ -34,7 +34,7 @@ NAME_WORDS = {
 TYPO_MARKS = ("@gmai.", "@gamil.", "@gmial.", "@yaho.", "@hotmial.")
 
 # The look of a date in digits.
-_DATE_SHAPE = r"^\d{1,4}[-/\.]\d{1,2}[-/\.]\d{1,4}$"
+DATE_SHAPE = r"^\d{1,4}[-/\.]\d{1,2}[-/\.]\d{1,4}$"
 
 
 def _metrics(raw: Column) -> dict[str, Column]:
@@ -53,7 +53,7 @@ def _metrics(raw: Column) -> dict[str, Column]:
         "has_whitespace": some((raw != t) | raw.contains("  ")),
         "email_share": share(t.contains("@") & t.contains(".")),
         "email_issue": some((raw != F.lower(raw)) | raw.contains(" ") | any_typo | ~t.rlike(VALID_EMAIL)),
-        "date_share": share(t.rlike(_DATE_SHAPE)),
+        "date_share": share(t.rlike(DATE_SHAPE)),
         "phone_share": share(F.length(F.regexp_replace(t, "[^0-9]+", "")) >= 7),
         "phone_noise": some(t.rlike(r"[^\d+]")),
         "name_special": some(raw.rlike(r"(?U)[^a-zA-Z\s]")),

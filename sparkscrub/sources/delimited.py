@@ -12,7 +12,10 @@ from pyspark.sql import types as T
 
 from sparkscrub.functions.columns import ROW_INDEX, col, data_columns, dtype, is_text
 from sparkscrub.functions.numbers import parse_double, parse_long
-from sparkscrub.sources.rowid import text_place, with_file_index
+from sparkscrub.operators.ordered_fill import ordered_fill
+from sparkscrub.operators.running import running_total
+from sparkscrub.session import written_table
+from sparkscrub.sources.rowid import PLACE_BITS, text_place, with_file_index
 
 DELIMITERS = (",", ";", "\t", "|")
 
@@ -39,6 +42,15 @@ def _count(c: Column, mark: str) -> Column:
     return F.length(c) - F.length(F.replace(c, F.lit(mark), F.lit("")))
 
 
+def _ends_open(line: Column, delimiter: str) -> Column:
+    """Whether a quoted field is open at the end of a line that begins outside quotes. A quote opens a field only
+    where the field begins; elsewhere it is a character."""
+    d = re.escape(delimiter)
+    quoted = r'"(?:[^"]++|"")*+'
+    field = rf'(?:{quoted}"[^{d}]*+|[^"{d}][^{d}]*+)?+'
+    return F.contains(line, F.lit('"')) & line.rlike(rf"(?s)^(?:{field}{d})*+{quoted}$")
+
+
 def _unquoted(line: Column) -> Column:
     return F.regexp_replace(line, '"[^"]*"', "")
 
@@ -51,11 +63,11 @@ def sniff(lines: DataFrame, heads: DataFrame | None = None) -> DataFrame:
     hold fewer lines, the first of each file among them, to find the headers in.
     """
     cleaned = _unquoted(F.col("line"))
-    marks = [F.struct(F.lit(i).alias("d"), _count(cleaned, d).alias("k")) for i, d in enumerate(DELIMITERS)]
+    marks = [F.struct(F.lit(i).alias("d"), _count(cleaned, d).alias("k"), _ends_open(F.col("line"), d).alias("open_quote"))
+             for i, d in enumerate(DELIMITERS)]
     per_line = lines.filter(F.length("line") > 0).select(
         "file",
         F.is_valid_utf8("line").alias("utf8"),
-        (_count(F.col("line"), '"') % 2 == 1).alias("open_quote"),
         F.inline(F.array(*marks)),
     )
     # Only numbers and flags are aggregated here, so every step hashes and combines map-side.
@@ -76,7 +88,7 @@ def sniff(lines: DataFrame, heads: DataFrame | None = None) -> DataFrame:
         F.max_by("d", rank).alias("d"),
         F.max("lines").alias("lines"),
         F.bool_and("utf8").alias("utf8"),
-        F.bool_or("open_quote").alias("multi_line"),
+        F.max_by("open_quote", rank).alias("multi_line"),
     )
     heads = (lines if heads is None else heads).filter(F.length("line") > 0)
     starts = heads.groupBy("file").agg(F.min("place").alias("place"))
@@ -154,13 +166,18 @@ def _read_group(
 ) -> tuple[DataFrame, DataFrame]:
     names = header_names(spark, header, delimiter)
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, _BAD]])
-    reader = spark.read.schema(schema).options(
-        header=True, sep=delimiter, encoding="ISO-8859-1" if encoding == "cp1252" else encoding, quote='"', escape='"', multiLine=multi_line,
-        mode="PERMISSIVE", columnNameOfCorruptRecord=_BAD, columnPruning=False, enforceSchema=True,
-    )
-    raw = with_file_index(reader.csv(files), text_place(), all_files)
-    if encoding == "cp1252":
-        raw = raw.withColumns({n: _to_western(col(n)) for n in names})
+    options = {"sep": delimiter, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD, "enforceSchema": "true"}
+    if multi_line:
+        records = _records(spark, files, all_files, delimiter, encoding)
+        cells = F.from_csv("text", schema.toDDL(), options)
+        plain = F.from_csv("text", schema.toDDL(), {**options, "quote": "\u0000"})
+        raw = records.select(ROW_INDEX, F.when(F.col("cut"), plain).otherwise(cells).alias("cells")).select(ROW_INDEX, "cells.*")
+    else:
+        reader = spark.read.schema(schema).options(
+            header=True, encoding="ISO-8859-1" if encoding == "cp1252" else encoding, columnPruning=False, **options)
+        raw = with_file_index(reader.csv(files), text_place(), all_files)
+        if encoding == "cp1252":
+            raw = raw.withColumns({n: _to_western(col(n)) for n in names})
     fields = _count(_unquoted(col(_BAD)), delimiter) + 1
     # The reader refuses a query that needs the bad-row column alone, such as a count; the
     # second, always true condition makes every query need a data column too.
@@ -170,6 +187,45 @@ def _read_group(
     return data, bad
 
 
+def _records(spark: SparkSession, files: list[str], all_files: list[str], delimiter: str, encoding: str) -> DataFrame:
+    """(index, text, cut) of the records of files in which fields run over lines, without their headers.
+
+    The files are split as any others. A line is a function of whether it begins in a quoted field: it
+    changes nothing, always ends outside or inside, or turns one into the other. Put together along the
+    file, by running totals of turns since the last line of a fixed end, they give each line's state;
+    only lines of records that are open somewhere are joined. A quote that is still open at the end of its
+    file is a character: its record is its first line (``cut``), and the following lines are their own.
+    """
+    raw = with_file_index(spark.read.option("lineSep", "\n").text(files), text_place(), all_files)
+    value = _to_western(F.decode(F.col("value").cast("binary"), "ISO-8859-1")) if encoding == "cp1252" else F.col("value")
+    lines = raw.select(ROW_INDEX, F.shiftright(ROW_INDEX, PLACE_BITS).alias("rank"), F.regexp_replace(value, rf"^{_BOM}|\r$", "").alias("line"))
+    starts = lines.groupBy("rank").agg(F.min(ROW_INDEX).alias("begins"), F.min(F.when(F.col("line") != "", F.col(ROW_INDEX))).alias("header"))
+    lines = lines.join(written_table(starts, "csv-starts"), "rank").select(
+        ROW_INDEX, "line", (F.col(ROW_INDEX) == F.col("begins")).alias("first"), (F.col(ROW_INDEX) == F.col("header")).alias("header"))
+    out, in_ = _ends_open(F.col("line"), delimiter), ~F.contains("line", F.lit('"')) | _ends_open(F.concat(F.lit('"'), "line"), delimiter)
+    lines = written_table(lines.withColumn("out", out).withColumn("in", in_ & (~F.col("first") | F.col("out"))), "csv-lines")
+    # of a line that is no turn, the end is fixed or as its beginning
+    turns = lines.where("out OR NOT `in` OR first").select(
+        ROW_INDEX, (F.col("out") & ~F.col("in")).cast("int").alias("turn"), F.when(F.col("out") == F.col("in"), F.col("in").cast("int")).alias("fixed"))
+    turned = written_table(running_total(turns, F.col("turn"), "turned"), "csv-turns")
+    anchors = turned.withColumn("anchor", F.pmod(F.col("fixed") + F.col("turned"), F.lit(2)))
+    ends = ordered_fill(anchors, ["anchor"]).select(
+        ROW_INDEX, F.pmod(F.coalesce("anchor", F.lit(0)) + F.col("turned") + F.col("turn"), F.lit(2)).alias("end"))
+    known = lines.select(ROW_INDEX, "first").join(ends, ROW_INDEX, "left")
+    begun = ordered_fill(known.withColumn("begin", F.col("end")), ["begin"], own=False)
+    state = written_table(begun.select(
+        ROW_INDEX, F.when(F.col("first"), 0).otherwise(F.coalesce("begin", F.lit(0))).alias("begin"), F.coalesce("end", "begin", F.lit(0)).alias("end")).where("begin = 1 OR end = 1"), "csv-open")
+    single = lines.join(state, ROW_INDEX, "left_anti").select(ROW_INDEX, "line", "header", F.lit(False).alias("cut"))
+    starts = ordered_fill(state.withColumn("start", F.when(F.col("begin") == 0, col(ROW_INDEX))), ["start"]).select(ROW_INDEX, "start", "end")
+    runs = lines.join(starts, ROW_INDEX).groupBy("start").agg(
+        F.array_sort(F.collect_list(F.struct(ROW_INDEX, "line"))).alias("l"), F.max_by("end", ROW_INDEX).alias("end"), F.bool_or("header").alias("header"))
+    whole = runs.where("end = 0").select(F.col("start").alias(ROW_INDEX), F.array_join("l.line", "\n").alias("line"), "header", F.lit(False).alias("cut"))
+    left = runs.where("end = 1").select("start", "header", F.inline("l")).select(
+        ROW_INDEX, "line", (F.col("header") & (F.col(ROW_INDEX) == F.col("start"))).alias("header"), (F.col(ROW_INDEX) == F.col("start")).alias("cut"))
+    records = single.unionByName(whole).unionByName(left).where("NOT header AND line <> ''")
+    return records.select(ROW_INDEX, F.col("line").alias("text"), "cut")
+
+
 def header_names(spark: SparkSession, header: str, delimiter: str) -> list[str]:
     """Column names in a header line: empty ones become ``Unnamed: i``, repeats ``name.1``."""
     width = re.sub('"[^"]*"', "", header).count(delimiter) + 1
@@ -194,7 +250,7 @@ def read_delimited(
 ) -> Delimited:
     """Read delimited files with a header row; files of different make-up are unioned by name.
 
-    Only files in which a quoted field spans lines are read unsplit.
+    Files are split, also where quoted fields run over lines: only the lines of such records are joined.
     """
     groups: dict[tuple, list[str]] = {}
     for f in sniff_files(spark, paths).collect():

@@ -72,16 +72,20 @@ def read_table_set(
 ) -> dict[str, DataFrame]:
     """A directory as a set of tables, like the sheets of a workbook.
 
-    Each file, or each sub-directory of files of one format, is a table named after it.
+    Each file, or the files of one format in each sub-directory, is a table named after it. Where a name has
+    several formats, the first one's table keeps the name and the others add their format: ``a``, ``a (parquet)``.
     """
-    members: dict[str, list[str]] = {}
+    found: dict[tuple[str, str], list[str]] = {}
     root = directory.rstrip("/").split(":")[-1].lstrip("/")
     for path in list_files(spark, directory):
         below = path.split(root + "/", 1)[-1]
         head, _, rest = below.partition("/")
         name = head if rest else posixpath.splitext(head)[0]
         if format_of(path) in ("delimited", "parquet"):
-            members.setdefault(name, []).append(path)
+            found.setdefault((name, format_of(path)), []).append(path)
+    members: dict[str, list[str]] = {}
+    for (name, kind), paths in found.items():
+        members[f"{name} ({kind})" if name in members else name] = paths
     wanted = list(members) if names is None else [n for n in names if n in members]
     tables = {}
     for name in wanted:

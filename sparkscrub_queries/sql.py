@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from sparkscrub.operators.emails import DOMAIN_FIXES, VALID_EMAIL  # noqa: F401  (fixed values, stated once)
+from sparkscrub.functions.numbers import CURRENCY
+from sparkscrub.operators.emails import DOMAIN_FIXES, NULL_WORDS, VALID_EMAIL  # noqa: F401  (fixed values, stated once)
+from sparkscrub.operators.names import DELIMITERS
 from sparkscrub.operators.strings import PLACEHOLDERS
 
 
@@ -28,7 +30,7 @@ def digits(x: str) -> str:
 
 
 def name(x: str) -> str:
-    letters = f"regexp_replace(regexp_replace({x}, '[_\\-/]+', ' ', 'g'), '[^a-zA-Z\\s]', '', 'g')"
+    letters = f"regexp_replace(regexp_replace({x}, '{DELIMITERS}', ' ', 'g'), '[^a-zA-Z\\s]', '', 'g')"
     return title(squeeze(letters))
 
 
@@ -45,7 +47,7 @@ def email(x: str) -> str:
     cases = " ".join(f"WHEN '{w}' THEN '{r}'" for w, r in DOMAIN_FIXES.items())
     domain = f"split_part({plain}, '@', 2)"
     return (
-        f"CASE WHEN lower({x}) IN ('', 'nan', 'null', 'none', 'n/a') THEN {x} "
+        f"CASE WHEN lower({x}) IN {in_list(('', *NULL_WORDS))} THEN {x} "
         f"WHEN contains({plain}, '@') THEN split_part({plain}, '@', 1) || '@' || "
         f"CASE {domain} {cases} ELSE {domain} END ELSE {plain} END"
     )
@@ -59,7 +61,7 @@ def date(x: str) -> str:
 
 
 def number(x: str) -> str:
-    return f"TRY_CAST(regexp_replace({x}, '[₹$,€£ ]', '', 'g') AS DOUBLE)"
+    return f"TRY_CAST(regexp_replace({x}, '{CURRENCY}', '', 'g') AS DOUBLE)"
 
 
 def in_list(words) -> str:

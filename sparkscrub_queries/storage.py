@@ -8,7 +8,7 @@ import sparkscrub as ss
 from sparkscrub.session import fresh_path
 from sparkscrub.sinks.writers import json_safe, write_extracted
 from sparkscrub.sources import grids
-from sparkscrub.sources.delimited import infer_types, na_to_null, sniff
+from sparkscrub.sources.delimited import NA_TOKENS, infer_types, na_to_null, sniff
 from sparkscrub.sources.rowid import parquet_place, with_file_index
 from sparkscrub.sources.sqldump import parse_dump
 from sparkscrub.streaming.clean_stream import write_clean_stream
@@ -28,7 +28,7 @@ def csv_round_trip(spark, sf):
     return ss.read_delimited(spark, path).data.drop("_row_index")
 
 
-_NA = q.in_list(("", "N/A", "NA", "null", "NULL", "NaN", "nan", "None", "n/a", "#N/A", "<NA>"))
+_NA = q.in_list(NA_TOKENS)
 _CSV_BACK = q.with_(
     PEOPLE_SQL,
     "SELECT customer_id, "
@@ -47,6 +47,67 @@ def csv_row_order(spark, sf):
     return dense_index(ss.read_delimited(spark, path).data)
 
 
+def _text_files(spark, rows, header: str, line, label: str, order: str, files: int = 3, ending: str = "") -> str:
+    """Rows written as lines of text under a header, in several files."""
+    path = fresh_path(spark, label) + ending
+    parts = rows.repartitionByRange(files, order).sortWithinPartitions(order)
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    parts.select(F.when(place == 0, F.concat(F.lit(header + "\n"), line)).otherwise(line).alias("value")).write.text(path)
+    return path
+
+
+def csv_multiline(spark, sf):
+    """Customers whose names run over two lines, beside quotes that open nothing."""
+    line = F.concat("c_custkey", F.lit(',"'), "c_name", F.lit("\n"), "c_mktsegment", F.lit(', ""x""",5" '), "c_custkey")
+    path = _text_files(spark, table(spark, sf, "customer"), "id,name,size", line, "csv-lines", "c_custkey")
+    return ss.read_delimited(spark, path).data.drop("_row_index")
+
+
+def csv_stray_quote(spark, sf):
+    """Quotes within fields, and one at the end of each file that nothing closes."""
+    c = table(spark, sf, "customer").withColumn("last", F.col("c_custkey") % 500 == 499)
+    line = F.concat("c_custkey", F.when(F.col("last"), F.lit(',"')).otherwise(F.lit(',5" ')), "c_name", F.when(F.col("last"), F.lit("\n")).otherwise(F.lit("")))
+    path = fresh_path(spark, "csv-stray")
+    parts = c.withColumn("file", F.floor(F.col("c_custkey") / 500)).repartition("file").sortWithinPartitions("file", "c_custkey")
+    head = F.when(F.col("c_custkey") % 500 == 0, F.lit("id,size\n")).otherwise(F.lit(""))
+    parts.select("file", F.concat(head, line).alias("value")).write.partitionBy("file").text(path)
+    return ss.read_delimited(spark, [f"{path}/*"]).data.drop("_row_index")
+
+
+def csv_bad_rows(spark, sf):
+    """Rows with more fields than the header are told with their text, the others read."""
+    n = F.col("c_custkey")
+    line = F.concat(n, F.lit(";"), "c_name", F.when(n % 9 == 0, F.lit(";too;many")).otherwise(F.lit("")))
+    read = ss.read_delimited(spark, _text_files(spark, table(spark, sf, "customer"), "id;name", line, "csv-bad", "c_custkey"))
+    good = read.data.select(F.col("id").cast("string").alias("id"), "name", F.lit(None).cast("string").alias("text"))
+    return good.unionByName(read.bad_rows.select(F.lit(None).cast("string").alias("id"), F.lit(None).cast("string").alias("name"), "text"))
+
+
+def csv_mixed_files(spark, sf):
+    """One folder with files of their own delimiter, encoding and columns, read as one table."""
+    path = fresh_path(spark, "csv-mixed")
+    c, s = table(spark, sf, "customer"), table(spark, sf, "supplier")
+    c.select(F.col("c_custkey").alias("id"), F.concat(F.lit("Café "), "c_name").alias("name")).coalesce(1).write.csv(
+        f"{path}/a", header=True, sep=";", encoding="ISO-8859-1")
+    s.select(F.col("s_suppkey").alias("id"), F.concat(F.lit("Größe "), "s_name").alias("name"), F.col("s_nationkey").alias("nation")).coalesce(1).write.csv(
+        f"{path}/b", header=True, sep="|")
+    read = ss.read_delimited(spark, [f"{path}/a", f"{path}/b"])
+    kinds = sorted((f["encoding"], f["delimiter"]) for f in read.formats)
+    return read.data.drop("_row_index").withColumn("kinds", F.lit(str(kinds)))
+
+
+def read_by_name(spark, sf):
+    """Nations as delimited text, as parquet and as a dump, each read by what its name ends in."""
+    n = table(spark, sf, "nation").select("n_nationkey", "n_name")
+    base = fresh_path(spark, "named")
+    ss.write_csv(n, f"{base}/n.CSV")
+    n.write.parquet(f"{base}/n.pq")
+    n.select(F.concat(F.lit("INSERT INTO nations (n_nationkey, n_name) VALUES ("), "n_nationkey", F.lit(", '"), "n_name", F.lit("');")).alias("value")).write.text(f"{base}/n.sql")
+    parts = [ss.read_table(spark, f"{base}/n{end}", row_index=False).select(F.col("n_nationkey").cast("bigint").alias("n_nationkey"), "n_name", F.lit(end).alias("ending"))
+             for end in (".CSV", ".pq", ".sql")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def parquet_round_trip(spark, sf):
     path = fresh_path(spark, "parquet")
     ss.write_parquet(table(spark, sf, "events"), path, compression="zstd")
@@ -352,6 +413,29 @@ QUERIES = {
         """SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS _row_index, p_partkey, CAST(p_size AS BIGINT) AS p_size,
         p_retailprice FROM part""",
     ),
+    "csv_multiline": (
+        csv_multiline,
+        """SELECT CAST(c_custkey AS BIGINT) AS id, c_name || chr(10) || c_mktsegment || ', "x"' AS name, '5" ' || c_custkey AS size FROM customer""",
+    ),
+    "csv_stray_quote": (
+        csv_stray_quote,
+        """SELECT CAST(c_custkey AS BIGINT) AS id, CASE WHEN c_custkey % 500 = 499 THEN '"' ELSE '5" ' END || c_name AS size FROM customer""",
+    ),
+    "csv_bad_rows": (
+        csv_bad_rows,
+        """SELECT CASE WHEN c_custkey % 9 <> 0 THEN CAST(c_custkey AS STRING) END AS id, CASE WHEN c_custkey % 9 <> 0 THEN c_name END AS name,
+        CASE WHEN c_custkey % 9 = 0 THEN c_custkey || ';' || c_name || ';too;many' END AS text FROM customer""",
+    ),
+    "csv_mixed_files": (
+        csv_mixed_files,
+        """SELECT *, '[(''cp1252'', '';''), (''utf-8'', ''|'')]' AS kinds FROM (
+        SELECT CAST(c_custkey AS BIGINT) AS id, 'Café ' || c_name AS name, CAST(NULL AS BIGINT) AS nation FROM customer
+        UNION ALL SELECT s_suppkey, 'Größe ' || s_name, s_nationkey FROM supplier)""",
+    ),
+    "read_by_name": (
+        read_by_name,
+        "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, ending FROM nation, (SELECT unnest(['.CSV', '.pq', '.sql']) AS ending)",
+    ),
     "parquet_round_trip": (
         parquet_round_trip, "SELECT event_id, ts, user_id, event_type, value, props FROM events",
     ),

@@ -1,4 +1,5 @@
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -103,6 +104,68 @@ def test_parquet_round_trip_and_info(spark, tmp_path, table):
     assert info["file_size_bytes"] > 0
 
 
+def by_pandas_rules(text, delimiter=","):
+    """Records of delimited text: a quote opens a field only at its beginning."""
+    rows, row, cell, state = [], [], "", "start"
+    for c in text:
+        if state == "quoted":
+            if c == '"':
+                state = "maybe"
+            else:
+                cell += c
+        elif c == '"' and state in ("start", "maybe"):
+            cell += '"' if state == "maybe" else ""
+            state = "quoted"
+        elif c in (delimiter, "\n"):
+            row.append(cell)
+            cell, state = "", "start"
+            if c == "\n":
+                rows.append(row)
+                row = []
+        else:
+            cell, state = cell + c, "plain"
+    return [r for r in rows if r != [""]]
+
+
+def test_fields_that_run_over_lines(spark, tmp_path):
+    rng = random.Random(5)
+    for n in range(3):
+        cells = ['"a, b"', 'x', '"two\nlines"', '5"', '"say ""hi""\n\n, there"', 'q" r "s', '""', "7"]
+        body = "".join(f"{i},{rng.choice(cells)},{rng.choice(cells)}\n" for i in range(300))
+        text = "id,one,two\n" + body
+        path = put(tmp_path / f"f{n}.csv", text)
+        old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+        try:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+            read = ss.read_delimited(spark, path, delimiter=",", infer=False)
+            got = [[x or "" for x in r[1:]] for r in read.data.orderBy("_row_index").collect()]
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        assert got == by_pandas_rules(text)[1:] and read.bad_rows.collect() == []
+        assert [r["id"] for r in read.data.orderBy("_row_index").collect()] == [str(i) for i in range(300)]
+
+
+def test_quotes_that_open_nothing(spark, tmp_path):
+    plain = ss.read_delimited(spark, put(tmp_path / "a.csv", 'id,size\n1,5" pipe\n2,6" pipe\n3,x\n'))
+    assert [f["multi_line"] for f in plain.formats] == [False]
+    assert rows(plain.data) == [(1, '5" pipe'), (2, '6" pipe'), (3, "x")]
+    cut = ss.read_delimited(spark, put(tmp_path / "b.csv", 'id,size\n1,"5\n2,y\n3,z\n'))
+    assert rows(cut.data) == [(1, '"5'), (2, "y"), (3, "z")] and cut.bad_rows.collect() == []
+    for i in range(3):  # read in one task
+        put(tmp_path / "s" / f"{i}.csv", f'id,size\n{2 * i},x\n{2 * i + 1},"y\n\n')
+    several = ss.read_delimited(spark, str(tmp_path / "s")).data.orderBy("_row_index")
+    assert rows(several) == [(i, '"y' if i % 2 else "x") for i in range(6)]
+
+
+def test_formats_of_one_name_are_tables_of_their_own(spark, tmp_path):
+    put(tmp_path / "s" / "a.csv", "x,y\n1,2\n")
+    spark.range(3).coalesce(1).write.parquet(str(tmp_path / "p"))
+    part = next(f for f in os.listdir(tmp_path / "p") if f.endswith(".parquet"))
+    os.link(tmp_path / "p" / part, tmp_path / "s" / "a.parquet")
+    back = ss.read_table_set(spark, str(tmp_path / "s"), row_index=False)
+    assert {n: (t.columns, t.count()) for n, t in back.items()} == {"a": (["x", "y"], 1), "a (parquet)": (["id"], 3)}
+
+
 def test_row_index_of_several_parquet_files(spark, tmp_path):
     spark.range(100).repartitionByRange(4, "id").write.parquet(str(tmp_path / "p"))
     got = [r["id"] for r in ss.read_parquet(spark, str(tmp_path / "p")).orderBy("_row_index").collect()]
