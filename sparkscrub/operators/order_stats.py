@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from decimal import Decimal
 from typing import Any
 
@@ -40,25 +41,108 @@ def column_means(df: DataFrame, names: list[str]) -> dict[str, float | None]:
     return {n: row[f"v{i}"] for i, n in enumerate(names)}
 
 
-def column_medians(df: DataFrame, names: list[str], small: int = SMALL) -> dict[str, float | None]:
-    """Exact median of every named column.
+def column_medians(df: DataFrame, names: list[str], small: int | None = None) -> dict[str, float | None]:
+    """Exact median of every named column: the middle ranks of all columns are searched together."""
+    found = _middles(_numeric(df, names), names, small)
+    return {n: None if ends is None else sum(ends) / len(ends) for n, ends in found.items()}
 
-    Columns with few values are done together by the built-in aggregate. A longer column is
-    narrowed: an approximate percentile sketch brackets the middle, one pass counts the rows
-    around the bracket, and so on until the bracket holds at most ``small`` rows.
-    """
+
+def _middles(values: DataFrame, names: list[str], small: int | None) -> dict[str, list | None]:
+    """The one or two middle values of columns v0, v1, ...; None where there are no values."""
     if not names:
         return {}
-    values = _numeric(df, names)
-    counts = values.agg(*[F.count(c).alias(c) for c in values.columns]).first().asDict()
-    direct = [c for c in values.columns if 0 < counts[c] <= small]
-    found: dict[str, float | None] = dict.fromkeys(values.columns)
-    if direct:
-        found |= values.agg(*[F.median(c).alias(c) for c in direct]).first().asDict()
-    for c in values.columns:
-        if counts[c] > small:
-            found[c] = _long_median(values.select(F.col(c).alias("v")).filter("v IS NOT NULL"), counts[c], small)
-    return {n: found[f"v{i}"] for i, n in enumerate(names)}
+    counts = values.agg(*[F.count(c).alias(c) for c in values.columns]).first()
+    targets = [(i, n, k) for i, n in enumerate(counts) if n for k in sorted({(n - 1) // 2, n // 2})]
+    found = ranked_values(values, targets, small)
+    return {name: [v for (at, _, _), v in zip(targets, found) if at == i] or None for i, name in enumerate(names)}
+
+
+@dataclass
+class _Search:
+    """One rank that is searched: open bounds, the values at or below the lower one, and those between."""
+
+    column: str
+    rank: int
+    inside: int
+    low: Any = None
+    high: Any = None
+    below: int = 0
+    found: Any = None
+
+    def between(self) -> Column:
+        v = F.col(self.column)
+        fits = v.isNotNull()
+        if self.low is not None:
+            fits &= v > F.lit(self.low)
+        return fits if self.high is None else fits & (v < F.lit(self.high))
+
+    def narrow(self, a: Any, b: Any, under: int, at_a: int, middle: int, at_b: int) -> None:
+        """Go on below a, between a and b, or above b, by how many values lie there."""
+        rank = self.rank - self.below
+        passed = under + at_a
+        if rank < under:
+            self.high, self.inside = a, under
+        elif rank < passed:
+            self.found = a
+        elif rank < passed + middle:
+            self.low, self.high, self.below, self.inside = a, b, self.below + passed, middle
+        elif rank < passed + middle + at_b:
+            self.found = b
+        else:
+            passed += middle + at_b
+            self.low, self.below, self.inside = b, self.below + passed, self.inside - passed
+
+
+def ranked_values(values: DataFrame, targets: list[tuple[int, int, int]], small: int | None = None) -> list:
+    """For each target (position of a numeric column, its number of values, k) the ``k``-th smallest value from 0.
+
+    All targets are narrowed together: a round is one aggregation for sketches that bracket every rank, one that
+    moves the brackets to values that are there, and one that counts around them. The number of
+    jobs does not depend on the number of columns. What is left, at most ``small`` values each, is sorted by target.
+    """
+    small = SMALL if small is None else small
+    searches = [_Search(values.columns[i], k, n) for i, n, k in targets]
+    while True:
+        open_ = [s for s in searches if s.found is None and s.inside > small]
+        if not open_:
+            break
+        sketches = []
+        for s in open_:
+            share, slack = (s.rank - s.below) / s.inside, 2 / _ACCURACY
+            ends = [max(0.0, share - slack), min(1.0, share + slack)]
+            sketches.append(F.percentile_approx(F.when(s.between(), F.col(s.column)), ends, _ACCURACY))
+        brackets = values.agg(*[x.alias(f"x{j}") for j, x in enumerate(sketches)]).first()
+        near = []
+        for s, (a, b) in zip(open_, brackets):
+            v, fits = F.col(s.column), s.between()
+            near += [F.coalesce(F.max(F.when(fits & (v <= F.lit(a)), v)), F.min(F.when(fits, v))),
+                     F.coalesce(F.min(F.when(fits & (v >= F.lit(b)), v)), F.max(F.when(fits, v)))]
+        ends = values.agg(*[x.alias(f"x{j}") for j, x in enumerate(near)]).first()
+        sums = []
+        for j, s in enumerate(open_):
+            v, fits, a, b = F.col(s.column), s.between(), F.lit(ends[2 * j]), F.lit(ends[2 * j + 1])
+            sums += [F.count_if(fits & (v < a)), F.count_if(v == a), F.count_if((v > a) & (v < b)), F.count_if((v == b) & (b > a))]
+        counts = values.agg(*[x.alias(f"x{j}") for j, x in enumerate(sums)]).first()
+        for j, s in enumerate(open_):
+            s.narrow(ends[2 * j], ends[2 * j + 1], *counts[4 * j:4 * j + 4])
+    left = [(j, s) for j, s in enumerate(searches) if s.found is None]
+    if left:
+        arrays = _picked(values, [s for _, s in left])
+        for (_, s), v in zip(left, arrays):
+            s.found = v
+    return [s.found for s in searches]
+
+
+def _picked(values: DataFrame, searches: list[_Search]) -> list:
+    """What each search ends at: what is left of it is dealt by target and sorted, a target in one task."""
+    scale = max([values.schema[s.column].dataType.scale for s in searches if isinstance(values.schema[s.column].dataType, T.DecimalType)], default=None)
+    to = "double" if scale is None else f"decimal(38,{scale})"
+    cells = [F.struct(F.lit(j).alias("target"), F.when(s.between(), F.col(s.column)).cast(to).alias("v")) for j, s in enumerate(searches)]
+    rank = F.element_at(F.array(*[F.lit(s.rank - s.below) for s in searches]), F.col("target") + 1).cast("int")
+    each = values.select(F.inline(F.array(*cells))).where("v IS NOT NULL")
+    rows = each.groupBy("target").agg(F.sort_array(F.collect_list("v")).alias("v")).select("target", F.get("v", rank).alias("v")).collect()
+    found = {r["target"]: r["v"] for r in rows}
+    return [found[j] for j in range(len(searches))]
 
 
 def exact_means(df: DataFrame, names: list[str]) -> dict[str, Decimal | None]:
@@ -71,32 +155,15 @@ def exact_means(df: DataFrame, names: list[str]) -> dict[str, Decimal | None]:
 
 def exact_medians(df: DataFrame, names: list[str], small: int | None = None) -> dict[str, Decimal | None]:
     """Medians of whole-number and DECIMAL columns in decimal arithmetic."""
-    if not names:
-        return {}
-    counts = df.agg(*[F.count(col(n)).alias(f"v{i}") for i, n in enumerate(names)]).first()
-    found: dict[str, Decimal | None] = dict.fromkeys(names)
-    for name, n in zip(names, counts):
-        if n:
-            values = df.select(col(name).cast(_decimal(dtype(df, name))).alias("v")).filter("v IS NOT NULL")
-            ends = [nth_value(values, n, k, small) for k in {(n - 1) // 2, n // 2}]
-            found[name] = sum(ends) / len(ends)
-    return found
+    values = df.select([col(n).cast(_decimal(dtype(df, n))).alias(f"v{i}") for i, n in enumerate(names)])
+    found = _middles(values, names, small)
+    return {n: None if ends is None else sum(ends) / len(ends) for n, ends in found.items()}
 
 
 def _decimal(dt: T.DataType) -> T.DataType:
     return dt if isinstance(dt, T.DecimalType) else T.DecimalType(20, 0)
 
 
-def _long_median(values: DataFrame, n: int, small: int) -> float:
-    v = F.col("v")
-    low = nth_value(values, n, (n - 1) // 2, small)
-    if n % 2:
-        return low
-    at_most, above = values.agg(F.count_if(v <= low), F.min(F.when(v > low, v))).first()
-    high = low if at_most > n // 2 else above
-    return (low + high) / 2
-
-
 def nth_value(values: DataFrame, n: int, k: int, small: int | None = None) -> float:
     """The ``k``-th smallest (from 0) of the ``n`` non-null numbers (or times) in column ``v``."""
     small = SMALL if small is None else small

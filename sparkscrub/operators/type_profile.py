@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,10 +15,10 @@ from sparkscrub.functions.columns import (
 )
 from sparkscrub.functions.numbers import drop_currency, parse_double
 from sparkscrub.operators.emails import VALID_EMAIL
-from sparkscrub.operators.order_stats import nth_value
 
 SAMPLE_SIZE = 100
 NEAR_ROWS = 1 << 16
+RANGE_BITS = 12
 
 # Words in a column's name that decide its type.
 NAME_WORDS = {
@@ -75,8 +76,8 @@ def first_values(
     """The first ``n`` non-null values of each named column: (position, row_index, value).
 
     They nearly always lie among the first rows, and an index range of ``near`` holds at most
-    as many rows. So that range is looked at first, and only the columns it does not settle
-    are searched for the index of their ``n``-th value. No more than that is ever sorted.
+    as many rows. So that range is looked at first, and only for the columns it does not settle
+    two more scans, whatever their number, find where their ``n``-th value is and read up to there.
     """
     require_index(df, index)
     place = col(index).cast("bigint")
@@ -93,14 +94,21 @@ def first_values(
         nth = F.row_number().over(Window.partitionBy("position").orderBy("row_index"))
         values = rows.select("row_index", F.inline(F.array(*cells))).filter("value IS NOT NULL")
         parts.append(values.withColumn("nth", nth).filter(F.col("nth") <= n).select("position", "row_index", "value"))
-    for i in sorted(set(range(len(names))) - set(settled)):
-        present = df.filter(col(names[i]).isNotNull())
-        total = present.count()
-        if total > n:
-            present = present.filter(place <= nth_value(present.select(place.alias("v")), total, n - 1))
-        parts.append(
-            present.select(F.lit(i).alias("position"), place.alias("row_index"), col(names[i]).cast("string").alias("value"))
-        )
+    sparse = sorted(set(range(len(names))) - set(settled))
+    if sparse:
+        # One scan counts all these columns in some thousand ranges of the index, one reads up to where each has n values.
+        bits = max(0, int(high - low).bit_length() - RANGE_BITS)
+        ranges = df.groupBy(F.shiftright(place - low, bits).alias("r")).agg(*[F.count(col(names[i])).alias(f"n{i}") for i in sparse]).orderBy("r").collect()
+        cells, last = [], low
+        for i in sparse:
+            seen = list(itertools.accumulate(r[f"n{i}"] for r in ranges))
+            at = next((r["r"] for r, total in zip(ranges, seen) if total >= n), ranges[-1]["r"])
+            end = low + ((at + 1) << bits)
+            last = max(last, end)
+            cells.append(F.struct(F.lit(i).alias("position"), F.when(place < end, col(names[i]).cast("string")).alias("value")))
+        nth = F.row_number().over(Window.partitionBy("position").orderBy("row_index"))
+        values = df.filter(place < last).select(place.alias("row_index"), F.inline(F.array(*cells))).filter("value IS NOT NULL")
+        parts.append(values.withColumn("nth", nth).filter(F.col("nth") <= n).select("position", "row_index", "value"))
     return reduce(DataFrame.unionByName, parts)
 
 

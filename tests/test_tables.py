@@ -8,6 +8,7 @@ from sparkscrub.operators import order_stats
 from sparkscrub.operators.dedupe import first_duplicate_rows
 from sparkscrub.operators.ordered_fill import ordered_fill
 from sparkscrub.operators.running import dense_index, running_total
+from sparkscrub.operators.type_profile import first_values
 
 
 def cells(df, name="v"):
@@ -94,6 +95,43 @@ def test_long_median_is_exact(spark, n):
     assert order_stats.column_medians(df, ["v"], small=10) == {"v": want}
 
 
+def jobs_of(spark, run):
+    """What ``run`` returns, and how many jobs it took."""
+    group = f"jobs-{id(run)}"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        return run(), len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setJobGroup("", "")
+
+
+def test_medians_of_many_columns_take_as_many_jobs_as_of_few(spark):
+    wide = spark.range(3000).selectExpr(*[f"CASE WHEN id % {i + 2} = 1 THEN NULL ELSE pmod(xxhash64(id, {i}), 1000 * {i} + 7) END AS c{i}" for i in range(40)])
+    rows = wide.collect()
+    taken = {}
+    for n in (3, 40):
+        names = wide.columns[:n]
+        found, taken[n] = jobs_of(spark, lambda: order_stats.column_medians(wide, names, small=100))
+        for c in names:
+            ordered = sorted(r[c] for r in rows if r[c] is not None)
+            assert found[c] == (ordered[(len(ordered) - 1) // 2] + ordered[len(ordered) // 2]) / 2
+        exact, _ = jobs_of(spark, lambda: order_stats.exact_medians(wide, names, small=100))
+        assert {c: float(v) for c, v in exact.items()} == found
+    assert taken[40] <= 2 * taken[3] < 40  # by round, not by column
+
+
+def test_first_values_of_many_sparse_columns(spark):
+    wide = spark.range(5000).selectExpr("id AS _row_index", *[f"CASE WHEN id % {97 + i} = {i} THEN id * {i} END AS c{i}" for i in range(30)])
+    rows = wide.collect()
+    taken = {}
+    for n in (3, 30):
+        names = wide.columns[1:n + 1]
+        got, taken[n] = jobs_of(spark, lambda: [tuple(r) for r in first_values(wide, names, n=20, near=16).collect()])
+        want = [(i, r["_row_index"], str(r[c])) for i, c in enumerate(names) for r in [x for x in rows if x[c] is not None][:20]]
+        assert sorted(got) == sorted(want)
+    assert taken[30] == taken[3]
+
+
 def test_nth_value_everywhere(spark):
     values = [float(v) for v in [5] * 40 + list(range(100)) + [7.5] * 40]
     df = spark.createDataFrame([(v,) for v in values], "v double")
