@@ -27,4 +27,4 @@ from sparkscrub.session import build_session, release
 from sparkscrub.sources.delimited import read_delimited
 from sparkscrub.sources.readers import file_info, format_of, read_parquet, read_table, read_table_set
 from sparkscrub.sources.sqldump import read_sql_dump
-from sparkscrub.sinks.writers import write_csv, write_json, write_parquet, write_table_set
+from sparkscrub.sinks.writers import write_csv, write_grid, write_json, write_parquet, write_table_set

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from sparkscrub.functions.columns import ROW_INDEX, col, is_float, is_nested
 from sparkscrub.functions.numbers import finite_or_null
 from sparkscrub.operators.tables import DISJOINT, TableSet, schemas_match, union_tables
+from sparkscrub.sources import grids
 
 _NOT_STORABLE = (T.NullType, T.DayTimeIntervalType, T.YearMonthIntervalType, T.VariantType)
 
@@ -52,18 +53,18 @@ def json_safe(df: DataFrame) -> DataFrame:
     return df.select([safe(col(f.name), f.dataType).alias(f.name) for f in df.schema if f.name != ROW_INDEX])
 
 
-def write_parquet(df: DataFrame, path: str, compression: str = "snappy", mode: str = "errorifexists") -> None:
-    storable(df).write.mode(mode).option("compression", compression).parquet(path)
+def write_parquet(df: DataFrame, path: str, compression: str = "snappy", mode: str = "errorifexists", by: tuple[str, ...] = ()) -> None:
+    storable(df).write.mode(mode).partitionBy(*by).option("compression", compression).parquet(path)
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Header, no row index, spaces kept, quotes doubled as the reader expects them."""
+def write_csv(df: DataFrame, path: str, mode: str = "errorifexists", by: tuple[str, ...] = ()) -> None:
+    """Header, no row index, spaces kept, quotes doubled as the reader expects them; a folder for each value of ``by``."""
     options = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
-    flat(df).write.mode(mode).options(**options).csv(path)
+    flat(df).write.mode(mode).partitionBy(*by).options(**options).csv(path)
 
 
-def write_json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    json_safe(df).write.mode(mode).option("ignoreNullFields", "false").json(path)
+def write_json(df: DataFrame, path: str, mode: str = "errorifexists", by: tuple[str, ...] = ()) -> None:
+    json_safe(df).write.mode(mode).partitionBy(*by).option("ignoreNullFields", "false").json(path)
 
 
 _WRITERS = {"parquet": write_parquet, "csv": write_csv, "json": write_json}
@@ -94,6 +95,28 @@ def write_extracted(tables: TableSet, directory: str, fmt: str = "csv", mode: st
     return write_table_set(tables, directory, fmt, mode)
 
 
+def write_grid(grid: DataFrame, doc_id, directory: str, fmt: str = "csv", mode: str = "errorifexists") -> dict[str, str]:
+    """The extracted tables of one document: one table if all headers are equal, else a folder for each table.
+
+    One scan and one write for each header that occurs, whatever the number of tables."""
+    mine = grid.filter(F.col("doc_id") == doc_id)
+    heads = grids.table_heads(mine)
+    frames = grids.rows_by_header(mine, heads)
+    base = directory.rstrip("/")
+    if len(frames) == 1:
+        _WRITERS[fmt](next(iter(frames.values())).drop("table_name"), f"{base}/converted", mode=mode)
+        return {"converted": f"{base}/converted"}
+    paths = {}
+    folders = directory_names([r["name"] for r in heads.collect()])
+    labels = F.create_map(*[F.lit(x) for pair in folders.items() for x in pair]) if folders else None
+    for k, (names, df) in enumerate(frames.items()):
+        placed = df.withColumn("_folder", F.element_at(labels, F.col("table_name"))).drop("table_name")
+        _WRITERS[fmt](placed, f"{base}/header_{k}", mode=mode, by=("_folder",))
+        here = {r["name"] for r in heads.filter(F.col("names") == F.array(*[F.lit(n) for n in names])).collect()}
+        paths |= {n: f"{base}/header_{k}/_folder={d}" for n, d in folders.items() if n in here}
+    return paths
+
+
 def write(df: DataFrame, path: str, fmt: str, **options) -> None:
     _WRITERS[fmt](df, path, **options)
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sparkscrub.functions import text
 from sparkscrub.functions.columns import ROW_INDEX
+from sparkscrub.session import written_table
 
 KEYS = ["doc_id", "page", "table"]
 PREVIEW_ROWS = 5
@@ -43,9 +44,8 @@ def clean_cells(cells: Column, width: Column) -> Column:
 
 def headers(grid: DataFrame) -> DataFrame:
     """One row per extracted table: its first row number and clean column names."""
-    first = grid.groupBy(*KEYS).agg(F.min("row_no").alias("row_no"))
-    top = grid.join(first, [*KEYS, "row_no"])
-    plain = top.select(*KEYS, F.col("row_no").alias("header_no"), plain_header(F.col("cells")).alias("plain"))
+    top = grid.groupBy(*KEYS).agg(F.min("row_no").alias("header_no"), F.min_by("cells", "row_no").alias("cells"))
+    plain = top.select(*KEYS, "header_no", plain_header(F.col("cells")).alias("plain"))
     return plain.select(*KEYS, "header_no", distinct_header(F.col("plain")).alias("names"))
 
 
@@ -66,14 +66,19 @@ def table_name(page: Column, table: Column, names: Column) -> Column:
     return F.when(F.length(tag) > 0, F.concat(plain, F.lit(" ("), tag, F.lit(")"))).otherwise(plain)
 
 
-def inspect_grids(grid: DataFrame, preview_rows: int = PREVIEW_ROWS) -> DataFrame:
-    """One row per table that has data: id, name, sizes, names, first rows, document totals."""
+def _tables(grid: DataFrame, preview_rows: int = PREVIEW_ROWS) -> DataFrame:
+    """One row per table that has data, written: (keys, rows, header_no, names, top), ``top`` its first rows with the header."""
     counted = grid.groupBy(*KEYS).agg((F.count(F.lit(1)) - 1).alias("rows")).filter("rows > 0")
     nth = F.row_number().over(Window.partitionBy(*KEYS).orderBy("row_no"))
     first = grid.select(*KEYS, "row_no", "cells").withColumn("nth", nth).filter(F.col("nth") <= preview_rows + 1)
-    top = first.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("nth", "cells"))).getField("cells").alias("top"))
+    top = first.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("nth", "cells"))).getField("cells").alias("top"), F.min("row_no").alias("header_no"))
     plain = counted.join(top, KEYS).withColumn("plain", plain_header(F.col("top")[0]))
-    tables = plain.withColumn("names", distinct_header(F.col("plain")))
+    return written_table(plain.withColumn("names", distinct_header(F.col("plain"))).drop("plain"), "grid-tables")
+
+
+def inspect_grids(grid: DataFrame, preview_rows: int = PREVIEW_ROWS) -> DataFrame:
+    """One row per table that has data: id, name, sizes, names, first rows, document totals."""
+    tables = _tables(grid, preview_rows)
     shown = F.transform(F.slice("top", 2, preview_rows), lambda r: clean_cells(r, F.size("names")))
     document = tables.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("total_tables"), (F.min("names") == F.max("names")).alias("columns_match")
@@ -98,18 +103,32 @@ def inspect_grids(grid: DataFrame, preview_rows: int = PREVIEW_ROWS) -> DataFram
 def grid_tables(grid: DataFrame, doc_id) -> dict[str, DataFrame]:
     """The tables of one document as a table set, in page order, empty ones left out."""
     mine = grid.filter(F.col("doc_id") == doc_id)
-    info = inspect_grids(mine).select("name", "page_number", "table_index", "column_names")
     tables = {}
-    for t in info.orderBy("page_number", "table_index").collect():
-        part = mine.filter((F.col("page") == t["page_number"]) & (F.col("table") == t["table_index"]))
-        tables[t["name"]] = _shaped(part, t["column_names"])
+    for t in table_heads(mine).collect():
+        part = mine.filter((F.col("page") == t["page"]) & (F.col("table") == t["table"]) & (F.col("row_no") > t["header_no"]))
+        cells = clean_cells(F.col("cells"), F.lit(len(t["names"])))
+        rows = part.select((F.col("row_no") - t["header_no"] - 1).cast("bigint").alias(ROW_INDEX), cells.alias("c"))
+        tables[t["name"]] = rows.select(ROW_INDEX, *[F.col("c")[i].alias(n) for i, n in enumerate(t["names"])])
     return tables
 
 
-def _shaped(part: DataFrame, names: list[str]) -> DataFrame:
-    first = part.agg(F.min("row_no")).first()[0]
-    cells = clean_cells(F.col("cells"), F.lit(len(names)))
-    rows = part.filter(F.col("row_no") > first).select(
-        (F.col("row_no") - first - 1).cast("bigint").alias(ROW_INDEX), cells.alias("c")
-    )
-    return rows.select(ROW_INDEX, *[F.col("c")[i].alias(n) for i, n in enumerate(names)])
+def table_heads(grid: DataFrame) -> DataFrame:
+    """(keys, header_no, names, name) of every table that has data, in page order."""
+    named = _tables(grid, 0).select(*KEYS, "header_no", "names", table_name(F.col("page"), F.col("table"), F.col("names")).alias("name"))
+    return named.orderBy(*KEYS)
+
+
+def rows_by_header(grid: DataFrame, heads: DataFrame) -> dict[tuple, DataFrame]:
+    """The rows of all tables, one frame for each header that occurs: (``table_name``, row index within it, columns...).
+
+    Tables of one header come from one scan, however many they are."""
+    signatures = [r["names"] for r in heads.select("names").distinct().collect()]
+    known = heads.select(*KEYS, "header_no", F.col("names").alias("head"), F.col("name").alias("table_name"))
+    joined = grid.join(known, KEYS).filter(F.col("row_no") > F.col("header_no"))
+    frames = {}
+    for names in signatures:
+        mine = joined.filter(F.col("head") == F.array(*[F.lit(n) for n in names]))
+        cells = clean_cells(F.col("cells"), F.lit(len(names)))
+        rows = mine.select("table_name", (F.col("row_no") - F.col("header_no") - 1).cast("bigint").alias(ROW_INDEX), cells.alias("c"))
+        frames[tuple(names)] = rows.select("table_name", ROW_INDEX, *[F.col("c")[i].alias(n) for i, n in enumerate(names)])
+    return frames

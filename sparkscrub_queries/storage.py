@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 import sparkscrub as ss
 from sparkscrub.session import fresh_path
-from sparkscrub.sinks.writers import json_safe, write_extracted
+from sparkscrub.sinks.writers import json_safe, write_grid
 from sparkscrub.sources import grids
 from sparkscrub.sources.delimited import NA_TOKENS, infer_types, na_to_null, sniff
 from sparkscrub.sources.rowid import parquet_place, with_file_index
@@ -300,15 +303,34 @@ _GRID_INSPECT = q.with_(
 )
 
 
+_GRID_COLUMNS = {"Order Key": "order_key", "Status (code)": "status", "Price": "price", "Column_4": "priority", "Price_1": "fifth"}
+
+
 def grid_export(spark, sf):
     """All orders as one document: its tables are combined, written as one CSV and read back."""
     path = fresh_path(spark, "extracted")
-    paths = write_extracted(grids.grid_tables(grid(spark, sf, doc="1L"), 1), path, "csv")
+    paths = write_grid(grid(spark, sf, doc="1L"), 1, path, "csv")
     back = spark.read.option("header", True).csv(list(paths.values()))
-    return back.select(F.col("Order Key").alias("order_key"), F.col("Price").alias("price"))
+    return back.select(*[F.col(f"`{c}`").alias(n) for c, n in _GRID_COLUMNS.items()])
 
 
-_GRID_EXPORT = q.with_(_GRID_SQL, "SELECT order_key, price FROM cells")
+def grid_export_apart(spark, sf):
+    """The same where odd years have a header of their own: a folder for each table."""
+    path = fresh_path(spark, "extracted")
+    cells = grid(spark, sf, doc="1L")
+    odd = F.transform("cells", lambda c: F.when(c == "Price", "Cost").otherwise(c))
+    paths = write_grid(cells.withColumn("cells", F.when(F.col("page") % 2 == 1, odd).otherwise(F.col("cells"))), 1, path, "parquet")
+    parts = [spark.read.parquet(p).withColumn("name", F.lit(n)) for n, p in sorted(paths.items())]
+    told = [p.select("name", F.lit(",".join(p.columns)).alias("columns"), F.col("`Order Key`").alias("order_key")) for p in parts]
+    return reduce(DataFrame.unionByName, told)
+
+
+_GRID_EXPORT = q.with_(_GRID_SQL, "SELECT order_key, status, price, priority, CAST(NULL AS STRING) AS fifth FROM cells")
+_GRID_APART = q.with_(
+    _GRID_SQL,
+    """SELECT 'Page ' || page || ' - Table 1 (Order Key)' AS name, order_key,
+    CASE WHEN page % 2 = 1 THEN 'Order Key,Status (code),Cost,Column_4,Cost_1,name' ELSE 'Order Key,Status (code),Price,Column_4,Price_1,name' END AS columns
+    FROM cells""")
 
 # ---- SQL dumps ----------------------------------------------------------------------------
 
@@ -511,6 +533,7 @@ QUERIES = {
     "grid_to_table": (grid_to_table, _GRID_ROWS),
     "grid_inspect": (grid_inspect, _GRID_INSPECT),
     "grid_export": (grid_export, _GRID_EXPORT),
+    "grid_export_apart": (grid_export_apart, _GRID_APART),
     "sql_dump_load": (sql_dump_load, _DUMP),
     "sql_dump_dialects": (sql_dump_dialects, _DIALECTS),
     "sql_dump_bad_rows": (

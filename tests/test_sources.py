@@ -10,6 +10,7 @@ from sparkscrub.sinks.writers import directory_names, export_info
 from sparkscrub.sources import grids
 from sparkscrub.sources.delimited import sniff_files
 from sparkscrub.sources.readers import format_of
+from sparkscrub.sinks.writers import write_grid
 from sparkscrub.sources.sqldump import read_sql_dump
 
 
@@ -267,6 +268,18 @@ def test_grids(grid):
     ]
 
 
+def test_grids_are_written_by_header(spark, grid, tmp_path):
+    paths = write_grid(grid, 1, str(tmp_path / "g"), "parquet")
+    assert sorted(paths) == ["Page 1 - Table 1 (Order ID)", "Page 2 - Table 1 (A)"]
+    first = spark.read.parquet(paths["Page 1 - Table 1 (Order ID)"])
+    assert first.columns == ["Order ID", "Product Name", "Price", "Column_4", "Price_1"]
+    assert sorted(map(tuple, first.collect())) == [("1", "Mouse Optical", "9", None, None), ("2", "Pad", "3", "x", "y")]
+    assert [tuple(r) for r in spark.read.parquet(paths["Page 2 - Table 1 (A)"]).collect()] == [("1", "2")]
+    one = write_grid(grid.filter("page = 2"), 1, str(tmp_path / "h"), "csv")
+    assert list(one) == ["converted"] and spark.read.csv(one["converted"], header=True).columns == ["A (long)", "B"]
+    assert write_grid(grid, 99, str(tmp_path / "i")) == {}
+
+
 def test_table_names(spark):
     names = spark.createDataFrame(
         [(["Column_1", "x", "A telling name that is long (really)"],), (["Column_1"],), ([],)], "n array<string>"
