@@ -58,7 +58,8 @@ MORE_RULES = (
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("stripe", r"(?:sk|rk)_live_[A-Za-z0-9]{16,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    # a run that no second part follows is passed over whole: none of its other beginnings would fare better
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}+(\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,})?", lambda m: m[1] is not None),
     Rule("pem", r"-----BEGIN (?:[A-Z]{2,12} )?PRIVATE KEY(?: BLOCK)?-----" + _KEY_BODY),
     Rule("url", r"[a-z][a-z0-9+.-]{1,20}://[A-Za-z0-9._~%+-]*+:[A-Za-z0-9._~!$&*+,;=%-]++@[A-Za-z0-9.-]+"),
 )

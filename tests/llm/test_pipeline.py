@@ -71,3 +71,23 @@ def test_near_duplicates_are_dropped_by_row(spark):
     assert len(one_of) == 1 and one_of[0][1] in (d, d + " x")
     want = [(3, a), (8, b), (None, c), (None, e), (4, ""), (4, ""), (None, None), (9, " ")]
     assert sorted(map(repr, (x for x in got if x[0] != 5))) == sorted(map(repr, want))
+
+
+def test_stages_on_no_rows_odd_rows_and_extra_columns(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, key string, row int, hash long, component_id string"
+    long = " ".join(f"w{i}" for i in range(60_000))
+    odd = [(1, long, "en", "a", len(long), "k", 1, 2, "c"), (2, long + " x", "en", "b", None, None, None, None, None), (None, None, None, None, None, None, None, None, None),
+           (3, "", "en", "a", 0, "k", 1, 2, "c"), (3, "\n\n", "en", "a", 2, "k", 1, 2, "c"), (4, "a b", None, None, 3, "k", 1, 2, "c"), (4, "a b", None, None, 3, "k", 1, 2, "c")]
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for name, rows in (("none", []), ("odd", odd)):
+        docs = spark.createDataFrame(rows, schema)
+        counts = []
+        for stage_name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, str(tmp_path))
+            if stage_name != "best_fit_packing":
+                assert out.columns == docs.columns
+            out.write.parquet(str(tmp_path / name / stage_name))
+            docs = spark.read.parquet(str(tmp_path / name / stage_name))
+            counts.append(docs.count())
+        # of the two long texts one stays, and one of the equal rows with words
+        assert counts[:4] == ([0, 0, 0, 0] if not rows else [7, 7, 5, 5])

@@ -1,6 +1,7 @@
 """URL templates, host rules and secrets against plain Python."""
 
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -148,3 +149,16 @@ def test_redaction_of_whole_keys_and_long_passwords(spark):
     ]
     docs = spark.createDataFrame([(i, text) for i, (text, _) in enumerate(cases)], "doc_id long, text string")
     assert {r.doc_id: r.text for r in secret_scan.redact(docs).collect()} == {i: want for i, (_, want) in enumerate(cases)}
+
+
+def test_tokens_as_plain_search_and_in_linear_time():
+    rule = next(r for r in secret_scan.RULES if r.kind == "jwt")
+    plain = re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", re.ASCII)
+    rng = np.random.default_rng(3)
+    queries = [secret_scan.trigram_query(rule.pattern)]
+    for _ in range(3000):
+        text = "".join(rng.choice(["eyJ", "abcdefgh", ".", " ", "x", "eyJabcdefgh.", "ey"], rng.integers(1, 9)))
+        assert [(a, b) for a, b, _ in secret_scan.scan_block([text], (rule,), queries)[0]] == [m.span() for m in plain.finditer(text)]
+    start = time.perf_counter()
+    assert secret_scan.scan_block(["eyJ" * 300_000], (rule,), queries) == [[]]
+    assert time.perf_counter() - start < 5
