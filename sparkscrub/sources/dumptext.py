@@ -181,7 +181,7 @@ def safe_points(masked: str, depth: int, end_depth: int) -> tuple[int, int] | No
 _LINES = "file string, place bigint, text string"
 _EFFECT = "struct<standard: boolean, state: string, end: string, need: int, depth: int, faults: int>"
 _BLOCK = f"file string, block bigint, places array<bigint>, text string, effects array<{_EFFECT}>, marks int"
-_STATE = "file string, block bigint, state0 string, depth0 int, state1 string, depth1 int, faults0 bigint, faults1 bigint, marks bigint"
+_STATE = "file string, block bigint, standard boolean, open boolean, state string, depth int"
 _PIECE = "file string, block bigint, seq int, place bigint, text string, standard boolean, kind int, open boolean"
 WHOLE, HEAD, TAIL, INNER = 0, 1, 2, 3
 
@@ -223,37 +223,34 @@ def blocks(lines: DataFrame) -> DataFrame:
 
 
 def states(cut: DataFrame) -> DataFrame:
-    """The state and depth that every block begins in, for both readings; and a row without block for each file,
-    with the faults of each reading and the balance of marks. One small row per block is put in order."""
+    """The reading chosen for each file, whether the file ends within a statement, and the state and depth that every
+    block begins in. One small row per block is put in order, and held until its file ends."""
     shape = _arrow(_STATE)
 
-    def run(batches) -> Iterator[pa.RecordBatch]:
-        file, now, out = None, None, []
-
-        def ended() -> dict:
-            left = {f"faults{k}": now[k][2] + (now[k][0] != "") + (now[k][1] != 0) for k in (0, 1)}
-            return {"file": file, "state0": now[0][0], "depth0": now[0][1], "state1": now[1][0], "depth1": now[1][1], "marks": now[2], **left}
+    def told(file: str, held: list, now: list, marks: int) -> list[dict]:
+        faults = [f + (state != "") + (depth != 0) for state, depth, f in now]
+        k = int(faults[1] < faults[0] if faults[0] != faults[1] else marks < 0)
+        left = now[k][0] != "" or now[k][1] != 0
+        return [{"file": file, "block": block, "standard": bool(k), "open": left, "state": begun[k][0], "depth": begun[k][1]} for block, begun in held]
 
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        file, held, now, marks = None, [], [], 0
         for batch in batches:
             for row in batch.to_pylist():
-                if row["file"] != file or now is None:
-                    if now is not None:
-                        out.append(ended())
-                    file, now = row["file"], [("", 0, 0), ("", 0, 0), 0]
-                out.append({"file": file, "block": row["block"], "state0": now[0][0], "depth0": now[0][1], "state1": now[1][0], "depth1": now[1][1]})
+                if row["file"] != file or not held:
+                    if held:
+                        yield _rows(told(file, held, now, marks), shape)
+                    file, held, now, marks = row["file"], [], [("", 0, 0), ("", 0, 0)], 0
+                held.append((row["block"], [x[:2] for x in now]))
                 table = {(e["standard"], e["state"]): e for e in row["effects"]}
                 for k in (0, 1):
                     state, depth, faults = now[k]
                     if e := table.get((bool(k), state)):
                         cut_ = e["need"] is not None
                         now[k] = (e["end"], e["depth"] + (0 if cut_ else depth), faults + e["faults"] + (cut_ and depth + e["need"] != 0))
-                now[2] += row["marks"]
-            if len(out) > 10_000:
-                yield _rows(out, shape)
-                out = []
-        if now is not None:
-            out.append(ended())
-        yield _rows(out, shape)
+                marks += row["marks"]
+        if held:
+            yield _rows(told(file, held, now, marks), shape)
 
     slim = cut.select("file", "block", "effects", "marks")
     return slim.repartition("file").sortWithinPartitions("file", "block").mapInArrow(run, _STATE)
@@ -262,14 +259,6 @@ def states(cut: DataFrame) -> DataFrame:
 def pieces(cut: DataFrame, known: DataFrame) -> DataFrame:
     """Statements, and parts of statements at the ends of blocks, in the reading chosen for the file."""
     shape = _arrow(_PIECE)
-    files = known.where("block IS NULL").select(
-        "file", F.coalesce(F.when(F.col("faults0") != F.col("faults1"), F.col("faults1") < F.col("faults0")), F.col("marks") < 0).alias("standard"),
-        "state0", "depth0", "state1", "depth1")
-    left_open = F.when(F.col("standard"), (F.col("state1") != "") | (F.col("depth1") != 0)).otherwise((F.col("state0") != "") | (F.col("depth0") != 0))
-    files = files.select("file", "standard", left_open.alias("open"))
-    begun = known.where("block IS NOT NULL").join(files, "file").select(
-        "file", "block", "standard", "open", F.when(F.col("standard"), F.col("state1")).otherwise(F.col("state0")).alias("state"),
-        F.when(F.col("standard"), F.col("depth1")).otherwise(F.col("depth0")).alias("depth"))
 
     def of_block(row: dict) -> list[dict]:
         text, masked = cleaned(row["text"], row["state"], row["standard"])
@@ -305,7 +294,7 @@ def pieces(cut: DataFrame, known: DataFrame) -> DataFrame:
                 for row in batch.slice(i, 1).to_pylist():
                     yield _rows(of_block(row), shape)
 
-    rows = cut.select("file", "block", "places", "text").join(begun, ["file", "block"])
+    rows = cut.select("file", "block", "places", "text").join(known, ["file", "block"])
     return rows.select("file", "block", "places", "text", "standard", "open", "state", "depth").mapInArrow(run, _PIECE)
 
 
@@ -315,8 +304,7 @@ def statements(lines: DataFrame, in_order: bool = False) -> DataFrame:
     between tuples. ``in_order`` says that each partition of ``lines`` (file, place, text) is in order."""
     lines = lines.select("file", "place", "text")
     cut = written_table(blocks(lines if in_order else lines.repartitionByRange("file", "place").sortWithinPartitions("file", "place")), "dump-blocks")
-    known = written_table(states(cut), "dump-states")
-    parts = written_table(pieces(cut, known), "dump-pieces")
+    parts = written_table(pieces(cut, states(cut)), "dump-pieces")
     # what lies between two blocks: the tail of one, blocks without an end of a piece, the head of another
     ahead = Window.partitionBy("file").orderBy("block", "seq").rowsBetween(Window.unboundedPreceding, 0)
     loose = parts.where(F.col("kind") != WHOLE)
