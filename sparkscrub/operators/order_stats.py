@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import struct
+from collections.abc import Callable
 from dataclasses import dataclass
 from decimal import Decimal
+from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,106 +48,199 @@ def column_means(df: DataFrame, names: list[str]) -> dict[str, float | None]:
 
 def column_medians(df: DataFrame, names: list[str], small: int | None = None) -> dict[str, float | None]:
     """Exact median of every named column: the middle ranks of all columns are searched together."""
-    found = _middles(_numeric(df, names), names, small)
-    return {n: None if ends is None else sum(ends) / len(ends) for n, ends in found.items()}
+    plain = lambda n: col(n).cast("double") if is_numeric(dtype(df, n)) else numeric_form(col(n), dtype(df, n))  # noqa: E731  NaN is left out later
+    return _medians(df.select([plain(n).alias(f"v{i}") for i, n in enumerate(names)]), names, small)
 
 
-def _middles(values: DataFrame, names: list[str], small: int | None) -> dict[str, list | None]:
-    """The one or two middle values of columns v0, v1, ...; None where there are no values."""
+def _medians(values: DataFrame, names: list[str], small: int | None) -> dict[str, Any]:
+    """Mean of the one or two middle values of columns v0, v1, ... by name; None where there are no values."""
     if not names:
         return {}
-    counts = values.agg(*[F.count(c).alias(c) for c in values.columns]).first()
-    targets = [(i, n, k) for i, n in enumerate(counts) if n for k in sorted({(n - 1) // 2, n // 2})]
-    found = ranked_values(values, targets, small)
-    return {name: [v for (at, _, _), v in zip(targets, found) if at == i] or None for i, name in enumerate(names)}
+    searches = []
+    for r in _extents(values):
+        scale, n = getattr(values.schema[r["column"]].dataType, "scale", None), r["n"]
+        least, most = _code(r["least"], scale), _code(r["most"], scale)
+        bits = 64 if scale is None else 128
+        depth = (bits - (least ^ most).bit_length()) // _WINDOW  # what all values begin with is not searched
+        searches += [_Search(r["column"], scale, k, n, depth, least >> (bits - depth * _WINDOW)) for k in sorted({(n - 1) // 2, n // 2})]
+    _find(values, searches, SMALL if small is None else small)
+    found = {c: [s.found for s in searches if s.column == c] for c in values.columns}
+    return {name: sum(found[c]) / len(found[c]) if found[c] else None for name, c in zip(names, values.columns)}
+
+
+_WINDOW = 16
+"""Bits of a number's code that one round looks at."""
 
 
 @dataclass
 class _Search:
-    """One rank that is searched: open bounds, the values at or below the lower one, and those between."""
+    """One rank that is searched among ``inside`` values whose codes begin with the ``depth`` windows of ``prefix``.
+
+    A code is an unsigned number in the order of the values: 64 bits for DOUBLE, 128 for DECIMAL, whose scale is given."""
 
     column: str
+    scale: int | None
     rank: int
     inside: int
-    low: Any = None
-    high: Any = None
-    below: int = 0
+    depth: int = 0
+    prefix: int = 0
     found: Any = None
 
-    def between(self) -> Column:
-        v = F.col(self.column)
-        fits = v.isNotNull()
-        if self.low is not None:
-            fits &= v > F.lit(self.low)
-        return fits if self.high is None else fits & (v < F.lit(self.high))
-
-    def narrow(self, a: Any, b: Any, under: int, at_a: int, middle: int, at_b: int) -> None:
-        """Go on below a, between a and b, or above b, by how many values lie there."""
-        rank = self.rank - self.below
-        passed = under + at_a
-        if rank < under:
-            self.high, self.inside = a, under
-        elif rank < passed:
-            self.found = a
-        elif rank < passed + middle:
-            self.low, self.high, self.below, self.inside = a, b, self.below + passed, middle
-        elif rank < passed + middle + at_b:
-            self.found = b
-        else:
-            passed += middle + at_b
-            self.low, self.below, self.inside = b, self.below + passed, self.inside - passed
-
+    @property
+    def group(self) -> tuple[str, int, int]:
+        return self.column, self.depth, self.prefix
 
-def ranked_values(values: DataFrame, targets: list[tuple[int, int, int]], small: int | None = None) -> list:
-    """For each target (position of a numeric column, its number of values, k) the ``k``-th smallest value from 0.
+    @property
+    def whole(self) -> bool:
+        return self.depth * _WINDOW == (64 if self.scale is None else 128)
 
-    All targets are narrowed together: a round is one aggregation for sketches that bracket every rank, one that
-    moves the brackets to values that are there, and one that counts around them. The number of
-    jobs does not depend on the number of columns. What is left, at most ``small`` values each, is sorted by target.
-    """
-    small = SMALL if small is None else small
-    searches = [_Search(values.columns[i], k, n) for i, n, k in targets]
-    while True:
-        open_ = [s for s in searches if s.found is None and s.inside > small]
-        if not open_:
-            break
-        sketches = []
+    def settle(self, code: int) -> None:
+        if self.scale is None:
+            bits = code ^ (1 << 63) if code >> 63 else code ^ ((1 << 64) - 1)
+            self.found = struct.unpack("<d", struct.pack("<Q", bits))[0]
+        else:
+            self.found = Decimal(f"{code - (1 << 127)}E-{self.scale}")
+
+
+def _code(words: Row, scale: int | None) -> int:
+    """The code that two signed numbers in its order stand for."""
+    high, low = words["high"] + (1 << 63), words["low"] + (1 << 63)
+    return high if scale is None else high << 64 | low
+
+
+def _words(high: np.ndarray, low: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Codes as two signed numbers in their order."""
+    sign = np.uint64(1 << 63)
+    return (high ^ sign).view(np.int64), np.full(len(high), -1 << 63, np.int64) if low is None else (low ^ sign).view(np.int64)
+
+
+def _codes(column: pa.Array) -> tuple[np.ndarray, np.ndarray | None]:
+    """The codes of the values present in a column without NaN: their upper 64 bits and, for DECIMAL, the lower ones."""
+    if pa.types.is_decimal(column.type):
+        present = column.drop_null()
+        words = np.frombuffer(present.buffers()[1] or b"", np.uint64).reshape(-1, 2)[present.offset:present.offset + len(present)]
+        return words[:, 1] ^ np.uint64(1 << 63), words[:, 0]
+    x = column.to_numpy(zero_copy_only=False)
+    bits = (x[~np.isnan(x)] + 0.0).view(np.int64)  # one zero
+    return (bits ^ ((bits >> 63) | np.int64(-1 << 63))).view(np.uint64), None
+
+
+def _inside(high: np.ndarray, low: np.ndarray | None, depth: int, prefix: int) -> tuple[np.ndarray, np.ndarray | None]:
+    """The codes that begin with ``depth`` windows."""
+    upper = min(depth, 64 // _WINDOW)
+    rest = depth - upper
+    if not upper:
+        return high, low
+    fits = high >> np.uint64(64 - upper * _WINDOW) == np.uint64(prefix >> (rest * _WINDOW))
+    if rest:
+        fits &= low >> np.uint64(64 - rest * _WINDOW) == np.uint64(prefix & ((1 << rest * _WINDOW) - 1))
+    return high[fits], None if low is None else low[fits]
+
+
+def _find(values: DataFrame, searches: list[_Search], small: int) -> None:
+    """Settle all searches together: a round counts, in one scan, the values of each by the next window of their
+    codes, and goes on in the window's value that holds the rank. There are at most four rounds for DOUBLE and eight for
+    DECIMAL, whatever the values are; what is left, at most ``small`` values each, is sorted by search."""
+    for s in searches:
+        if s.whole:  # all values are the same
+            s.settle(s.prefix)
+    while open_ := [s for s in searches if s.found is None and s.inside > small]:
+        groups = list(dict.fromkeys(s.group for s in open_))
+        counts = _window_counts(values, groups).groupBy("group", "bin").agg(F.sum("n").alias("n"))
+        upto = counts.withColumn("upto", F.sum("n").over(Window.partitionBy("group").orderBy("bin")))
+        here = lambda r: (F.col("upto") > r) & (F.col("upto") - F.col("n") <= r)
+        held = upto.select("*", F.explode(F.filter(_ranks(groups, open_), here)).alias("rank")).collect()
+        at = {(groups[r["group"]], r["rank"]): r for r in held}
         for s in open_:
-            share, slack = (s.rank - s.below) / s.inside, 2 / _ACCURACY
-            ends = [max(0.0, share - slack), min(1.0, share + slack)]
-            sketches.append(F.percentile_approx(F.when(s.between(), F.col(s.column)), ends, _ACCURACY))
-        brackets = values.agg(*[x.alias(f"x{j}") for j, x in enumerate(sketches)]).first()
-        near = []
-        for s, (a, b) in zip(open_, brackets):
-            v, fits = F.col(s.column), s.between()
-            near += [F.coalesce(F.max(F.when(fits & (v <= F.lit(a)), v)), F.min(F.when(fits, v))),
-                     F.coalesce(F.min(F.when(fits & (v >= F.lit(b)), v)), F.max(F.when(fits, v)))]
-        ends = values.agg(*[x.alias(f"x{j}") for j, x in enumerate(near)]).first()
-        sums = []
-        for j, s in enumerate(open_):
-            v, fits, a, b = F.col(s.column), s.between(), F.lit(ends[2 * j]), F.lit(ends[2 * j + 1])
-            sums += [F.count_if(fits & (v < a)), F.count_if(v == a), F.count_if((v > a) & (v < b)), F.count_if((v == b) & (b > a))]
-        counts = values.agg(*[x.alias(f"x{j}") for j, x in enumerate(sums)]).first()
-        for j, s in enumerate(open_):
-            s.narrow(ends[2 * j], ends[2 * j + 1], *counts[4 * j:4 * j + 4])
-    left = [(j, s) for j, s in enumerate(searches) if s.found is None]
+            r = at[s.group, s.rank]
+            s.rank, s.inside = s.rank - (r["upto"] - r["n"]), r["n"]
+            s.depth, s.prefix = s.depth + 1, s.prefix << _WINDOW | r["bin"]
+            if s.whole:
+                s.settle(s.prefix)
+    left = [s for s in searches if s.found is None]
     if left:
-        arrays = _picked(values, [s for _, s in left])
-        for (_, s), v in zip(left, arrays):
-            s.found = v
-    return [s.found for s in searches]
-
-
-def _picked(values: DataFrame, searches: list[_Search]) -> list:
-    """What each search ends at: what is left of it is dealt by target and sorted, a target in one task."""
-    scale = max([values.schema[s.column].dataType.scale for s in searches if isinstance(values.schema[s.column].dataType, T.DecimalType)], default=None)
-    to = "double" if scale is None else f"decimal(38,{scale})"
-    cells = [F.struct(F.lit(j).alias("target"), F.when(s.between(), F.col(s.column)).cast(to).alias("v")) for j, s in enumerate(searches)]
-    rank = F.element_at(F.array(*[F.lit(s.rank - s.below) for s in searches]), F.col("target") + 1).cast("int")
-    each = values.select(F.inline(F.array(*cells))).where("v IS NOT NULL")
-    rows = each.groupBy("target").agg(F.sort_array(F.collect_list("v")).alias("v")).select("target", F.get("v", rank).alias("v")).collect()
-    found = {r["target"]: r["v"] for r in rows}
-    return [found[j] for j in range(len(searches))]
+        groups = list(dict.fromkeys(s.group for s in left))
+        lists = _held_codes(values, groups).groupBy("group").agg(F.sort_array(F.collect_list(F.struct("high", "low"))).alias("v"))
+        rows = lists.select("group", "v", F.explode(_ranks(groups, left)).alias("rank")).select("group", "rank", F.get("v", F.col("rank").cast("int")).alias("v")).collect()
+        at = {(groups[r["group"]], r["rank"]): r["v"] for r in rows}
+        for s in left:
+            s.settle(_code(at[s.group, s.rank], s.scale))
+
+
+def _ranks(groups: list[tuple], searches: list[_Search]) -> Column:
+    """The ranks that are searched in a row's group."""
+    return F.get(F.array(*[F.array(*[F.lit(r).cast("long") for r in sorted({s.rank for s in searches if s.group == g})]) for g in groups]), F.col("group"))
+
+
+_TOGETHER = 8
+"""Columns that go through one scan: the code Spark makes for more may be too long for the JVM to compile."""
+
+
+def _scanned(values: DataFrame, groups: list[tuple], each_task: Callable, schema: str) -> DataFrame:
+    """``each_task(batches, groups of each column)`` over the columns of the groups, each as (number, depth, prefix)."""
+    columns, parts = list(dict.fromkeys(c for c, _, _ in groups)), []
+    for i in range(0, len(columns), _TOGETHER):
+        some = columns[i:i + _TOGETHER]
+        own = [[(g, depth, prefix) for g, (c, depth, prefix) in enumerate(groups) if c == column] for column in some]
+        parts.append(values.select(*some).mapInArrow(lambda batches, own=own: each_task(batches, own), schema))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _extents(values: DataFrame) -> list[Row]:
+    """column, n, and the codes of the least and the most value of the columns that have values."""
+    def run(batches, own):
+        found = {g: [] for (g, _, _), in own}
+        for batch in batches:
+            for column, ((g, _, _),) in zip(batch.columns, own):
+                high, low = _codes(column)
+                if len(high):
+                    ends = [high.min(), high.max()]
+                    lows = [None if low is None else low[high == ends[0]].min(), None if low is None else low[high == ends[1]].max()]
+                    found[g].append((len(high), *[int(w[0]) for e, x in zip(ends, lows) for w in _words(np.array([e]), None if x is None else np.array([x]))]))
+        for g, rows in found.items():
+            if rows:
+                n, a, b, c, d = zip(*rows)
+                yield pa.RecordBatch.from_pylist([dict(zip(names, (g, sum(n), *min(zip(a, b)), *max(zip(c, d)))))], schema=shape)
+
+    names = ("group", "n", "high", "low", "high2", "low2")
+    shape = pa.schema([("group", pa.int32())] + [(n, pa.int64()) for n in names[1:]])
+    ends = _scanned(values, [(c, 0, 0) for c in values.columns], run, "group int, n long, high long, low long, high2 long, low2 long")
+    each = ends.groupBy("group").agg(F.sum("n").alias("n"), F.min(F.struct("high", "low")).alias("least"),
+                                     F.max(F.struct(F.col("high2").alias("high"), F.col("low2").alias("low"))).alias("most"))
+    return each.select(F.get(F.array(*[F.lit(c) for c in values.columns]), F.col("group")).alias("column"), "n", "least", "most").collect()
+
+
+def _window_counts(values: DataFrame, groups: list[tuple]) -> DataFrame:
+    """group, bin, n: how many values of a group have each value of its next window, by task."""
+    def run(batches, own):
+        counts = {g: np.zeros(1 << _WINDOW, np.int64) for some in own for g, _, _ in some}
+        for batch in batches:
+            for column, some in zip(batch.columns, own):
+                codes = _codes(column)
+                for g, depth, prefix in some:
+                    word, at = divmod(depth * _WINDOW, 64)
+                    bins = _inside(*codes, depth, prefix)[word] >> np.uint64(64 - _WINDOW - at) & np.uint64((1 << _WINDOW) - 1)
+                    np.add.at(counts[g], bins.astype(np.int64), 1)
+        for g, found in counts.items():
+            bins = np.flatnonzero(found)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(bins), g, np.int32)), pa.array(bins.astype(np.int32)), pa.array(found[bins])], names=["group", "bin", "n"])
+
+    return _scanned(values, groups, run, "group int, bin int, n long")
+
+
+def _held_codes(values: DataFrame, groups: list[tuple]) -> DataFrame:
+    """group, high, low: the codes of all values in the groups, as signed numbers in their order."""
+    def run(batches, own):
+        for batch in batches:
+            for column, some in zip(batch.columns, own):
+                codes = _codes(column)
+                for g, depth, prefix in some:
+                    high, low = _words(*_inside(*codes, depth, prefix))
+                    if len(high):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(high), g, np.int32)), pa.array(high), pa.array(low)], names=["group", "high", "low"])
+
+    return _scanned(values, groups, run, "group int, high long, low long")
 
 
 def exact_means(df: DataFrame, names: list[str]) -> dict[str, Decimal | None]:
@@ -155,9 +253,7 @@ def exact_means(df: DataFrame, names: list[str]) -> dict[str, Decimal | None]:
 
 def exact_medians(df: DataFrame, names: list[str], small: int | None = None) -> dict[str, Decimal | None]:
     """Medians of whole-number and DECIMAL columns in decimal arithmetic."""
-    values = df.select([col(n).cast(_decimal(dtype(df, n))).alias(f"v{i}") for i, n in enumerate(names)])
-    found = _middles(values, names, small)
-    return {n: None if ends is None else sum(ends) / len(ends) for n, ends in found.items()}
+    return _medians(df.select([col(n).cast(_decimal(dtype(df, n))).alias(f"v{i}") for i, n in enumerate(names)]), names, small)
 
 
 def _decimal(dt: T.DataType) -> T.DataType:

@@ -1,4 +1,6 @@
 import math
+from decimal import Decimal
+from itertools import zip_longest
 
 import pytest
 from pyspark.sql import functions as F
@@ -120,6 +122,31 @@ def test_medians_of_many_columns_take_as_many_jobs_as_of_few(spark):
     assert taken[40] <= 2 * taken[3] < 40  # by round, not by column
 
 
+def test_medians_of_values_that_are_hard_to_tell_apart(spark):
+    """Ends of the range of DOUBLE, both signs, zeros, near neighbours, and long DECIMALs, down to the last bit."""
+    inf, big = float("inf"), Decimal("79228162514264337593543950336")
+    doubles = [-inf, -1.7e308, -1.0, -5e-324, -0.0, 0.0, 5e-324, 1.0, 1.0 + 2**-52, 1.0 + 2**-51, 1.7e308, inf]
+    decimals = [-big, -big + 1, Decimal(-1), Decimal(0), Decimal("0.01"), Decimal("0.02"), big, big + 1]
+    for k in range(3):
+        d, e = [v for v in doubles[k:] for _ in range(3)], [v for v in decimals[k:] for _ in range(3)]
+        df = spark.createDataFrame([(x, y) for x, y in zip_longest(d + [float("nan")], e)], "d double, e decimal(38,2)")
+        middle = lambda v: (sorted(v)[(len(v) - 1) // 2], sorted(v)[len(v) // 2])
+        for small in (0, 2, 10**6):
+            assert order_stats.column_medians(df, ["d"], small=small) == {"d": sum(middle(d)) / 2}
+            assert order_stats.exact_medians(df, ["e"], small=small) == {"e": sum(middle(e)) / 2}
+
+
+def test_medians_scan_as_often_for_more_rows(spark):
+    """Rounds are bounded by the width of a number, not by how many values there are."""
+    taken = []
+    for n in (2_000, 200_000):
+        df = spark.range(n).selectExpr("cast(xxhash64(id) as double) / 1e9 as v", "-cast(id as double) as w")
+        got, jobs = jobs_of(spark, lambda: order_stats.column_medians(df, ["v", "w"], small=50))
+        assert got["w"] == -(n - 1) / 2
+        taken.append(jobs)
+    assert taken[1] <= taken[0] + 6
+
+
 def test_first_values_of_many_sparse_columns(spark):
     wide = spark.range(5000).selectExpr("id AS _row_index", *[f"CASE WHEN id % {97 + i} = {i} THEN id * {i} END AS c{i}" for i in range(30)])
     rows = wide.collect()
