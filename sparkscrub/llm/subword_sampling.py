@@ -73,6 +73,7 @@ class Vocabulary:
         self.encoded = [p.replace(BLANK, " ").encode() for p in self.pieces]
         for b, i in self.byte_ids.items():
             self.encoded[i] = bytes([b])
+        self.encoded_array = pa.array(self.encoded, pa.large_binary())
         plain = [i for i in range(size) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
         ranks = sorted(plain, key=lambda i: (-model.get_score(i), i))
         weights = (np.arange(len(ranks)) + SHIFT) ** -alpha
@@ -109,6 +110,16 @@ class Vocabulary:
         """The text of a sequence of ids, in UTF-8."""
         return b"".join(map(self.encoded.__getitem__, ids))[1:]
 
+    def decoded_crc32(self, ids: np.ndarray, ends: np.ndarray) -> list[int]:
+        """crc32 of what each sequence decodes to: the ids between two of the ends, the first of which is 0."""
+        taken = self.encoded_array.take(pa.array(ids))
+        _, offsets, data = taken.buffers()
+        if data is None:
+            return [0] * (len(ends) - 1)
+        cuts = np.frombuffer(offsets, np.int64)[taken.offset:][ends].tolist()
+        text = memoryview(data)
+        return [zlib.crc32(text[a + 1:b]) for a, b in zip(cuts, cuts[1:])]
+
 
 @lru_cache(maxsize=4)
 def vocabulary(file: bytes, alpha: float) -> Vocabulary:
@@ -135,11 +146,12 @@ class Arena:
 
     def __init__(self, vocab: Vocabulary):
         self.vocab = vocab
+        self._held = {k: np.empty(1 << 16, kind) for k, kind in self._KINDS.items()}
         self.reset()
 
     def reset(self) -> None:
+        """Forget all blocks; the memory is kept for the next ones."""
         self.number: dict[str, int] = {}
-        self._held = {k: np.empty(1 << 16, kind) for k, kind in self._KINDS.items()}
         self._used = dict.fromkeys(self._KINDS, 0)
         self.nodes = self.arcs = 0
 
@@ -434,7 +446,7 @@ def sample_segmentations(df: DataFrame, k: int = 2, seed: int = 10, alpha: float
                     [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()),
                      pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat.astype(np.int32))),
                      *(pa.array([r[c] for r in rows], pa.float64()) for c in (3, 4, 5)),
-                     pa.array([zlib.crc32(arena.vocab.decode(r[2].tolist())) for r in rows], pa.int64())],
+                     pa.array(arena.vocab.decoded_crc32(flat, ends), pa.int64())],
                     names=["doc_id", "sample", "ids", "log_prob", "noisy_sum", "log_inclusion", "decoded_crc32"])
 
     return df.select(F.col(id_col).cast("long"), F.col(text_col).cast("binary")).mapInArrow(

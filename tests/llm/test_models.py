@@ -226,3 +226,14 @@ def test_full_arena_starts_anew(arena, monkeypatch):
     for i, t in enumerate(texts):
         assert [r[0].tolist() for r in subword_sampling.sample_texts(arena, [i], [t], 2, 4)[0]] == want[i]
         assert arena.vocab.decode(want[i][0]) == t.encode()
+
+
+@needs_vocabulary
+def test_checksums_of_many_sequences_at_once(arena):
+    """Those of what each decodes to, empty sequences included."""
+    vocab = arena.vocab
+    some = [[], list(range(300, 340)), [], [vocab.byte_ids[0xE2], vocab.byte_ids[0x82], 500], [700]]
+    ends = np.cumsum([0] + [len(x) for x in some])
+    flat = np.array([i for x in some for i in x], np.int64)
+    assert vocab.decoded_crc32(flat, ends) == [zlib.crc32(vocab.decode(x)) for x in some]
+    assert vocab.decoded_crc32(flat[:0], np.zeros(3, np.int64)) == [0, 0]
