@@ -7,20 +7,20 @@ least for them, floor(1000 * f * n / (f(first part) * f(rest))).
 
 1. A task numbers words, keeps the numbers of up to ``FLUSH_WORDS`` words, and makes the
    fingerprints of all n-grams at once from prefix polynomials over the words' 64-bit hashes (modulo
-   2^64). Equal fingerprints of a flush are counted together after their words are compared; each
-   gives one row: language, length, fingerprint, count, and where it occurs (hash of the text, place).
+   2^64), turned by their language. Equal fingerprints of a flush are counted together after their
+   words are compared; each gives one row of 16 bytes: fingerprint and count.
 2. A shuffle adds up the counts by fingerprint. Fingerprints below ``LEAST`` hold no frequent phrase.
    This goes by levels: single words, then pairs of words, then longer ones; an n-gram gives a
    row only if all its words, or pairs, may be frequent, which a filter of bounded size tells.
    No frequent phrase is lost, as each part of one is as frequent.
-3. The rows of the others, one per flush, name the texts that are read again: only these are moved,
-   and only there phrases are materialised. Counts are added up by language and phrase, so that two
+3. The last scans spell out: a task counts the phrases whose fingerprint may be frequent, and gives one row
+   for each of a flush: language, phrase, count. Counts are added up by language and phrase, so that two
    phrases of one fingerprint, in one flush or in two, are counted apart: the counts are exact.
+   Words and pairs are spelt out in the scan that counts longer n-grams, and those in one more.
 4. Cuts and contained phrases are equi-joins of the frequent phrases.
 
-Scale: no n-gram's text is shuffled unless its fingerprint is frequent; a word that is a third of all
-words is one row per flush. The texts are read once a level. Rows and texts of the second look are found through a filter of bounded
-size (``hash_filter``), then by joins on the real keys. Scores are decimals of 38 digits.
+Scale: texts are read four times and never moved; no n-gram's text is shuffled unless its fingerprint may be
+frequent; a word that is a third of all words is one row per flush. Scores are decimals of 38 digits.
 
 Defined results: a null text is empty; a null language is ``und``; texts that are repeated count each
 time; an empty table, or one without frequent phrases, gives an empty result; other columns are ignored.
@@ -33,6 +33,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -49,11 +50,11 @@ FLUSH_WORDS = 2_000_000
 #: A word, or one character that ends a piece.
 TOKEN = re.compile(rb"[^\x20\x09.,;:!?\x0A-\x0D]+|[.,;:!?\x0A-\x0D]")
 _BREAKS = [bytes([c]) for c in b".,;:!?\n\x0b\x0c\r"]
+#: What is spelt out: lengths, the filter of base-grams they pass, and the filter their fingerprints are in.
+Spelt = Iterable[tuple[tuple[int, ...], int, np.ndarray | None, np.ndarray]]
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
-_GRAMS = pa.schema([("lang", pa.string()), ("size", pa.int32()), ("print", pa.int64()), ("count", pa.int64()), ("text_hash", pa.int64()), ("at", pa.int32())])
-_PHRASES = pa.schema([("lang", pa.string()), ("size", pa.int32()), ("print", pa.int64()), ("text_hash", pa.int64()), ("at", pa.int32()),
-                      ("count", pa.int64()), ("phrase", pa.string())])
+_GRAMS = pa.schema([("lang", pa.string()), ("size", pa.int32()), ("print", pa.int64()), ("count", pa.int64()), ("phrase", pa.binary())])
 
 
 def tokens_of(text: bytes | None) -> list[bytes]:
@@ -159,20 +160,6 @@ def _runs(good: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
-class _Hashes(dict):
-    """Hashes of words, kept for those that come again; 0 for what ends a piece."""
-
-    def __init__(self):
-        super().__init__(dict.fromkeys(_BREAKS, 0))
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 200_000:
-            self.clear()
-            self.update(dict.fromkeys(_BREAKS, 0))
-        value = self[word] = word_hash(word)
-        return value
-
-
 class _Flush:
     """The token numbers of some texts, by language."""
 
@@ -187,25 +174,42 @@ class _Flush:
             self.texts.setdefault(lang, []).append((text_hash, ids))
             self.words += len(found)
 
-    def rows(self, sizes: Iterable[int], base: int, may: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    def rows(self, sizes: Iterable[int], base: int, may: np.ndarray | None, spelt: Spelt = ()) -> Iterator[pa.RecordBatch]:
+        """Fingerprints and counts of the n-grams of ``sizes`` that ``may`` lets through; then, spelt out, the phrases
+        of each (sizes, base, may, filter) of ``spelt`` whose fingerprints may be in the filter."""
         hashes = np.array(self.numbers.hashes, np.uint64)
+        words = None
         for lang, texts in self.texts.items():
             stop = np.array([-1], np.int32)
             ids = np.concatenate([x for _, t in texts for x in (t, stop)])
-            begins = np.concatenate([[0], np.cumsum([len(t) + 1 for _, t in texts])])
-            names = np.array([h for h, _ in texts], np.int64)
             prefix = prefix_polynomials(np.where(ids >= 0, np.append(hashes, np.uint64(0))[ids], np.uint64(0)))
             shifts, seed = back_shifts(len(prefix)), lang_seed(lang)
+
+            def counted(size, base, may):
+                return count_words(ids, hashes, seed) if size == 1 else count_grams(ids, prefix, size, seed, base, may, shifts)
+
             for size in sizes:
-                prints, counts, places = count_words(ids, hashes, seed) if size == 1 else count_grams(ids, prefix, size, seed, base, may, shifts)
-                text = np.searchsorted(begins, places, side="right") - 1
-                for i in range(0, len(prints), 100_000):
-                    part = slice(i, i + 100_000)
-                    n = len(prints[part])
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array([lang] * n, pa.string()), pa.array(np.full(n, size, np.int32)), pa.array(prints[part].view(np.int64)),
-                        pa.array(counts[part].astype(np.int64)), pa.array(names[text[part]]),
-                        pa.array((places[part] - begins[text[part]]).astype(np.int32))], schema=_GRAMS)
+                prints, counts, _ = counted(size, base, may)
+                yield from _batches(lang, size, prints, counts)
+            for some, under, through, known in spelt:
+                for size in some:
+                    prints, counts, places = counted(size, under, through)
+                    good = hash_filter.holds(known, prints)
+                    prints, counts, places = prints[good], counts[good], places[good]
+                    if words is None:
+                        words = pa.array([w for w, n in self.numbers.items() if n >= 0], pa.binary())
+                    parts = [words.take(pa.array(ids[places + i])) for i in range(size)]
+                    yield from _batches(lang, size, prints, counts, pc.binary_join_element_wise(*parts, b" ") if size > 1 else parts[0])
+
+
+def _batches(lang: str, size: int, prints: np.ndarray, counts: np.ndarray, phrases: pa.Array | None = None) -> Iterator[pa.RecordBatch]:
+    phrases = pa.nulls(len(prints), pa.binary()) if phrases is None else phrases
+    for i in range(0, len(prints), 100_000):
+        part = slice(i, i + 100_000)
+        n = len(prints[part])
+        yield pa.RecordBatch.from_arrays([
+            pa.repeat(pa.scalar(lang, pa.string()), n), pa.array(np.full(n, size, np.int32)), pa.array(prints[part].view(np.int64)),
+            pa.array(counts[part].astype(np.int64)), phrases.slice(i, n)], schema=_GRAMS)
 
 
 def _slices(batch: pa.RecordBatch) -> Iterator[list[list]]:
@@ -213,87 +217,51 @@ def _slices(batch: pa.RecordBatch) -> Iterator[list[list]]:
         yield [c.to_pylist() for c in batch.slice(i, SLICE_ROWS).columns]
 
 
-def partial_counts(texts: DataFrame, sizes: Iterable[int], base: int = 0, may: np.ndarray | None = None, flush_words: int = FLUSH_WORDS) -> DataFrame:
-    """lang, size, print, count, text_hash, at: one row for each flush and n-gram of ``texts`` (lang, text_hash, text)
-    that ``may``, a filter of ``base``-grams, lets through."""
-    sizes = tuple(sizes)
-    shared_filter = None if may is None else texts.sparkSession.sparkContext.broadcast(may)
+def partial_counts(texts: DataFrame, sizes: Iterable[int], base: int = 0, may: np.ndarray | None = None, spelt: Spelt = (),
+                   flush_words: int = FLUSH_WORDS) -> DataFrame:
+    """lang, size, print, count, phrase: one row for each flush and n-gram of ``texts`` (lang, text) that ``may``, a filter
+    of ``base``-grams, lets through, without its phrase; and one for each that is to be spelt out, with it."""
+    sizes, spelt = tuple(sizes), tuple(spelt)
+    shared_filters = texts.sparkSession.sparkContext.broadcast((may, spelt))
 
     def run(batches):
-        known = None if shared_filter is None else shared_filter.value
+        through, spell = shared_filters.value
         flush = _Flush()
         for batch in batches:
             for columns in _slices(batch):
-                for lang, text_hash, text in zip(*columns):
-                    flush.add(lang, text_hash, text)
+                for lang, text in zip(*columns):
+                    flush.add(lang, 0, text)
                     if flush.words >= flush_words:
-                        yield from flush.rows(sizes, base, known)
+                        yield from flush.rows(sizes, base, through, spell)
                         flush = _Flush()
-        yield from flush.rows(sizes, base, known)
-
-    return texts.select("lang", "text_hash", F.col("text").cast("binary")).mapInArrow(
-        run, "lang string, size int, print long, count long, text_hash long, at int")
+        yield from flush.rows(sizes, base, through, spell)
 
+    return texts.select("lang", F.col("text").cast("binary")).mapInArrow(run, "lang string, size int, print long, count long, phrase binary")
 
-def read_phrases(texts: DataFrame) -> DataFrame:
-    """The phrases at places of texts: rows of ``text`` and ``wanted``, an array of (lang, size, print, count, at).
 
-    A phrase that has not the fingerprint it is wanted for is left out: its text only has the hash of another."""
-    def run(batches):
-        words = _Hashes()
-        for batch in batches:
-            for lo in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(lo, SLICE_ROWS)
-                lists = part.column(2)
-                bounds, places = lists.offsets.to_numpy(), lists.values
-                size, at = places.field("size").to_numpy(), places.field("at").to_numpy()
-                prints, langs = places.field("print").to_numpy().view(np.uint64), places.field("lang").dictionary_encode()
-                seeds = np.array([lang_seed(x) for x in langs.dictionary.to_pylist()], np.uint64)[langs.indices.to_numpy()]
-                phrases, good = [], []
-                for i, text in enumerate(part.column(1).to_pylist()):
-                    own = slice(bounds[i], bounds[i + 1])
-                    found = tokens_of(text)
-                    prefix = prefix_polynomials(np.fromiter(map(words.__getitem__, found), np.uint64, len(found)))
-                    fits = at[own] + size[own] <= len(found)
-                    near = np.where(fits, at[own], 0), np.where(fits, size[own], 0)
-                    told = _mixed((prefix[near[0] + near[1]] - prefix[near[0]]) * back_shifts(len(prefix))[near[0]] + near[1].astype(np.uint64)) ^ seeds[own]
-                    good.append(fits & (told == prints[own]))
-                    phrases += [b" ".join(found[a:a + n]) for a, n in zip(at[own].tolist(), size[own].tolist())]
-                rows = np.repeat(np.arange(part.num_rows), np.diff(bounds))
-                kept = pa.array(np.concatenate(good) if good else np.empty(0, bool))
-                inner = places.slice(bounds[0], bounds[-1] - bounds[0])
-                table = pa.RecordBatch.from_arrays(
-                    [inner.field("lang"), inner.field("size"), inner.field("print"), part.column(0).take(pa.array(rows)), inner.field("at"), inner.field("count"),
-                     pa.array([x.decode("utf-8", "replace") for x in phrases], pa.string())], schema=_PHRASES)
-                yield table.filter(kept)
-
-    return texts.select("text_hash", F.col("text").cast("binary"), "wanted").mapInArrow(
-        run, "lang string, size int, print long, text_hash long, at int, count long, phrase string")
+def _filter_of_frequent(grams: DataFrame, least: int) -> np.ndarray:
+    """A filter of the fingerprints that occur ``least`` times or more."""
+    frequent = grams.groupBy("print").agg(F.sum("count").alias("all")).where(F.col("all") >= least)
+    return hash_filter.as_array(hash_filter.build(frequent, "print", FILTER_SLOT_BITS), FILTER_SLOT_BITS)
 
 
 def frequent_phrases(docs: DataFrame, least: int = LEAST, text_col: str = "text", lang_col: str = "lang", flush_words: int = FLUSH_WORDS) -> tuple[DataFrame, DataFrame]:
     """(lang, size, phrase, f) of all phrases of one to five words with f >= least; and (lang, n) of all words."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    key, held, words, base, may = ["lang", "size", "print"], None, None, 0, None
-    for sizes in LEVELS:
-        grams = shared(partial_counts(texts, sizes, base, may, flush_words), "phrase-grams")
-        if words is None:
-            words = shared(grams.groupBy("lang").agg(F.sum("count").alias("n")), "phrase-words")
-        frequent = shared(grams.groupBy(*key).agg(F.sum("count").alias("all")).where(F.col("all") >= least).select(*key), "phrase-frequent")
-        places = hash_filter.prune(grams, "print", hash_filter.build(frequent, "print")).join(frequent.hint("merge"), key, "left_semi")
-        places = shared(places, "phrase-places")
-        discard(grams)
-        held = places if held is None else held.unionByName(places)
-        base, may = sizes[0], hash_filter.as_array(hash_filter.build(frequent, "print", FILTER_SLOT_BITS), FILTER_SLOT_BITS)
-    # flushes may begin with one text: its places are read once, for all of them
-    held = shared(held.groupBy(*key, "text_hash", "at").agg(F.sum("count").alias("count")), "phrase-places")
-    wanted = held.groupBy("text_hash").agg(F.collect_list(F.struct("lang", "size", "print", "count", "at")).alias("wanted"))
-    wanted = shared(wanted, "phrase-wanted")  # no more for a text than it has n-grams
-    named = hash_filter.prune(texts.select("text_hash", "text"), "text_hash", hash_filter.build(wanted, "text_hash")).distinct()
-    found = shared(read_phrases(named.join(wanted.hint("merge"), "text_hash")), "phrase-found")
-    counted = found.groupBy("lang", "size", "phrase").agg(F.sum("count").alias("f")).where(F.col("f") >= least)
-    return shared(counted, "phrase-counts"), words
+    texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), text.alias("text"))
+    one, two, more = LEVELS
+    grams = shared(partial_counts(texts, one, flush_words=flush_words), "phrase-grams")
+    words = shared(grams.groupBy("lang").agg(F.sum("count").alias("n")), "phrase-words")
+    singles = _filter_of_frequent(grams, least)
+    discard(grams)
+    pairs = _filter_of_frequent(partial_counts(texts, two, 1, singles, flush_words=flush_words).select("print", "count"), least)
+    grams = shared(partial_counts(texts, more, 2, pairs, [(one, 0, None, singles), (two, 1, singles, pairs)], flush_words), "phrase-grams")
+    longer = _filter_of_frequent(grams.where("phrase IS NULL").select("print", "count"), least)
+    spelt = partial_counts(texts, (), spelt=[(more, 2, pairs, longer)], flush_words=flush_words)
+    found = grams.where("phrase IS NOT NULL").unionByName(spelt).select("lang", "size", F.col("phrase").cast("string").alias("phrase"), "count")
+    counted = shared(found.groupBy("lang", "size", "phrase").agg(F.sum("count").alias("f")).where(F.col("f") >= least), "phrase-counts")
+    discard(grams)
+    return counted, words
 
 
 def _words(phrase: Column) -> Column:

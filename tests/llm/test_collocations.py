@@ -126,3 +126,16 @@ def test_sql_of_collocations(spark):
     con.register("documents", frame.toPandas())
     want = {(r[0], r[1]): tuple(r[2:]) for r in con.execute(SQL["op13_collocations"]).fetchall()}
     assert found(frame) == want == by_hand(docs, 100)
+
+
+def test_texts_are_not_moved(spark):
+    """What is counted goes by fingerprint alone; only phrases that may be frequent are spelt out, once for each flush."""
+    docs = [("so it is said " * 5, "en")] * 30 + [(f"word{i} other{i} third{i}", "en") for i in range(200)]
+    texts = spark.createDataFrame(docs, "text string, lang string")
+    grams = collocations.partial_counts(texts.repartition(1), (1,))
+    assert "text_hash" not in grams.columns and grams.where("phrase IS NOT NULL").count() == 0
+    singles = collocations._filter_of_frequent(grams, 100)
+    spelt = collocations.partial_counts(texts.repartition(1), (), spelt=[((1,), 0, None, singles), ((2,), 1, singles, np.full(1, 2**64 - 1, np.uint64))])
+    got = Counter({bytes(r["phrase"]).decode(): r["count"] for r in spelt.collect()})
+    assert {w: got[w] for w in ("so", "it", "is", "said", "so it", "said so")} == {"so": 150, "it": 150, "is": 150, "said": 150, "so it": 150, "said so": 120}
+    assert len(got) < 20
